@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, token_counts
+from . import chat, decontam, exact, jaccard, packing, sharding, token_counts, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(read(spark, sf_dir, "conversations"))
+
+
+def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,8 +59,8 @@ FROM t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_chat_rotation, op4_virtual_slot_sharding, op5_url_bloom_cascade, op8_ngram_jaccard_join, op9_exact_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": SQL9}
+    return {"op3_chat_rotation": chat.ORACLE, "op5_url_bloom_cascade": url_filter.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_exact_dedup": SQL9, "op10_benchmark_decontamination": decontam.ORACLE}

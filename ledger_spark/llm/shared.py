@@ -51,7 +51,7 @@ def empty_for_null(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
     """Slices of an Arrow batch that hold about `limit` bytes of text each (one longer text stands alone)."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
