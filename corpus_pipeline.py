@@ -1,8 +1,78 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences, in five stages.
+
+1. quality: documents that the attention classifier scores below 0.7 go.
+2. exact_dedup: of equal texts the row with the largest doc_id stays.
+3. near_dedup: of documents linked by shingles of five words at a similarity of 0.8 the smallest doc_id stays.
+4. decontamination: documents that hold benchmark windows in a twentieth of their words go.
+5. packing: the rest, as pieces of at most 2048 tokens with their places in sequences.
+
+Every stage reads whole texts of all rows that the stage before kept. Ids of rows that go are a small table: it is
+broadcast if a count shows that it is short, and joined by sort-merge otherwise. doc_id may be null; rows that repeat
+doc_id and text are one row after stage 2. Columns beyond doc_id and text pass through stages 1 to 4 unread.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledger_spark.llm import decontam, exact, jaccard, packing, quality
+from ledger_spark.llm.queries import tokenizer_path
+from ledger_spark.llm.shared import materialize, read, small_batches
 
 ORACLE_SQL = None
-STAGES = []
+SHORT = 500_000  # rows of two columns that may be broadcast
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """docs that match no row of gone under the condition."""
+    gone = materialize(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= SHORT else gone.hint("merge"), same, "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    score = quality.scorer(spark, quality.train(docs, read(spark, sf_dir, "labels")))
+    return docs.filter(score("text") >= 0.7)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = materialize(exact.exact_dedup(docs)).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    rows = materialize(rows)
+    if rows.filter("kept AND n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    gone = rows.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256")
+    sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("text_sha256")))
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(docs, width=5, percent=80)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
+    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("gone_id"))
+    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", keep_distinct),
+    ("near_dedup", keep_one_of_near),
+    ("decontamination", keep_uncontaminated),
+    ("packing", pack),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

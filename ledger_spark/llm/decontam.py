@@ -50,8 +50,9 @@ def window_shingles(windows: DataFrame, width: int) -> DataFrame:
 
 def shingle_hits(docs: DataFrame, shingles: DataFrame, widths: list[int], blocks: int) -> tuple[DataFrame, DataFrame]:
     """rows(row, doc_id, n_words) and hits(row, n_words, pos, shingle)."""
-    own = docs.select(F.col("doc_id").cast("long"), words().alias("w"), F.monotonically_increasing_id().alias("row"))
-    own = own.select("row", "doc_id", "w", F.size("w").alias("n_words"))
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    own = own if blocks == 1 else materialize(own)  # each block then sees the same row numbers
+    own = own.select("row", "doc_id", words().alias("w")).select("row", "doc_id", "w", F.size("w").alias("n_words"))
     found = None
     for block in range(blocks):
         part = shingles.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == block)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact, jaccard, packing, sharding, token_counts, url_filter
+from . import chat, decontam, exact, jaccard, packing, quality, sharding, span_dedup, token_counts, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ FROM t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_chat_rotation, op4_virtual_slot_sharding, op5_url_bloom_cascade, op8_ngram_jaccard_join, op9_exact_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_chat_rotation, op4_virtual_slot_sharding, op5_url_bloom_cascade, op6_sentence_span_dedup, op7_attention_quality, op8_ngram_jaccard_join, op9_exact_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
