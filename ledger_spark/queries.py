@@ -1,11 +1,463 @@
-"""One query per ledger operator, and its SQL."""
+"""One query per ledger operator over the driver's tables, and the same result in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledger_spark import fixtures as fx
+from ledger_spark import rules
+from ledger_spark.functions import cells, text
+from ledger_spark.operators import dedupe, ledger, quality
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+WITH = f"WITH ledger AS ({fx.LEDGER_SQL})"
+STATED = f"{WITH}, statements AS ({fx.STATEMENTS_SQL})"
+LITERALS = ", ".join("'" + w.replace("'", "''") + "'" for w in [*rules.WIRE_DEDUCTIONS, *rules.DEDUCTIONS])
+STATUS = f"CASE WHEN credit IS NULL OR credit <= 0 THEN 'unknown' WHEN len(list_filter([{LITERALS}], lambda k: contains(upper(description), k))) > 0 THEN 'deduction' ELSE 'revenue' END"
+STATUSED = f"{WITH}, marked AS (SELECT *, {STATUS} AS status FROM ledger)"
+MONEY = "round(coalesce({}, 0)::DOUBLE, 2)"
+DEBITS, CREDITS, REVENUE = (MONEY.format(x) for x in ("sum(debit)", "sum(credit)", "sum(CASE WHEN status = 'revenue' THEN credit END)"))
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def stated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    txns = fx.ledger(spark, sf_dir)
+    return fx.statements(txns, fx.accounts(spark, sf_dir)), txns
+
+
+# ---- ledger analytics
+
+
+@query(f"{STATUSED} SELECT statement_id, txn_idx, description, credit::DOUBLE AS credit, status FROM marked")
+def H1_revenue_status(spark, sf_dir):
+    return ledger.with_status(fx.ledger(spark, sf_dir)).select("statement_id", "txn_idx", "description", F.col("credit").cast("double"), "status")
+
+
+@query(f"{STATUSED} SELECT account_id, {DEBITS} AS total_debits, {REVENUE} AS total_credits, round({REVENUE} - {DEBITS}, 2) AS net FROM marked GROUP BY account_id")
+def H2_totals(spark, sf_dir):
+    return ledger.totals(fx.ledger(spark, sf_dir), "account_id")
+
+
+@query(f"""{STATUSED}, c AS (SELECT *, strftime(date, '%Y-%m') AS month FROM marked WHERE status <> 'unknown')
+SELECT account_id, month, CAST(grouping(account_id, month) AS BIGINT) AS level, {CREDITS} AS raw_credits,
+       {MONEY.format("sum(CASE WHEN status = 'deduction' THEN credit END)")} AS deductions,
+       round({CREDITS} - {MONEY.format("sum(CASE WHEN status = 'deduction' THEN credit END)")}, 2) AS adjusted FROM c GROUP BY CUBE (account_id, month)""")
+def H3_adjusted_revenue(spark, sf_dir):
+    return ledger.adjusted_revenue(fx.ledger(spark, sf_dir))
+
+
+@query(f"{STATUSED} SELECT list_filter([{LITERALS}], lambda k: contains(upper(description), k))[1] AS keyword, count(*) AS n, {CREDITS} AS credits FROM marked WHERE status = 'deduction' GROUP BY 1")
+def H3_deductions_by_keyword(spark, sf_dir):
+    return ledger.deductions_by_keyword(fx.ledger(spark, sf_dir))
+
+
+@query(f"""{STATED} SELECT statement_id, account_id, user_id, file_name, uploaded_at, n_transactions, total_debits, total_credits FROM statements
+JOIN (SELECT statement_id, count(*) AS n_transactions, {DEBITS} AS total_debits, {CREDITS} AS total_credits FROM ledger GROUP BY statement_id) USING (statement_id)""")
+def H4_statement_list(spark, sf_dir):
+    return ledger.statement_list(*stated(spark, sf_dir))
+
+
+@query(f"{STATED} SELECT statement_id, file_name, count(*) AS n, string_agg(description, '|' ORDER BY date, txn_idx) AS descriptions FROM statements JOIN ledger USING (statement_id) GROUP BY 1, 2")
+def H5_nested_statements(spark, sf_dir):
+    out = ledger.nested(*stated(spark, sf_dir))
+    return out.select("statement_id", "file_name", F.size("transactions").cast("long").alias("n"), F.array_join("transactions.description", "|").alias("descriptions"))
+
+
+@query(f"{STATED} SELECT statement_id, file_name, txn_idx, date, description, debit::DOUBLE AS debit, credit::DOUBLE AS credit FROM statements JOIN ledger USING (statement_id) WHERE user_id = (SELECT min(user_id) FROM statements WHERE statement_id = (SELECT min(statement_id) FROM ledger)) AND statement_id = (SELECT min(statement_id) FROM ledger)")
+def H6_one_statement(spark, sf_dir):
+    statements, txns = stated(spark, sf_dir)
+    first = statements.agg(F.min(F.struct("statement_id", "user_id")).alias("s")).select("s.*").first()
+    out = ledger.one_statement(statements, txns, fx.accounts(spark, sf_dir), first["user_id"], first["statement_id"])
+    return out.select("statement_id", "file_name", "txn_idx", "date", "description", F.col("debit").cast("double"), F.col("credit").cast("double"))
+
+
+@query(f"{WITH} SELECT account_id, count(*) AS n FROM ledger JOIN customer ON c_custkey = account_id WHERE c_nationkey = 7 GROUP BY account_id")
+def H7_tenant_scope(spark, sf_dir):
+    return ledger.scoped(fx.ledger(spark, sf_dir), fx.accounts(spark, sf_dir), 7).groupBy("account_id").agg(F.count("*").alias("n"))
+
+
+@query(f"{STATED} SELECT statement_id, file_name, txn_idx, date, description FROM statements JOIN ledger USING (statement_id) WHERE coalesce(debit, 0) > 0 OR coalesce(credit, 0) > 0")
+def H8_flattened(spark, sf_dir):
+    return ledger.flattened(ledger.nested(*stated(spark, sf_dir))).select("statement_id", "file_name", "txn_idx", "date", "description")
+
+
+@query(f"""{STATUSED} SELECT {MONEY.format("sum(CASE WHEN status = 'revenue' AND date >= DATE '1995-01-01' THEN credit END)")} AS total_credits,
+{MONEY.format("sum(CASE WHEN date >= DATE '1995-01-01' THEN debit END)")} AS total_debits, count(*) AS n_transactions, count(DISTINCT statement_id) AS n_statements,
+round({MONEY.format("sum(CASE WHEN status = 'revenue' AND date >= DATE '1995-01-01' THEN credit END)")} - {MONEY.format("sum(CASE WHEN date >= DATE '1995-01-01' THEN debit END)")}, 2) AS net FROM marked""")
+def H9_summary(spark, sf_dir):
+    return ledger.summary(fx.ledger(spark, sf_dir), F.col("date") >= F.lit("1995-01-01").cast("date"))
+
+
+@query(f"{WITH} SELECT coalesce(strftime(date, '%b'), 'Unknown') AS month_name, {CREDITS} AS inflow, {DEBITS} AS outflow, round({CREDITS} - {DEBITS}, 2) AS net_flow FROM ledger GROUP BY 1")
+def H10_month_names(spark, sf_dir):
+    return ledger.monthly(fx.ledger(spark, sf_dir), "month_name")
+
+
+@query(f"{WITH} SELECT coalesce(strftime(date, '%Y-%m'), 'Unknown') AS month, {CREDITS} AS inflow, {DEBITS} AS outflow, round({CREDITS} - {DEBITS}, 2) AS net_flow FROM ledger GROUP BY 1")
+def H11_monthly_flow(spark, sf_dir):
+    return ledger.monthly(fx.ledger(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT statement_id, txn_idx, date, description FROM ledger ORDER BY date DESC, statement_id DESC, txn_idx DESC LIMIT 8")
+def H12_recent(spark, sf_dir):
+    return ledger.recent(fx.ledger(spark, sf_dir)).select("statement_id", "txn_idx", "date", "description")
+
+
+@query(f"{STATED} SELECT statement_id, txn_idx, date, description FROM ledger JOIN statements USING (statement_id) WHERE contains(lower(description), 'deposit') AND credit > 0")
+def H13_search(spark, sf_dir):
+    statements, txns = stated(spark, sf_dir)
+    return ledger.search(txns.join(statements.select("statement_id", "file_name"), "statement_id"), "DEPOSIT", "credit").select("statement_id", "txn_idx", "date", "description")
+
+
+@query("""WITH known AS (SELECT c_custkey AS account_id, c_nationkey AS user_id, '****' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS account_number, 'Example Bank' AS bank_name FROM customer),
+arrived AS (SELECT user_id, account_number, CASE WHEN account_id % 2 = 0 THEN 'Renamed Bank' END AS bank_name FROM known WHERE account_id % 5 < 2
+ UNION ALL SELECT user_id, account_number || 'N', NULL FROM known WHERE account_id % 7 = 0)
+SELECT coalesce(k.user_id, a.user_id) AS user_id, coalesce(k.account_number, a.account_number) AS account_number, coalesce(a.bank_name, k.bank_name, 'Unknown Bank') AS bank_name, k.account_id IS NULL AS is_new
+FROM known k FULL JOIN arrived a ON k.user_id = a.user_id AND k.account_number = a.account_number""")
+def H14_account_upsert(spark, sf_dir):
+    known = fx.accounts(spark, sf_dir)
+    renamed = known.filter("account_id % 5 < 2").select("user_id", "account_number", F.when(F.col("account_id") % 2 == 0, "Renamed Bank").alias("bank_name"))
+    new = known.filter("account_id % 7 = 0").select("user_id", F.concat("account_number", F.lit("N")).alias("account_number"), F.lit(None).cast("string").alias("bank_name"))
+    return ledger.merged_accounts(known, renamed.unionByName(new))
+
+
+@query(f"""{WITH}, t AS (SELECT statement_id, txn_idx, description FROM ledger)
+SELECT * FROM t WHERE statement_id % 3 <> 0 UNION ALL SELECT statement_id, txn_idx, 'new ' || description FROM t WHERE statement_id % 3 = 0 AND txn_idx <= 2""")
+def H15_statement_upsert(spark, sf_dir):
+    known = fx.ledger(spark, sf_dir).select("statement_id", "txn_idx", "description")
+    arrived = known.filter("statement_id % 3 = 0 AND txn_idx <= 2").withColumn("description", F.concat(F.lit("new "), "description"))
+    return ledger.replaced(known, arrived)
+
+
+@query(f"""{WITH}, a AS (SELECT c_custkey AS account_id FROM customer WHERE c_nationkey <> 3), l AS (SELECT * FROM ledger WHERE account_id IN (SELECT account_id FROM a))
+SELECT 'accounts' AS level, (SELECT count(*) FROM a) AS n UNION ALL SELECT 'statements', (SELECT count(DISTINCT statement_id) FROM l) UNION ALL SELECT 'transactions', (SELECT count(*) FROM l)""")
+def H16_cascade_delete(spark, sf_dir):
+    statements, txns = stated(spark, sf_dir)
+    accounts = fx.accounts(spark, sf_dir)
+    users = accounts.select("user_id").distinct()
+    left = ledger.deleted(users, accounts, statements, txns, users.filter("user_id = 3"), "user_id")
+    each = [df.agg(F.lit(name).alias("level"), F.count("*").alias("n")) for name, df in zip(("accounts", "statements", "transactions"), left[1:])]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def H17_uniqueness(spark, sf_dir):
+    return ledger.violations(fx.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(f"{STATED} SELECT statement_id, file_name FROM statements ORDER BY uploaded_at DESC, statement_id DESC LIMIT 1")
+def H18_active_document(spark, sf_dir):
+    return ledger.active_document(stated(spark, sf_dir)[0])
+
+
+@query(f"{STATED} SELECT file_name, min(date) AS first_date FROM ledger JOIN statements USING (statement_id) GROUP BY file_name")
+def H19_sources(spark, sf_dir):
+    statements, txns = stated(spark, sf_dir)
+    return ledger.sources(txns.join(statements.select("statement_id", "file_name"), "statement_id"))
+
+
+@query(f"{WITH} SELECT statement_id, txn_idx, date, debit::DOUBLE AS debit FROM ledger ORDER BY debit DESC NULLS LAST, statement_id, txn_idx LIMIT 15 OFFSET 30")
+def H20_page(spark, sf_dir):
+    return ledger.page(fx.ledger(spark, sf_dir), "debit", number=2).select("statement_id", "txn_idx", "date", F.col("debit").cast("double"))
+
+
+@query(f"{STATUSED} SELECT statement_id, CAST(grouping(statement_id) AS INT) AS is_total, {DEBITS} AS total_debits, {REVENUE} AS total_credits FROM marked GROUP BY ROLLUP (statement_id)")
+def H21_total_row(spark, sf_dir):
+    return ledger.with_total_row(fx.ledger(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT statement_id, txn_idx, description, txn_idx AS place FROM ledger WHERE txn_idx <= 20")
+def H22_first_rows(spark, sf_dir):
+    return ledger.first_rows(fx.ledger(spark, sf_dir)).select("statement_id", "txn_idx", "description", "place")
+
+
+@query(f"""{STATED}, d AS (SELECT file_name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY statement_id) AS INT) AS doc_pos, user_id FROM statements),
+e AS (SELECT file_name, doc_pos FROM d WHERE user_id = 1), u AS (SELECT CASE doc_pos % 3 WHEN 0 THEN file_name WHEN 1 THEN upper(file_name) ELSE 'other' || CAST(doc_pos AS VARCHAR) END AS name, doc_pos AS pos FROM e),
+m AS (SELECT name, pos, 1 AS tier, doc_pos, file_name FROM u JOIN e ON name = file_name UNION ALL SELECT name, pos, 2, doc_pos, file_name FROM u JOIN e ON lower(name) = lower(file_name) UNION ALL SELECT name, pos, 3, doc_pos, file_name FROM u JOIN e ON pos = doc_pos)
+SELECT name, pos, min(tier)::INT AS tier, arg_min(file_name, tier * 1000000 + doc_pos) AS file_name FROM m GROUP BY name, pos""")
+def H23_resolve_names(spark, sf_dir):
+    from pyspark.sql import Window
+
+    statements, _ = stated(spark, sf_dir)
+    docs = statements.withColumn("doc_pos", F.row_number().over(Window.partitionBy("user_id").orderBy("statement_id"))).filter("user_id = 1").select("file_name", "doc_pos")
+    third = F.col("doc_pos") % 3
+    uploads = docs.select(F.when(third == 0, F.col("file_name")).when(third == 1, F.upper("file_name")).otherwise(F.concat(F.lit("other"), F.col("doc_pos").cast("string"))).alias("name"), F.col("doc_pos").alias("pos"))
+    return ledger.resolved(uploads, docs)
+
+
+# ---- quality
+
+
+@query(f"{WITH} SELECT statement_id, round(avg(30 + CASE WHEN length(description) > 3 THEN 20 ELSE 0 END + 40) / 100, 2) AS confidence FROM ledger GROUP BY 1")
+def G1_confidence(spark, sf_dir):
+    return quality.confidence(fx.ledger(spark, sf_dir))
+
+
+@query(f"""{WITH}, w AS (SELECT *, lag(balance) OVER (PARTITION BY statement_id ORDER BY txn_idx) AS p FROM ledger),
+g AS (SELECT statement_id, count(*) FILTER (txn_idx > 1) AS checks, count(*) FILTER (txn_idx > 1 AND abs(p + coalesce(credit, 0) - coalesce(debit, 0) - balance) > 0.05) AS failures FROM w GROUP BY 1)
+SELECT statement_id, checks, failures, 0::BIGINT AS both_sides, checks >= 3 AND failures / greatest(checks, 1) > 0.25 AS unreconciled FROM g""")
+def G2_reconciliation(spark, sf_dir):
+    return quality.reconciliation(fx.ledger(spark, sf_dir)).drop("warnings")
+
+
+@query(f"{WITH} SELECT statement_id, {DEBITS} AS total_debits, {CREDITS} AS total_credits FROM ledger GROUP BY 1")
+def G3_statement_totals(spark, sf_dir):
+    return ledger.all_totals(fx.ledger(spark, sf_dir), "statement_id")
+
+
+SIGNALS = """SELECT doc_id, doc_id % 4 AS eof_markers, doc_id % 11 = 0 AS encrypted, CASE WHEN doc_id % 5 = 0 THEN 'Made with Canva' END AS meta_text, text AS text_sample, doc_id % 3 AS overlay_pages,
+doc_id % 4 AS fragmented_font_pages, CAST(doc_id % 9 / 8 AS INT) AS annotations FROM documents"""
+
+
+def signals(spark, sf_dir):
+    d = F.col("doc_id")
+    return fx.table(spark, sf_dir, "documents").select(d, (d % 4).cast("int").alias("eof_markers"), (d % 11 == 0).alias("encrypted"), F.when(d % 5 == 0, "Made with Canva").alias("meta_text"), F.col("text").alias("text_sample"), (d % 3).cast("int").alias("overlay_pages"), (d % 4).cast("int").alias("fragmented_font_pages"), F.floor(d % 9 / 8).cast("int").alias("annotations"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, doc_id % 4 AS eof, doc_id % 11 = 0 AS enc, doc_id % 5 = 0 AS ed, coalesce(text, '') AS t, doc_id % 3 AS ov, doc_id % 4 AS fr, doc_id % 9 = 8 AS an FROM documents),
+k AS (SELECT *, len(list_filter({rules.BANK_WORDS}, lambda x: contains(lower(t), x)))::INT AS bank_words, len(list_filter({[p.replace(chr(92) * 2, chr(92)) for p in rules.DRAFT_WORDS]!r}, lambda x: regexp_matches(lower(t), replace(x, chr(92) || chr(92), chr(92)))))::INT AS n_drafts FROM s),
+r AS (SELECT *, least(100, CASE WHEN eof - 1 >= 2 THEN 25 ELSE 0 END + CASE WHEN enc THEN 30 ELSE 0 END + CASE WHEN ed THEN 35 ELSE 0 END + CASE WHEN n_drafts > 0 THEN 35 ELSE 0 END
+ + CASE WHEN length(trim(t)) > 300 AND bank_words < 2 THEN 20 ELSE 0 END + CASE WHEN ov >= 2 THEN 25 ELSE 0 END + CASE WHEN fr >= 2 THEN 20 ELSE 0 END + CASE WHEN an THEN 40 ELSE 0 END)::INT AS risk_score FROM k)
+SELECT doc_id, risk_score, CASE WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' ELSE 'low' END AS risk_level, risk_score >= 70 AS rejected, bank_words, CASE WHEN ed THEN 1 ELSE 0 END AS n_editors, n_drafts FROM r""")
+def G9_alteration_risk(spark, sf_dir):
+    return quality.alteration_risk(signals(spark, sf_dir)).drop("reasons")
+
+
+@query("SELECT page_id, greatest(len(string_split(html, '<p>')) - 2, 0)::INT AS saves FROM pages")
+def G10_marker_count(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", text.markers(F.encode("html", "UTF-8"), "<p>").alias("saves"))
+
+
+@query(f"SELECT doc_id, len(list_filter({rules.BANK_WORDS}, lambda x: contains(lower(coalesce(text, '')), x)))::INT AS bank_words FROM documents")
+def G11_text_signals(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", quality.text_signals(F.coalesce("text", F.lit("")))[1].alias("bank_words"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'canva' ELSE '' END AS editors FROM documents")
+def G12_editors(spark, sf_dir):
+    return signals(spark, sf_dir).select("doc_id", F.array_join(F.slice(quality.editors(F.col("meta_text")), 1, 3), ",").alias("editors"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount, least(round(l_discount * 1000 / 100 * 100), 100)::INT AS percent, CASE WHEN least(round(l_discount * 1000), 100) >= 90 THEN 'high' WHEN least(round(l_discount * 1000), 100) >= 70 THEN 'medium' ELSE 'low' END AS tone FROM lineitem")
+def G13_accuracy_tone(spark, sf_dir):
+    percent, tone = quality.accuracy(F.col("l_discount") * 10)
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", percent.alias("percent"), tone.alias("tone"))
+
+
+@query(f"""{WITH}, w AS (SELECT *, lag(balance) OVER (PARTITION BY statement_id ORDER BY txn_idx) AS p FROM ledger),
+g AS (SELECT statement_id, count(*) FILTER (txn_idx > 1) AS checks, count(*) FILTER (txn_idx > 1 AND abs(p + coalesce(credit, 0) - coalesce(debit, 0) - balance) > 0.05) AS failures, count(*) AS n FROM w GROUP BY 1),
+t AS (SELECT statement_id, CASE WHEN checks >= 3 AND failures / greatest(checks, 1) > 0.25 THEN failures || ' of ' || checks || ' balances do not follow' END AS a, CASE WHEN n = 1 THEN 'one row' END AS b FROM g)
+SELECT statement_id, concat_ws('; ', a, b) AS warnings FROM t WHERE a IS NOT NULL OR b IS NOT NULL""")
+def G14_warnings(spark, sf_dir):
+    txns = fx.ledger(spark, sf_dir)
+    single = txns.groupBy("statement_id").agg(F.count("*").alias("n")).select("statement_id", F.array_compact(F.array(F.when(F.col("n") == 1, "one row"))).alias("warnings"))
+    out = quality.collected_warnings([quality.reconciliation(txns), single])
+    return out.select("statement_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(f"{WITH} SELECT c_custkey AS account_id, CASE WHEN count(statement_id) > 0 THEN 'processed' ELSE 'failed' END AS status FROM customer LEFT JOIN ledger ON account_id = c_custkey GROUP BY 1")
+def G15_status(spark, sf_dir):
+    counts = fx.ledger(spark, sf_dir).groupBy("account_id").agg(F.count("*").alias("n"))
+    return fx.accounts(spark, sf_dir).join(counts, "account_id", "left").select("account_id", quality.status(F.col("n")).alias("status"))
+
+
+# ---- fingerprints and duplicates
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS file_hash FROM documents")
+def B1_file_fingerprint(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", dedupe.file_fingerprint(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("file_hash"))
+
+
+def _line(d: str) -> str:
+    used = lambda c: f"coalesce(CAST(nullif({c}, 0) AS VARCHAR), '')"
+    return f"CAST({d}date AS VARCHAR) || chr(31) || lower(trim({d}description)) || chr(31) || {used(d + 'debit')} || chr(31) || {used(d + 'credit')} || chr(31) || {used(d + 'balance')}"
+
+
+HASHED = f"""h AS (SELECT s.statement_id, s.user_id, s.file_name, s.file_hash, s.uploaded_at, sha256('example bank' || chr(31) || upper(replace(translate(s.account_number, '*', 'X'), '-', '')) || chr(31) || CAST(s.current_balance AS VARCHAR) || chr(31) || CAST(l.n AS VARCHAR) || chr(29) || l.lines) AS content_hash
+FROM statements s JOIN (SELECT statement_id, count(*) AS n, string_agg({_line('')}, chr(30) ORDER BY encode({_line('')})) AS lines FROM ledger GROUP BY 1) l USING (statement_id))"""
+
+
+@query(f"{STATED}, {HASHED} SELECT statement_id, content_hash FROM h")
+def B2_content_fingerprint(spark, sf_dir):
+    return dedupe.content_fingerprint(*stated(spark, sf_dir))
+
+
+def hashed(spark, sf_dir):
+    statements, txns = stated(spark, sf_dir)
+    return statements.join(dedupe.content_fingerprint(statements, txns), "statement_id")
+
+
+#: arrivals over history: every third statement again; of these a third with the same file, a third with other bytes but
+#: the same content, a third with both changed
+ARRIVED = """a AS (SELECT user_id, statement_id + 1000000000 AS statement_id, CASE WHEN statement_id % 9 = 0 THEN file_hash ELSE 'x' || file_hash END AS file_hash,
+CASE WHEN statement_id % 9 = 6 THEN 'x' || content_hash ELSE content_hash END AS content_hash FROM h WHERE statement_id % 3 = 0)"""
+
+
+def arrivals(history):
+    s = F.col("statement_id")
+    return history.filter(s % 3 == 0).select("user_id", (s + 1000000000).alias("statement_id"), F.when(s % 9 == 0, F.col("file_hash")).otherwise(F.concat(F.lit("x"), "file_hash")).alias("file_hash"), F.when(s % 9 == 6, F.concat(F.lit("x"), "content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
+
+
+FOUND = f"""f AS (SELECT a.user_id, a.statement_id, coalesce(arg_min(x.file_name, strftime(x.uploaded_at, '%Y%m%d') || x.file_name), NULL) AS by_file, arg_min(y.file_name, strftime(y.uploaded_at, '%Y%m%d') || y.file_name) AS by_content
+FROM a LEFT JOIN h x ON x.user_id = a.user_id AND x.file_hash = a.file_hash LEFT JOIN h y ON y.user_id = a.user_id AND y.content_hash = a.content_hash GROUP BY 1, 2)"""
+
+
+@query(f"""{STATED}, {HASHED}, {ARRIVED}, {FOUND} SELECT user_id, statement_id, by_file IS NOT NULL OR by_content IS NOT NULL AS is_duplicate,
+CASE WHEN by_file IS NOT NULL THEN 'exact_file' WHEN by_content IS NOT NULL THEN 'exact_content' END AS duplicate_type, CASE WHEN by_file IS NOT NULL OR by_content IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, coalesce(by_file, by_content) AS original_name FROM f""")
+def B3_duplicates(spark, sf_dir):
+    history = hashed(spark, sf_dir)
+    return dedupe.duplicates(arrivals(history), history)
+
+
+@query(f"{STATED}, {HASHED}, {ARRIVED} SELECT user_id, file_hash, statement_id, content_hash FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = a.user_id AND h.file_hash = a.file_hash)")
+def B4_unseen_files(spark, sf_dir):
+    history = hashed(spark, sf_dir)
+    return dedupe.unseen(arrivals(history), history)
+
+
+#: copies of every tenth account's statements: as they are, with word 4 of a description changed, with a credit changed
+#: by 5, without every fourth row
+COPIES = f"""t AS (SELECT *, 0 AS v FROM ledger WHERE account_id % 10 = 0),
+c AS (SELECT statement_id, txn_idx, date, description, debit, credit, v FROM t
+ UNION ALL SELECT statement_id * 10 + 1, txn_idx, date, description, debit, credit, 1 FROM t
+ UNION ALL SELECT statement_id * 10 + 2, txn_idx, date, CASE WHEN txn_idx = 1 THEN description || ' changed' ELSE description END, debit, credit, 2 FROM t
+ UNION ALL SELECT statement_id * 10 + 3, txn_idx, date, description, debit, credit + CASE WHEN txn_idx = 1 THEN 5 ELSE 0 END, 3 FROM t
+ UNION ALL SELECT statement_id * 10 + 4, txn_idx, date, description, debit, credit, 4 FROM t WHERE txn_idx % 4 <> 1)"""
+
+
+def copies(spark, sf_dir):
+    txns = fx.ledger(spark, sf_dir).filter("account_id % 10 = 0").drop("k1")
+    s, first = F.col("statement_id"), F.col("txn_idx") == 1
+    out = [
+        txns, txns.withColumn("statement_id", s * 10 + 1),
+        txns.withColumn("description", F.when(first, F.concat("description", F.lit(" changed"))).otherwise(F.col("description"))).withColumn("statement_id", s * 10 + 2),
+        txns.withColumn("credit", (F.col("credit") + F.when(first, 5).otherwise(0)).cast("decimal(14,2)")).withColumn("statement_id", s * 10 + 3),
+        txns.filter("txn_idx % 4 <> 1").withColumn("statement_id", s * 10 + 4),
+    ]
+    every = out[0]
+    for one in out[1:]:
+        every = every.unionByName(one)
+    pairs = txns.select("statement_id").distinct().select(s.alias("a"), F.explode(F.array(*(s * 10 + k for k in (1, 2, 3, 4)))).alias("b"))
+    return every, pairs
+
+
+PREFIX = "array_to_string(regexp_split_to_array(lower(trim(description)), '\\s+')[1:3], ' ')"
+SIMILAR = f"""{WITH}, {COPIES}, n AS (SELECT statement_id AS s, count(*) AS n FROM c GROUP BY 1),
+p AS (SELECT s AS a, s * 10 + k AS b FROM n, (VALUES (1), (2), (3), (4)) w(k) WHERE s IN (SELECT statement_id FROM t)),
+m AS (SELECT p.a, p.b, count(*) AS matched FROM p JOIN c x ON x.statement_id = p.a WHERE EXISTS (SELECT 1 FROM c y WHERE y.statement_id = p.b AND y.date = x.date AND {PREFIX.replace('description', 'y.description')} = {PREFIX.replace('description', 'x.description')}
+ AND abs(coalesce(y.debit, 0) - coalesce(x.debit, 0)) <= 0.01 AND abs(coalesce(y.credit, 0) - coalesce(x.credit, 0)) <= 0.01) GROUP BY 1, 2),
+b5 AS (SELECT p.a, p.b, CASE WHEN greatest(u.n, coalesce(w.n, 0)) = 0 THEN 1.0 WHEN least(u.n, coalesce(w.n, 0)) = 0 OR least(u.n, coalesce(w.n, 0)) / greatest(u.n, coalesce(w.n, 0)) < 0.8 THEN 0.0 ELSE coalesce(matched, 0) / greatest(u.n, coalesce(w.n, 0)) END AS similarity
+FROM p JOIN n u ON u.s = p.a LEFT JOIN n w ON w.s = p.b LEFT JOIN m ON m.a = p.a AND m.b = p.b)"""
+
+
+@query(f"{SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM b5")
+def B5_transaction_similarity(spark, sf_dir):
+    txns, pairs = copies(spark, sf_dir)
+    return dedupe.transaction_similarity(pairs, txns).withColumn("similarity", F.round("similarity", 6))
+
+
+def copied_statements(txns):
+    s = F.col("statement_id")
+    base = F.when(s > 10**9, F.floor(s / 10)).otherwise(s)
+    return txns.select("statement_id").distinct().select("statement_id", F.lit("Example Bank").alias("bank_name"), F.concat(F.lit("****"), base.cast("string")).alias("account_number"), F.when(s % 2 == 1, F.lit(None)).otherwise(F.lit(10)).cast("decimal(14,2)").alias("current_balance"))
+
+
+def similar(spark, sf_dir):
+    txns, pairs = copies(spark, sf_dir)
+    metas = pairs.select(F.col("a").alias("statement_id"), F.col("a").alias("base")).distinct().unionByName(pairs.select(F.col("b").alias("statement_id"), F.col("a").alias("base")))
+    statements = metas.select("statement_id", F.lit("Example Bank").alias("bank_name"), F.concat(F.lit("****"), F.col("base").cast("string")).alias("account_number"), F.when(F.col("statement_id") % 2 == 0, F.lit(10)).cast("decimal(14,2)").alias("current_balance"))
+    return dedupe.statement_similarity(pairs, statements, txns)
+
+
+@query(f"{SIMILAR} SELECT a, b, round(similarity, 6) AS transactions, 1.0::DOUBLE AS metadata, round(similarity * 0.8 + 0.2, 6) AS overall FROM b5")
+def B6_statement_similarity(spark, sf_dir):
+    return similar(spark, sf_dir)
+
+
+@query(f"{SIMILAR} SELECT a, min(b) AS duplicate_of FROM b5 WHERE round(similarity * 0.8 + 0.2, 6) >= 0.95 GROUP BY a")
+def B7_near_duplicate(spark, sf_dir):
+    found = similar(spark, sf_dir)
+    return dedupe.near_duplicate(found, found.select("b").distinct().select("b", F.col("b").alias("ord")))
+
+
+@query(f"""{STATED}, {HASHED}, {ARRIVED}, {FOUND} SELECT statement_id, CASE WHEN by_file IS NOT NULL OR by_content IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
+CASE WHEN by_file IS NOT NULL THEN 'copy of an earlier file: rows would be counted twice' WHEN by_content IS NOT NULL THEN 'same rows as an earlier statement: rescanned or renamed' ELSE 'unique: process' END AS recommendation,
+CASE WHEN by_file IS NULL AND by_content IS NULL THEN 'process' ELSE 'skip;open ' || coalesce(by_file, by_content) || ';compare' END AS actions FROM f""")
+def B8_report(spark, sf_dir):
+    history = hashed(spark, sf_dir)
+    return dedupe.report(dedupe.duplicates(arrivals(history), history)).withColumn("actions", F.array_join("actions", ";"))
+
+
+FILES = """f AS (SELECT file_name AS name, statement_id AS seq FROM statements UNION ALL SELECT upper(file_name), statement_id + 1000000000 FROM statements WHERE statement_id % 7 = 0)"""
+
+
+def files(spark, sf_dir):
+    statements, _ = stated(spark, sf_dir)
+    return statements.select(F.col("file_name").alias("name"), F.col("statement_id").alias("seq")).unionByName(statements.filter("statement_id % 7 = 0").select(F.upper("file_name").alias("name"), (F.col("statement_id") + 1000000000).alias("seq")))
+
+
+@query(f"{STATED}, {FILES}, k AS (SELECT DISTINCT lower(file_name) AS known FROM statements WHERE statement_id % 11 = 0) SELECT name, seq, row_number() OVER (PARTITION BY lower(name) ORDER BY seq) > 1 OR known IS NOT NULL AS is_duplicate FROM f LEFT JOIN k ON lower(name) = known")
+def B9_name_duplicates(spark, sf_dir):
+    history = stated(spark, sf_dir)[0].filter("statement_id % 11 = 0").select(F.col("file_name").alias("name"))
+    return dedupe.name_duplicates(files(spark, sf_dir), history)
+
+
+@query(f"{WITH}, d AS (SELECT statement_id, txn_idx, date, debit, credit, description FROM ledger UNION ALL SELECT statement_id, txn_idx + 1000, date, debit, credit, upper(description) FROM ledger WHERE txn_idx % 5 = 0) SELECT statement_id, txn_idx FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, date, debit, credit, lower(trim(description))[1:100] ORDER BY txn_idx) AS k FROM d) WHERE k = 1")
+def B10_row_dedupe(spark, sf_dir):
+    txns = fx.ledger(spark, sf_dir).drop("k1", "account_id", "balance")
+    again = txns.filter("txn_idx % 5 = 0").withColumn("txn_idx", F.col("txn_idx") + 1000)
+    return dedupe.distinct_transactions(txns.unionByName(again)).select("statement_id", "txn_idx")
+
+
+@query("SELECT c_custkey, upper(replace(replace(replace('** x-' || CAST(c_custkey AS VARCHAR), '*', 'X'), ' ', ''), '-', '')) AS account FROM customer")
+def B11_account_number(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", text.normalized_account(F.concat(F.lit("** x-"), F.col("c_custkey").cast("string"))).alias("account"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS account FROM customer")
+def B12_made_up_account(spark, sf_dir):
+    made = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Account-abc"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")))
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", text.shown_account(made).alias("account"))
+
+
+@query(f"SELECT doc_id, {PREFIX.replace('description', 'text')} AS prefix FROM documents WHERE text IS NOT NULL")
+def B13_prefix(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.prefix(F.col("text")).alias("prefix"))
+
+
+# ---- cell typing
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_orderkey + l_linenumber) % 8 AS INT) AS style, CASE CAST((l_orderkey + l_linenumber) % 8 AS INT) WHEN 7 THEN NULL WHEN 1 THEN -round(l_extendedprice, 2) WHEN 2 THEN -round(l_extendedprice, 2) WHEN 4 THEN -round(l_extendedprice, 2) ELSE round(l_extendedprice, 2) END AS amount FROM lineitem")
+def D1_amounts(spark, sf_dir):
+    return fx.messy_amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "style", cells.amount("raw").alias("amount"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey + l_linenumber) % 9 AS INT) AS style, CAST(l_shipdate AS DATE) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, style, CASE WHEN style = 2 AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END AS date FROM d""")
+def D2_dates(spark, sf_dir):
+    return fx.messy_dates(spark, sf_dir).select("l_orderkey", "l_linenumber", "style", cells.date("raw", "stmt_year").alias("date"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
