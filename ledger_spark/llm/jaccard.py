@@ -8,12 +8,12 @@ all documents and held in a bitmap of fixed size, so that two shingles of one bi
 1. Per document: set id, size and the prefix in hash order. Prefix shingles over all sets are counted; frequent ones
    get a bit.
 2. Prefixes in the final order are dealt by shingle. Sets that share none are done.
-3. Each set meets random neighbours in its shingles' groups. The few pairs that share most are tested; linked sets
-   become components, so that a family of near copies needs no further pairs.
+3. Each set meets a few neighbours in its shingles' groups. Pairs that share enough are tested; linked sets become
+   components, so that a family of near copies needs few further pairs.
 4. Groups of a shingle that still hold several components are tiles. Large ones are cut into bands of size, as linked
    sets differ in size by the threshold at most, and bands into salted parts; each pair of parts is a tile of its own.
    In a tile, pairs of different components pass if their sizes and signatures (bits that one has and the other
-   lacks bound the overlap from above) allow a link.
+   lacks bound the overlap from above) allow a link, and if they met in enough shingles of their prefixes.
 5. What passes is tested exactly, and the components are joined.
 
 Null and wordless texts have empty sets and no links. A null doc_id is smaller than any other. Repeated rows are equal
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -83,23 +83,25 @@ def sizes_fit(a, b, percent: int):
 
 
 def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, sid, n, low: a document's set and its prefix in hash order (left out where the task has seen the set)."""
+    """doc_id, sid, n, sig, low: a document's set, its signature and its prefix in hash order (both null and empty where
+    the task has seen the set)."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                ids, sizes, low = [], [], []
+                ids, sizes, sigs, low = [], [], [], []
                 for s in shingle_sets(texts, width):
                     sid = set_id(s)
+                    sigs.append(None if sid in seen else signature(s))
                     low.append(s[: 0 if sid in seen else prefix_length(len(s), percent)].view(np.int64))
                     ids.append(sid)
                     sizes.append(len(s))
                     if len(seen) < 1_000_000:
                         seen.add(sid)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "sig", "low"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, low array<long>")
+    return docs.mapInArrow(run, "doc_id long, sid long, n long, sig binary, low array<long>")
 
 
 def frequent_bits(sets: DataFrame, frequent: int = FREQUENT, bits: int = ORDER_BITS) -> np.ndarray:
@@ -143,15 +145,15 @@ def prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> Dat
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """sid, n, sig, arr: signature and sorted shingles as bytes."""
+    """sid, arr: sorted shingles as bytes."""
 
     def run(batches):
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                rows = [(set_id(s), len(s), signature(s), s.tobytes()) for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["sid", "n", "sig", "arr"])
+                rows = [(set_id(s), s.tobytes()) for s in shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["sid", "arr"])
 
-    return docs.select("text").mapInArrow(run, "sid long, n long, sig binary, arr binary")
+    return docs.select("text").mapInArrow(run, "sid long, arr binary")
 
 
 def _words64(column) -> np.ndarray:
@@ -164,8 +166,8 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, signatures: bool = True) -> DataFrame:
-    """The pairs(a, b) that are linked: by signature first, then exactly."""
+def plausible(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that sizes and signatures allow."""
 
     def bound(batches):
         for batch in batches:
@@ -173,6 +175,16 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, signatures: bool = T
             ok = may_link(get("n_a").to_numpy(), get("n_b").to_numpy(), _words64(get("sig_a")), _words64(get("sig_b")), percent)
             yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(ok))
 
+    return _both(pairs, unique, "n", "sig").mapInArrow(bound, "a long, b long")
+
+
+def linked(pairs: DataFrame, unique: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b), a stored table, that are linked by exact intersection. Only their sets are made again."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(unique.select("sid", "doc_id").hint("merge"), "sid").select("doc_id").distinct()
+    wanted = materialize(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted.hint("merge")
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
+
     def exact(batches):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -184,19 +196,25 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, signatures: bool = T
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    if signatures:
-        pairs = _both(pairs, sets, "n", "sig").mapInArrow(bound, "a long, b long")
-    return _both(pairs, sets, "arr").mapInArrow(exact, "a long, b long")
+    return _both(pairs, sets, "arr").mapInArrow(exact, "a long, b long").distinct()
+
 
+def enough_shared(n: str, m: str, shared: str, percent: int) -> Column:
+    """Whether sets of sizes n and m whose prefixes share that many shingles can be linked. What is linked has at least
+    `least` shingles in common. In the set whose prefix ends first in the order, shared shingles stand in both prefixes
+    or behind its own."""
+    behind = [F.floor((percent * F.col(x) + 99) / 100) - 1 for x in (n, m)]
+    least = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+    return F.col(shared) + F.greatest(*behind) >= least
 
-def neighbour_pairs(shared: DataFrame, percent: int, partners: int = 3) -> DataFrame:
-    """Pairs to try first: those of each set's neighbours that share most shingles with it. They only save later work."""
-    pairs = shared.filter(F.col("next").isNotNull() & sizes_fit("n", "next_n", percent)).select(F.least("sid", "next").alias("a"), F.greatest("sid", "next").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
-    for side, other in ("ab", "ba"):
-        best = Window.partitionBy(side).orderBy(F.desc("k"), other)
-        pairs = pairs.withColumn(f"r_{side}", F.row_number().over(best))
-    return pairs.filter((F.col("r_a") <= partners) | (F.col("r_b") <= partners)).select("a", "b")
+
+def neighbour_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs to try first: each set with the next ones, and with the first, of its shingles' groups in one order. Their
+    count over shingles is close to what the prefixes share, so few hopeless pairs are left. They only save later work."""
+    met = shared.select("sid", "n", F.explode(F.array(*(F.struct(F.col(f"s{k}").alias("sid"), F.col(f"n{k}").alias("n")) for k in range(4)))).alias("o"))
+    met = met.filter(F.col("o.sid").isNotNull() & (F.col("sid") != F.col("o.sid"))).select("sid", "n", F.col("o.sid").alias("t"), F.col("o.n").alias("m")).filter(sizes_fit("n", "m", percent))
+    pairs = met.groupBy(F.least("sid", "t").alias("a"), F.greatest("sid", "t").alias("b")).agg((2 * F.count("*")).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return pairs.filter(enough_shared("n", "m", "k", percent)).select("a", "b")
 
 
 def tiles(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
@@ -223,8 +241,8 @@ def tiles(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
 
 
 def pairs_in_tiles(placed: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components in one tile that sizes and signatures allow. placed is sorted by tile
-    inside its partitions."""
+    """a, b, n, m: pairs of different components in one tile that sizes and signatures allow, with their sizes. A pair
+    comes once from each shingle that both prefixes hold. placed is sorted by tile inside its partitions."""
 
     def near(t: np.ndarray, n, c, side, one, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows d apart, for every d up to the longest run."""
@@ -261,35 +279,37 @@ def pairs_in_tiles(placed: DataFrame, percent: int) -> DataFrame:
             sid, n, c, side = (table[x].combine_chunks().to_numpy() for x in ("sid", "n", "c", "side"))
             one, sig = table["one"].combine_chunks().to_numpy(zero_copy_only=False), _words64(table["sig"])
             for i, j in near(t, n, c, side, one, sig):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], ["a", "b"])
+                swap = sid[i] > sid[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], sid[j], n[i], n[j])], ["a", "b", "n", "m"])
 
     def table_of(batch: pa.RecordBatch) -> pa.Table:
         return pa.Table.from_batches([batch])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(run, "a long, b long, n long, m long")
 
 
-def set_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label: components of linked sets; a set without links has no row."""
     rows = prefixes(docs, width, percent, frequent_bits(sets)).repartition("token").dropDuplicates(["token", "sid"])
-    mixed = Window.partitionBy("token").orderBy(F.xxhash64("sid", "token"))
-    shared = rows.select("token", "sid", "n", F.lead("sid").over(mixed).alias("next"), F.lead("n").over(mixed).alias("next_n"), F.lag("sid").over(mixed).alias("last"))
-    shared = materialize(shared.filter("next IS NOT NULL OR last IS NOT NULL").drop("last"))
-
-    wanted = shared.select("sid").distinct().join(sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).hint("merge"), "sid").select("doc_id").distinct()
-    wanted = materialize(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted.hint("merge")
-    full = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-
-    first = materialize(linked(neighbour_pairs(shared, percent), full, percent).distinct())
+    order = Window.partitionBy("token").orderBy(F.xxhash64("sid"))
+    whole = order.rowsBetween(Window.unboundedPreceding, 0)
+    near = [F.first(c).over(whole).alias(f"{k}0") for c, k in (("sid", "s"), ("n", "n"))] + [F.lead(c, d).over(order).alias(f"{k}{d}") for d in (1, 2, 3) for c, k in (("sid", "s"), ("n", "n"))]
+    shared = rows.select("token", "sid", "n", *near)
+    shared = materialize(shared.filter("s1 IS NOT NULL OR s0 <> sid"))
+
+    first = materialize(plausible(neighbour_pairs(shared, percent), unique, percent))
+    first = materialize(linked(first, unique, docs, width, percent))
     labels = components(first)
     named = shared.select("token", "sid", "n").join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("c"))
     named = materialize(named)
     open_ = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     placed = tiles(named.join(open_.hint("merge"), "token", "left_semi"), percent)
-    placed = placed.join(full.select("sid", "sig").hint("merge"), "sid").withColumn("h", F.xxhash64("tile"))
+    placed = placed.join(unique.select("sid", "sig").hint("merge"), "sid").withColumn("h", F.xxhash64("tile"))
     placed = placed.repartition("h").sortWithinPartitions("h").select("h", "side", "one", "sid", "n", "c", "sig")
-    second = materialize(linked(materialize(pairs_in_tiles(placed, percent).distinct()), full, percent, signatures=False).distinct())
+    met = pairs_in_tiles(placed, percent).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    second = materialize(met.filter(enough_shared("n", "m", "k", percent)).select("a", "b"))
+    second = materialize(linked(second, unique, docs, width, percent))
     if not second.limit(1).count():
         return labels
     return components(first.unionByName(second))
@@ -300,10 +320,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     sets = materialize(document_sets(docs, width, percent))
-    labels = set_links(docs, sets.filter("n > 0"), width, percent)
-    own = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+    some = sets.filter("n > 0")
+    unique = materialize(some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
+    labels = set_links(docs, some, unique, width, percent)
+    own = unique.select("sid", F.col("doc_id").alias("first")).join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     smallest = own.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = own.join(smallest.hint("merge"), "label").select("sid", "component_id")
+    named = materialize(own.join(smallest.hint("merge"), "label").select("sid", "component_id"))
     out = sets.select("doc_id", "sid", "n").join(named.hint("merge"), "sid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
