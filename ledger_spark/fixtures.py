@@ -89,3 +89,80 @@ def messy_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DATES, lineitem=table(spark, sf_dir, "lineitem"))
+
+LAYOUTS = ["standard", "signed_amount", "multicolumn", "sectioned", "additions_subtractions", "repeated_blocks"]
+HEADERS = {
+    "standard": ["Date", "Description", "Debit", "Credit", "Balance"],
+    "signed_amount": ["Date", "Description", "Amount", "Balance"],
+    "multicolumn": ["Date", "Check#", "Tran Code", "Description", "Amount", "Balance"],
+    "sectioned": ["Account activity"],
+    "additions_subtractions": ["Date", "Description", "Additions", "Subtractions"],
+    "repeated_blocks": ["Date", "Description", "Amount", "Date", "Description", "Amount"],
+}
+BANK_OF = {"signed_amount": "First Example Bank", "repeated_blocks": "Example Credit Union"}
+
+
+def _cells(*values) -> "F.Column":
+    return F.array(*(F.lit(v) if isinstance(v, str) else v for v in values))
+
+
+def statement_rows(txns: DataFrame, layout: str) -> DataFrame:
+    """rows(doc_id, row_idx, cells): every statement of the ledger printed in one layout. Rows 0 to 2 are a preamble, 3 is
+    the header, each transaction has a dated row and, where k1 is divisible by 3, a row that continues it."""
+    doc, k = F.col("statement_id"), F.col("txn_idx")
+    day, text, money = F.date_format("date", "MM/dd/yyyy"), F.col("description"), lambda c: F.coalesce(F.format_number(c, 2), F.lit(""))
+    signed = F.coalesce(F.col("credit"), -F.col("debit"))
+    more = F.when(F.col("k1") % 3 == 0, _cells("", F.concat(F.lit("REF "), F.col("k1").cast("string"))))
+    line = {
+        "standard": _cells(day, text, money("debit"), money("credit"), money("balance")),
+        "signed_amount": _cells(day, text, money(signed), money("balance")),
+        "multicolumn": _cells(day, "", "TC", text, money(signed), money("balance")),
+        "sectioned": _cells(day, text, money(F.abs(signed))),
+        "additions_subtractions": _cells(day, text, money("credit"), money("debit")),
+    }
+    row = lambda at, cells: F.struct(at.cast("int").alias("row_idx"), cells.alias("cells"))
+    if layout == "repeated_blocks":
+        pair = txns.withColumn("half", F.floor((k - 1) / 2)).withColumn("part", _cells(day, text, money(F.abs(signed))))
+        body = pair.groupBy("statement_id", "half").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("txn_idx", "part"))), lambda p: p["part"])).alias("cells")).select(doc.alias("doc_id"), (F.col("half") + 4).cast("int").alias("row_idx"), "cells")
+    else:
+        at = 4 + 3 * (k - 1)
+        heading = F.when(F.col("credit").isNotNull(), "Deposits and other credits").otherwise("Withdrawals and other debits")
+        each = [row(at + 1, line[layout])] + ([row(at, _cells(heading))] if layout == "sectioned" else [row(at + 2, more)])
+        body = txns.select(doc.alias("doc_id"), F.explode(F.array(*each)).alias("r")).select("doc_id", "r.row_idx", "r.cells").filter("cells IS NOT NULL")
+    heads = txns.groupBy("account_id", "statement_id").agg(F.min("date").alias("d"), F.max("txn_idx").alias("n"), F.max_by("balance", "txn_idx").alias("last"))
+    tail = F.right(F.lpad(F.col("account_id").cast("string"), 6, "0"), F.lit(6))
+    fixed = [row(F.lit(0), _cells(BANK_OF.get(layout, "Plain Bank"))), row(F.lit(1), _cells(F.concat(F.lit("Account Number: ****"), tail))), row(F.lit(2), _cells(F.concat(F.lit("Statement Period 01/01/"), F.date_format("d", "yy")))), row(F.lit(3), _cells(*HEADERS[layout]))]
+    if layout in ("sectioned", "repeated_blocks"):
+        fixed.append(row(F.col("n") * 3 + 10, _cells(F.concat(F.lit("Ending Balance: $"), F.format_number(F.abs("last"), 2)))))
+    if layout == "repeated_blocks":
+        fixed.append(row(F.col("n") * 3 + 9, _cells(*HEADERS[layout])))
+    return body.unionByName(heads.select(doc.alias("doc_id"), F.explode(F.array(*fixed)).alias("r")).select("doc_id", "r.row_idx", "r.cells"))
+
+
+def mixed_rows(txns: DataFrame) -> DataFrame:
+    """Every statement once, layouts in turn."""
+    out = None
+    for k, layout in enumerate(LAYOUTS):
+        part = statement_rows(txns.filter(F.col("statement_id") % len(LAYOUTS) == k), layout)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def positioned_words(rows: DataFrame) -> DataFrame:
+    """words of rows(doc_id, row_idx, cells): 100 rows a page, columns 400 apart, characters 8 wide, tops jittered."""
+    at = rows.select("doc_id", "row_idx", F.posexplode("cells").alias("c", "cell"))
+    each = at.select("doc_id", "row_idx", "c", "cell", F.posexplode(F.split("cell", " ")).alias("k", "text")).filter("text <> ''")
+    before = F.length(F.array_join(F.slice(F.split("cell", " "), 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    x0 = (F.col("c") * 400 + before * 8).cast("double")
+    top = (20 * (F.col("row_idx") % 100) + (F.col("k") % 3)).cast("double")
+    return each.select("doc_id", (F.floor(F.col("row_idx") / 100) + 1).cast("int").alias("page_no"), (F.col("row_idx") * 100 + F.col("c") * 20 + F.col("k")).alias("word_idx"), "text", x0.alias("x0"), (x0 + 8 * F.length("text")).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(2400.0).alias("page_width"))
+
+
+def scanned_lines(rows: DataFrame) -> DataFrame:
+    """ocr_pages of rows: a line per cell that isn't empty, packed per page of 100 rows."""
+    at = rows.select("doc_id", "row_idx", F.posexplode("cells").alias("c", "cell")).filter("cell <> ''")
+    x0, y = (F.col("c") * 400).cast("double"), (20 * (F.col("row_idx") % 100)).cast("double")
+    box = F.array(x0, y, x0 + 8 * F.length("cell"), y + 10)
+    each = at.select("doc_id", (F.floor(F.col("row_idx") / 100) + 1).cast("int").alias("page_no"), F.struct("row_idx", "c", "cell", box.alias("box")).alias("l"))
+    lines = each.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    return lines.select("doc_id", "page_no", F.col("ls.cell").alias("texts"), F.transform("ls", lambda l: F.lit(0.9)).alias("scores"), F.col("ls.box").alias("boxes"))

@@ -159,15 +159,16 @@ def description_of(cells: Value, year: Value) -> Column:
 
 
 def type_cells(rows: DataFrame, year: Value) -> DataFrame:
-    """rows with typed: array of (text, amount, date). Distinct texts are typed once and joined back, as most cells of
-    a corpus repeat."""
-    cells = rows.select(F.explode("cells").alias("text"), col(year).cast("int").alias("year")).filter(F.col("text").isNotNull())
-    known = cells.distinct().select("text", "year", amount("text").alias("amount"), date("text", "year").alias("date"))
-    at = rows.select("doc_id", "row_idx", col(year).cast("int").alias("year"), F.posexplode("cells").alias("pos", "text"))
-    joined = at.join(known.hint("shuffle_hash"), (at["text"] == known["text"]) & at["year"].eqNullSafe(known["year"]), "left").select("doc_id", "row_idx", "pos", at["text"], "amount", "date")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "text", "amount", "date")))
-    packed = joined.groupBy("doc_id", "row_idx").agg(F.transform(ordered, lambda c: F.struct(c["text"], c["amount"], c["date"])).alias("typed"))
-    return rows.join(packed, ["doc_id", "row_idx"], "left")
+    """rows with typed: array of (text, amount, date, lead, rest); lead and rest are a leading date and what follows it.
+    Distinct texts are typed once and joined back, as most cells of a corpus repeat."""
+    at = rows.select("doc_id", "row_idx", col(year).cast("int").alias("year"), F.posexplode("cells").alias("pos", "text")).withColumn("text", stripped(F.coalesce("text", F.lit(""))))
+    lead, rest = split_date("text", "year")
+    known = at.select("text", "year").distinct().select(F.col("text").alias("_text"), F.col("year").alias("_year"), amount("text").alias("amount"), date("text", "year").alias("date"), lead.alias("lead"), rest.alias("rest"))
+    joined = at.join(known.hint("shuffle_hash"), (F.col("text") == F.col("_text")) & F.col("year").eqNullSafe(F.col("_year")), "left").select("doc_id", "row_idx", "pos", "text", "amount", "date", "lead", "rest")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "text", "amount", "date", "lead", "rest")))
+    packed = joined.groupBy("doc_id", "row_idx").agg(F.transform(ordered, lambda c: F.struct(c["text"], c["amount"], c["date"], c["lead"], c["rest"])).alias("typed"))
+    empty = F.array().cast("array<struct<text:string,amount:double,date:date,lead:date,rest:string>>")
+    return rows.join(packed, ["doc_id", "row_idx"], "left").withColumn("typed", F.coalesce("typed", empty))
 
 
 def coverage(typed: DataFrame) -> DataFrame:

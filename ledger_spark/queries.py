@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from ledger_spark import fixtures as fx
 from ledger_spark import rules
 from ledger_spark.functions import cells, text
-from ledger_spark.operators import dedupe, ledger, quality
+from ledger_spark.operators import dedupe, extract, layout, ledger, quality, structure
+from ledger_spark.plans import statements as plans
+from ledger_spark.sources import files as file_sources
+from ledger_spark.sources import sinks
+from ledger_spark.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,15 +190,10 @@ def H22_first_rows(spark, sf_dir):
     return ledger.first_rows(fx.ledger(spark, sf_dir)).select("statement_id", "txn_idx", "description", "place")
 
 
-@query(f"""{STATED}, d AS (SELECT file_name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY statement_id) AS INT) AS doc_pos, user_id FROM statements),
-e AS (SELECT file_name, doc_pos FROM d WHERE user_id = 1), u AS (SELECT CASE doc_pos % 3 WHEN 0 THEN file_name WHEN 1 THEN upper(file_name) ELSE 'other' || CAST(doc_pos AS VARCHAR) END AS name, doc_pos AS pos FROM e),
-m AS (SELECT name, pos, 1 AS tier, doc_pos, file_name FROM u JOIN e ON name = file_name UNION ALL SELECT name, pos, 2, doc_pos, file_name FROM u JOIN e ON lower(name) = lower(file_name) UNION ALL SELECT name, pos, 3, doc_pos, file_name FROM u JOIN e ON pos = doc_pos)
-SELECT name, pos, min(tier)::INT AS tier, arg_min(file_name, tier * 1000000 + doc_pos) AS file_name FROM m GROUP BY name, pos""")
+@query(f"""{STATED}, e AS (SELECT file_name, statement_id AS doc_pos FROM statements), u AS (SELECT CASE doc_pos % 3 WHEN 0 THEN file_name WHEN 1 THEN upper(file_name) ELSE 'other' || CAST(doc_pos AS VARCHAR) END AS name, doc_pos AS pos FROM e)
+SELECT name, pos, (CASE pos % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END)::INT AS tier, file_name FROM u JOIN e ON pos = doc_pos""")
 def H23_resolve_names(spark, sf_dir):
-    from pyspark.sql import Window
-
-    statements, _ = stated(spark, sf_dir)
-    docs = statements.withColumn("doc_pos", F.row_number().over(Window.partitionBy("user_id").orderBy("statement_id"))).filter("user_id = 1").select("file_name", "doc_pos")
+    docs = stated(spark, sf_dir)[0].select("file_name", F.col("statement_id").alias("doc_pos"))
     third = F.col("doc_pos") % 3
     uploads = docs.select(F.when(third == 0, F.col("file_name")).when(third == 1, F.upper("file_name")).otherwise(F.concat(F.lit("other"), F.col("doc_pos").cast("string"))).alias("name"), F.col("doc_pos").alias("pos"))
     return ledger.resolved(uploads, docs)
@@ -303,15 +302,15 @@ def hashed(spark, sf_dir):
     return statements.join(dedupe.content_fingerprint(statements, txns), "statement_id")
 
 
-#: arrivals over history: every third statement again; of these a third with the same file, a third with other bytes but
+#: arrivals over history: every statement again, a third with the same file, a third with other bytes but
 #: the same content, a third with both changed
-ARRIVED = """a AS (SELECT user_id, statement_id + 1000000000 AS statement_id, CASE WHEN statement_id % 9 = 0 THEN file_hash ELSE 'x' || file_hash END AS file_hash,
-CASE WHEN statement_id % 9 = 6 THEN 'x' || content_hash ELSE content_hash END AS content_hash FROM h WHERE statement_id % 3 = 0)"""
+ARRIVED = """a AS (SELECT user_id, statement_id + 1000000000 AS statement_id, CASE WHEN statement_id % 3 = 0 THEN file_hash ELSE 'x' || file_hash END AS file_hash,
+CASE WHEN statement_id % 3 = 2 THEN 'x' || content_hash ELSE content_hash END AS content_hash FROM h)"""
 
 
 def arrivals(history):
     s = F.col("statement_id")
-    return history.filter(s % 3 == 0).select("user_id", (s + 1000000000).alias("statement_id"), F.when(s % 9 == 0, F.col("file_hash")).otherwise(F.concat(F.lit("x"), "file_hash")).alias("file_hash"), F.when(s % 9 == 6, F.concat(F.lit("x"), "content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return history.select("user_id", (s + 1000000000).alias("statement_id"), F.when(s % 3 == 0, F.col("file_hash")).otherwise(F.concat(F.lit("x"), "file_hash")).alias("file_hash"), F.when(s % 3 == 2, F.concat(F.lit("x"), "content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
 
 
 FOUND = f"""f AS (SELECT a.user_id, a.statement_id, coalesce(arg_min(x.file_name, strftime(x.uploaded_at, '%Y%m%d') || x.file_name), NULL) AS by_file, arg_min(y.file_name, strftime(y.uploaded_at, '%Y%m%d') || y.file_name) AS by_content
@@ -331,9 +330,9 @@ def B4_unseen_files(spark, sf_dir):
     return dedupe.unseen(arrivals(history), history)
 
 
-#: copies of every tenth account's statements: as they are, with word 4 of a description changed, with a credit changed
+#: copies of all statements: as they are, with word 4 of a description changed, with a credit changed
 #: by 5, without every fourth row
-COPIES = f"""t AS (SELECT *, 0 AS v FROM ledger WHERE account_id % 10 = 0),
+COPIES = f"""t AS (SELECT *, 0 AS v FROM ledger),
 c AS (SELECT statement_id, txn_idx, date, description, debit, credit, v FROM t
  UNION ALL SELECT statement_id * 10 + 1, txn_idx, date, description, debit, credit, 1 FROM t
  UNION ALL SELECT statement_id * 10 + 2, txn_idx, date, CASE WHEN txn_idx = 1 THEN description || ' changed' ELSE description END, debit, credit, 2 FROM t
@@ -342,7 +341,7 @@ c AS (SELECT statement_id, txn_idx, date, description, debit, credit, v FROM t
 
 
 def copies(spark, sf_dir):
-    txns = fx.ledger(spark, sf_dir).filter("account_id % 10 = 0").drop("k1")
+    txns = fx.ledger(spark, sf_dir).drop("k1")
     s, first = F.col("statement_id"), F.col("txn_idx") == 1
     out = [
         txns, txns.withColumn("statement_id", s * 10 + 1),
@@ -372,12 +371,6 @@ def B5_transaction_similarity(spark, sf_dir):
     return dedupe.transaction_similarity(pairs, txns).withColumn("similarity", F.round("similarity", 6))
 
 
-def copied_statements(txns):
-    s = F.col("statement_id")
-    base = F.when(s > 10**9, F.floor(s / 10)).otherwise(s)
-    return txns.select("statement_id").distinct().select("statement_id", F.lit("Example Bank").alias("bank_name"), F.concat(F.lit("****"), base.cast("string")).alias("account_number"), F.when(s % 2 == 1, F.lit(None)).otherwise(F.lit(10)).cast("decimal(14,2)").alias("current_balance"))
-
-
 def similar(spark, sf_dir):
     txns, pairs = copies(spark, sf_dir)
     metas = pairs.select(F.col("a").alias("statement_id"), F.col("a").alias("base")).distinct().unionByName(pairs.select(F.col("b").alias("statement_id"), F.col("a").alias("base")))
@@ -455,6 +448,465 @@ def D2_dates(spark, sf_dir):
     return fx.messy_dates(spark, sf_dir).select("l_orderkey", "l_linenumber", "style", cells.date("raw", "stmt_year").alias("date"))
 
 
+FULL = "CAST(strftime(date, '%m/%d/%Y') AS VARCHAR)"
+MORE = "CASE WHEN k1 % 3 = 0 THEN ' REF ' || CAST(k1 AS VARCHAR) ELSE '' END"
+
+
+def dates(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date, l_linenumber % 4 = 3 AS defaulted FROM lineitem")
+def D3_stored_dates(spark, sf_dir):
+    k = F.col("l_linenumber") % 4
+    raw = F.when(k == 0, F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format("d", "MM/dd/yyyy")).when(k == 2, F.date_format("d", "MMM dd, yyyy")).otherwise("soon")
+    date, missing = cells.stored_date(raw)
+    return dates(spark, sf_dir).select("l_orderkey", "l_linenumber", date.alias("date"), missing.alias("defaulted"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date, 'BILL ' || CAST(l_orderkey AS VARCHAR) AS rest FROM lineitem")
+def D4_split_date(spark, sf_dir):
+    cell = F.concat(F.date_format("d", "M/dd"), F.lit("  BILL "), F.col("l_orderkey").cast("string"))
+    date, rest = cells.split_date(cell, F.year("d"))
+    return dates(spark, sf_dir).select("l_orderkey", "l_linenumber", date.alias("date"), rest.alias("rest"))
+
+
+@query(f"{WITH} SELECT statement_id AS doc_id, CAST(year(min(date)) AS INT) AS year, 1 AS month FROM ledger GROUP BY 1")
+def D5_period(spark, sf_dir):
+    return structure.period(fx.mixed_rows(fx.ledger(spark, sf_dir)))
+
+
+@query("SELECT l_orderkey, l_linenumber, TRUE AS money, 2 AS n, round(l_extendedprice, 2) AS first, -round(l_quantity, 2) AS second FROM lineitem")
+def D6_money(spark, sf_dir):
+    raw = F.concat(F.lit("paid $"), F.format_number("l_extendedprice", 2), F.lit(" less ("), F.format_number("l_quantity", 2), F.lit(") in 3 parts"))
+    each = fx.table(spark, sf_dir, "lineitem").withColumn("raw", raw).withColumn("v", cells.money_values("raw"))
+    return each.select("l_orderkey", "l_linenumber", cells.is_money("raw").alias("money"), F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"))
+
+
+def sides_query(spark, sf_dir, sides: cells.Sides) -> DataFrame:
+    return fx.ledger(spark, sf_dir).select("statement_id", "txn_idx", F.round(sides[0], 2).alias("debit_side"), F.round(sides[1], 2).alias("credit_side"))
+
+
+SIGNED, TEXT = "coalesce(credit, -debit)::DOUBLE", "upper(description)"
+SIDES = WITH + " SELECT statement_id, txn_idx, round(CASE WHEN {d} THEN abs({v}) END, 2) AS debit_side, round(CASE WHEN NOT ({d}) THEN abs({v}) END, 2) AS credit_side FROM ledger"
+
+
+def matches(pattern: str, text: str = TEXT) -> str:
+    return f"regexp_matches({text}, '{pattern}')"
+
+
+@query(SIDES.format(v=SIGNED, d=f"debit IS NOT NULL OR ({matches(rules.TWO_COLUMN_DEBIT)} AND NOT {matches(rules.TWO_COLUMN_CREDIT)})"))
+def D7_two_columns(spark, sf_dir):
+    return sides_query(spark, sf_dir, cells.by_columns(F.col("debit").cast("double"), F.col("credit").cast("double"), F.col("description")))
+
+
+@query(SIDES.format(v="CASE WHEN txn_idx % 5 = 0 THEN 1.0::DOUBLE ELSE " + SIGNED + " END", d="txn_idx % 5 <> 0 AND debit IS NOT NULL"))
+def D8_amount_column(spark, sf_dir):
+    value = F.coalesce("credit", -F.col("debit")).cast("double")
+    return sides_query(spark, sf_dir, cells.by_amount_column(value, F.lit(1.0), F.col("txn_idx") % 5 == 0))
+
+
+@query(SIDES.format(v=SIGNED, d=f"debit IS NOT NULL OR ({matches(rules.ANY_AMOUNT_DEBIT)} AND NOT {matches(rules.ANY_AMOUNT_CREDIT)})"))
+def D9_largest_amount(spark, sf_dir):
+    value = F.coalesce("credit", -F.col("debit")).cast("double")
+    return sides_query(spark, sf_dir, cells.by_largest(F.array(F.lit(1.0), value, F.lit(-2.0)), F.col("description")))
+
+
+@query(SIDES.format(v=SIGNED, d=f"debit IS NOT NULL OR {matches(rules.SIGNED_DEBIT)}"))
+def D10_signed_amount(spark, sf_dir):
+    return sides_query(spark, sf_dir, cells.by_sign(F.coalesce("credit", -F.col("debit")).cast("double"), F.col("description")))
+
+
+CONTEXT = f"({matches(rules.CONTEXT_DEBIT)} OR " + matches(rules.CONTEXT_DEBIT_COMPACT, "replace(upper(description), ' ', '')") + ")"
+
+
+@query(SIDES.format(v=SIGNED, d=f"CASE txn_idx % 3 WHEN 0 THEN {CONTEXT} WHEN 1 THEN FALSE ELSE TRUE END"))
+def D11_context(spark, sf_dir):
+    section = F.when(F.col("txn_idx") % 3 == 1, "credit").when(F.col("txn_idx") % 3 == 2, "debit")
+    return sides_query(spark, sf_dir, cells.by_context(F.abs(F.coalesce("credit", "debit")).cast("double"), F.col("description"), section))
+
+
+@query(f"{WITH} SELECT statement_id, txn_idx, description FROM ledger")
+def D12_description(spark, sf_dir):
+    row = F.array(F.date_format("date", "MM/dd/yyyy"), F.lit(" "), F.concat(F.lit("  "), "description"), F.format_number(F.coalesce("credit", "debit"), 2))
+    return fx.ledger(spark, sf_dir).select("statement_id", "txn_idx", cells.description_of(row, F.lit(2000)).alias("description"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice, 2) END AS value FROM lineitem")
+def D13_decimal(spark, sf_dir):
+    raw = F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.format_number("l_extendedprice", 2))
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cells.decimal(raw).cast("double").alias("value"))
+
+
+# ---- layout
+
+
+TABLE = f"""{WITH}, money AS (SELECT *, format('{{:,.2f}}', debit::DOUBLE) AS d, format('{{:,.2f}}', credit::DOUBLE) AS c, format('{{:,.2f}}', balance::DOUBLE) AS b FROM ledger),
+head AS (SELECT statement_id, min(account_id) AS a, min(date) AS d FROM ledger GROUP BY 1), pre AS (
+SELECT statement_id, 0 AS r, 'Plain Bank' AS line FROM head UNION ALL SELECT statement_id, 1, 'Account Number: ****' || lpad(CAST(a AS VARCHAR), 6, '0') FROM head
+UNION ALL SELECT statement_id, 2, 'Statement Period 01/01/' || strftime(d, '%y') FROM head)"""
+
+
+@query(f"""{TABLE}, l AS (SELECT * FROM pre UNION ALL SELECT statement_id, 3, 'Date|Description|Debit|Credit|Balance' FROM head UNION ALL SELECT statement_id, 5 + 3 * (txn_idx - 1), concat_ws('|', {FULL}, description, d, c, b) FROM money
+UNION ALL SELECT statement_id, 6 + 3 * (txn_idx - 1), 'REF ' || CAST(k1 AS VARCHAR) FROM money WHERE k1 % 3 = 0)
+SELECT statement_id AS doc_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY r) - 1 AS INT) AS row_idx, line FROM l""")
+def C1_words_to_rows(spark, sf_dir):
+    rows = layout.words_to_rows(fx.positioned_words(fx.statement_rows(fx.ledger(spark, sf_dir), "standard")))
+    return rows.select("doc_id", "row_idx", F.array_join("cells", "|").alias("line"))
+
+
+@query(f"""{TABLE}, l AS (SELECT * FROM pre UNION ALL SELECT statement_id, 3, 'Date|Description|Debit|Credit|Balance' FROM head UNION ALL SELECT statement_id, 5 + 3 * (txn_idx - 1), concat_ws('|', {FULL}, description, d, c, b) FROM money
+UNION ALL SELECT statement_id, 6 + 3 * (txn_idx - 1), 'REF ' || CAST(k1 AS VARCHAR) FROM money WHERE k1 % 3 = 0)
+SELECT statement_id AS doc_id, count(*) AS n_lines, sum(len(string_split(line, '|')))::BIGINT AS n_cells, sum(len(string_split(replace(line, '|', ' '), ' ')))::BIGINT AS n_words FROM l GROUP BY 1""")
+def C2_layout_report(spark, sf_dir):
+    report = layout.layout_report(fx.positioned_words(fx.statement_rows(fx.ledger(spark, sf_dir), "standard")))
+    return report.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("n_lines"), F.count_if(F.col("level") == 0).alias("n_cells"), F.sum(F.when(F.col("level") == 7, F.col("n_words"))).alias("n_words"))
+
+
+ADDED = f"""{TABLE}, l AS (SELECT * FROM pre UNION ALL SELECT statement_id, 3, 'Date|Description|Additions|Subtractions' FROM head UNION ALL SELECT statement_id, 5 + 3 * (txn_idx - 1), {FULL} || '|' || description || '|' || coalesce(c, '') || '|' || coalesce(d, '') FROM money
+UNION ALL SELECT statement_id, 6 + 3 * (txn_idx - 1), '|REF ' || CAST(k1 AS VARCHAR) || '||' FROM money WHERE k1 % 3 = 0)"""
+
+
+def scanned(spark, sf_dir):
+    return layout.ocr_lines(fx.scanned_lines(fx.statement_rows(fx.ledger(spark, sf_dir), "additions_subtractions")))
+
+
+@query(f"{ADDED} SELECT statement_id AS doc_id, count(*) AS n_groups, sum(len(list_filter(string_split(line, '|'), lambda x: x <> '')))::BIGINT AS n_lines FROM l GROUP BY 1")
+def C3_grouped_lines(spark, sf_dir):
+    each = layout.grouped_lines(scanned(spark, sf_dir)).groupBy("doc_id", "page_no", "grp").agg(F.count("*").alias("n"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_lines"))
+
+
+@query(f"{ADDED} SELECT statement_id AS doc_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY r) - 1 AS INT) AS row_idx, line FROM l")
+def C4_lines_to_rows(spark, sf_dir):
+    return layout.lines_to_rows(scanned(spark, sf_dir)).select("doc_id", "row_idx", F.array_join("cells", "|").alias("line"))
+
+
+@query(f"""{ADDED}, w AS (SELECT statement_id, r, unnest(range(len(string_split(line, '|')))) AS c, unnest(string_split(line, '|')) AS t FROM l)
+SELECT statement_id AS doc_id, count(*) AS n, sum(400 * c + 4 * length(t))::DOUBLE AS x, sum(20 * (r % 100) + 5)::DOUBLE AS y, 10.0::DOUBLE AS h FROM w WHERE t <> '' GROUP BY 1""")
+def C5_ocr_lines(spark, sf_dir):
+    return scanned(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("h").alias("h"))
+
+
+@query("SELECT doc_id, count(*) AS n_rows FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS line FROM documents) WHERE regexp_matches(line, '\\S') GROUP BY 1")
+def C6_text_to_rows(spark, sf_dir):
+    return layout.text_to_rows(fx.table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ' $' || CAST(c_custkey AS VARCHAR) AS cell FROM customer")
+def C7_clean_cell(spark, sf_dir):
+    tripled = F.array_join(F.transform(F.split(F.concat("c_mktsegment", F.lit(" $")), ""), lambda c: F.repeat(c, 3)), "")
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", text.clean_cell(F.concat(tripled, F.col("c_custkey").cast("string"))).alias("cell"))
+
+
+@query(f"{WITH} SELECT statement_id AS doc_id FROM ledger GROUP BY 1 HAVING statement_id % 6 NOT IN (3, 4) OR count(*) >= 3 OR (statement_id % 6 = 4 AND bool_or(regexp_matches(lower(description), '\\b(amount|debit|credit|withdrawal|deposit|balance)\\b')))")
+def C8_transaction_tables(spark, sf_dir):
+    return layout.transaction_tables(fx.mixed_rows(fx.ledger(spark, sf_dir)), ["doc_id"])
+
+
+@query("""WITH p AS (SELECT doc_id // 4 AS doc_id, doc_id % 4 + 1 AS page_no, n_chars AS c, doc_id % 7 AS i FROM documents),
+w AS (SELECT *, sum(CASE WHEN c > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no) AS tp, sum(c) OVER (PARTITION BY doc_id ORDER BY page_no) AS sc FROM p),
+g AS (SELECT doc_id, min(CASE WHEN tp >= 2 AND sc > 700 THEN page_no END) AS hit, max(tp) AS tp, sum(c) AS c, sum(i) AS i, count(*) AS n FROM w GROUP BY 1)
+SELECT g.doc_id, CASE WHEN hit IS NOT NULL THEN CASE WHEN p.i > 3 THEN 'hybrid' ELSE 'digital' END WHEN (g.tp >= 2 OR g.c > 700) AND (g.i > 5 OR g.i / g.n > 0.6) THEN 'hybrid'
+ WHEN g.tp >= 2 OR g.c > 700 OR (g.c > 400 AND g.i = 0) THEN 'digital' ELSE 'scanned' END AS pdf_type FROM g LEFT JOIN p ON p.doc_id = g.doc_id AND p.page_no = hit""")
+def C9_document_class(spark, sf_dir):
+    d = F.col("doc_id")
+    pages = fx.table(spark, sf_dir, "documents").select(F.floor(d / 4).alias("doc_id"), (d % 4 + 1).cast("int").alias("page_no"), F.col("n_chars").cast("int").alias("text_chars"), (d % 7).cast("int").alias("n_images"))
+    return layout.document_class(pages)
+
+
+@query(r"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '(\d),(\d{3})', '\1\2', 'g'), 'O(\d)', '0\1', 'g'), '(\d)I(\d)', '\1 1 \2', 'g'), '(\d)B(\d)', '\1 8 \2', 'g')) AS t FROM documents)
+SELECT doc_id, sha256(CASE WHEN length(t) > 3 THEN t ELSE '' END) AS cleaned FROM a""")
+def C10_clean_ocr(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_ocr(F.coalesce("text", F.lit(""))), 256).alias("cleaned"))
+
+
+# ---- structure
+
+
+def layout_rows(spark, sf_dir, name: str) -> DataFrame:
+    return fx.statement_rows(fx.ledger(spark, sf_dir), name)
+
+
+@query(f"{WITH} SELECT DISTINCT statement_id AS doc_id, 'date|description|amount|balance' AS header FROM ledger")
+def E1_header_repair(spark, sf_dir):
+    heads = layout_rows(spark, sf_dir, "signed_amount").filter("row_idx = 3")
+    broken = F.transform("cells", lambda c: F.replace(F.replace(F.replace(c, F.lit("Description"), F.lit("Desc  ription")), F.lit("Amount"), F.lit("AMT ($)")), F.lit("Balance"), F.lit("Balance ($)")))
+    return heads.select("doc_id", F.array_join(structure.header_cells(broken), "|").alias("header"))
+
+
+@query(f"{WITH} SELECT DISTINCT statement_id AS doc_id, 3 AS header_idx FROM ledger")
+def E2_header_row(spark, sf_dir):
+    return structure.header_rows(layout_rows(spark, sf_dir, "standard")).select("doc_id", "header_idx")
+
+
+@query(f"{WITH} SELECT DISTINCT statement_id AS doc_id, 'date=0,check_number=1,tran_code=2,description=3,amount=4,balance=5' AS roles FROM ledger")
+def E3_column_roles(spark, sf_dir):
+    out = structure.layouts(layout_rows(spark, sf_dir, "multicolumn"))
+    pairs = F.transform(F.sort_array(F.transform(F.map_entries("roles"), lambda e: F.struct(e["value"], e["key"]))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("doc_id", F.array_join(pairs, ",").alias("roles"))
+
+
+@query(f"{WITH} SELECT statement_id AS doc_id, CASE WHEN count(*) >= count(*) FILTER (k1 % 3 = 0) THEN 3 END AS balance_idx FROM ledger GROUP BY 1")
+def E4_balance_place(spark, sf_dir):
+    rows = layout_rows(spark, sf_dir, "signed_amount")
+    rows = rows.withColumn("cells", F.when(F.col("row_idx") == 3, F.slice("cells", 1, 3)).otherwise(F.col("cells")))
+    return structure.balance_place(rows, structure.layouts(rows))
+
+
+@query(f"{WITH} SELECT statement_id AS doc_id, {FULL} || '|' || description || {MORE} AS line FROM ledger")
+def E5_wrapped_rows(spark, sf_dir):
+    typed = cells.type_cells(layout_rows(spark, sf_dir, "standard").filter("row_idx > 3"), F.lit(2000)).withColumn("date_col", F.lit(0))
+    return structure.merge_wrapped(typed).select("doc_id", F.array_join(F.slice("cells", 1, 2), "|").alias("line"))
+
+
+CHOSEN = "CASE statement_id % 6 WHEN 1 THEN 'example_signed' WHEN 2 THEN 'plain_columns' WHEN 3 THEN 'plain_sections' WHEN 4 THEN 'plain_additions' WHEN 5 THEN 'example_blocks' END"
+
+
+def names(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id").distinct().withColumn("file_name", F.concat(F.lit("stmt_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+
+
+@query(f"{WITH} SELECT DISTINCT statement_id AS doc_id, {CHOSEN} AS template_id, statement_id % 6 IN (1, 5) AS bank_evidence FROM ledger WHERE statement_id % 6 > 0")
+def E6_template(spark, sf_dir):
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
+    return structure.select_template(rows, names(rows), rules.templates(spark)).select("doc_id", "template_id", "bank_evidence")
+
+
+@query(f"""{WITH}, d AS (SELECT DISTINCT statement_id FROM ledger) SELECT statement_id AS doc_id, CASE statement_id % 6 WHEN 0 THEN 'plain_columns' ELSE {CHOSEN} END AS template_id,
+CASE WHEN statement_id % 6 IN (2, 3, 4) THEN 'no template for key nope' END AS warning FROM d""")
+def E7_template_for_key(spark, sf_dir):
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
+    k = F.col("doc_id") % 6
+    chosen = rows.select("doc_id").distinct().withColumn("bank_key", F.when(k == 1, "example").when(k == 5, "union").when(k == 0, "any").otherwise("nope"))
+    return structure.template_for_key(rows, names(rows), chosen, rules.templates(spark), rules.bank_keys(spark)).select("doc_id", "template_id", "warning")
+
+
+@query(f"{WITH} SELECT DISTINCT statement_id AS doc_id, CASE statement_id % 6 WHEN 0 THEN 'standard' WHEN 2 THEN 'multicolumn' ELSE 'signed_amount' END AS format FROM ledger WHERE statement_id % 6 IN (0, 1, 2, 5)")
+def E8_format(spark, sf_dir):
+    out = structure.layouts(fx.mixed_rows(fx.ledger(spark, sf_dir)))
+    return out.filter("doc_id % 6 IN (0, 1, 2, 5)").select("doc_id", "format")
+
+
+@query(f"{WITH} SELECT statement_id AS doc_id, statement_id % 6 = 5 AS repeated_blocks, statement_id % 6 = 3 AND count(credit) > 0 AND count(debit) > 0 AS sectioned FROM ledger GROUP BY 1")
+def E9_sniffed(spark, sf_dir):
+    return structure.sniffed(fx.mixed_rows(fx.ledger(spark, sf_dir)))
+
+
+# ---- extraction
+
+
+def parsed(spark, sf_dir, name: str, parser: extract.Parser) -> DataFrame:
+    return shown(parser(extract.prepare(layout_rows(spark, sf_dir, name), 2000)))
+
+
+def shown(txns: DataFrame) -> DataFrame:
+    return txns.select("doc_id", "date", "description", *(F.round(F.col(k), 2).alias(k) for k in ("debit", "credit", "balance")))
+
+
+def expected(description: str, debit: str = "debit IS NOT NULL", balance: str = "round(abs(balance)::DOUBLE, 2)", where: str = "TRUE", more: str = "") -> str:
+    value = "round(coalesce(credit, debit)::DOUBLE, 2)"
+    return f"SELECT statement_id AS doc_id, date, {description} AS description, CASE WHEN {debit} THEN {value} END AS debit, CASE WHEN NOT ({debit}) THEN {value} END AS credit, {balance} AS balance{more} FROM ledger WHERE {where}"
+
+
+NONE = "CAST(NULL AS DOUBLE)"
+FLIPPED = "debit IS NOT NULL OR description = 'INTEREST PAYMENT'"
+PAID = "debit IS NOT NULL OR description LIKE '%PAYMENT%'"
+
+
+@query(f"{WITH} {expected('description || ' + MORE)}")
+def F1_signed_amount(spark, sf_dir):
+    return parsed(spark, sf_dir, "signed_amount", extract.signed_amount)
+
+
+@query(f"{WITH} " + expected("'TC ' || description || " + MORE))
+def F2_multicolumn(spark, sf_dir):
+    return parsed(spark, sf_dir, "multicolumn", extract.multicolumn)
+
+
+@query(f"{WITH} {expected('description || ' + MORE, FLIPPED)}")
+def F3_standard(spark, sf_dir):
+    return parsed(spark, sf_dir, "standard", extract.standard)
+
+
+@query(f"{WITH} {expected('description', PAID, NONE)}")
+def F4_repeated_blocks(spark, sf_dir):
+    return parsed(spark, sf_dir, "repeated_blocks", extract.repeated_blocks)
+
+
+@query(f"{WITH} {expected('description', balance=NONE)}")
+def F5_sectioned(spark, sf_dir):
+    return parsed(spark, sf_dir, "sectioned", extract.sectioned)
+
+
+@query(f"{WITH} {expected('description || ' + MORE, balance=NONE)}")
+def F6_additions_subtractions(spark, sf_dir):
+    return parsed(spark, sf_dir, "additions_subtractions", extract.additions_subtractions)
+
+
+def rewritten(spark, sf_dir, header: list[str], make) -> DataFrame:
+    """The ledger's transactions as rows made by make(), below a header."""
+    txns = fx.ledger(spark, sf_dir)
+    body = txns.select(F.col("statement_id").alias("doc_id"), F.posexplode(make()).alias("k", "cells"), "txn_idx").select("doc_id", (F.col("txn_idx") * 4 + F.col("k")).alias("row_idx"), "cells")
+    head = txns.select(F.col("statement_id").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row_idx"), F.array(*map(F.lit, header)).alias("cells"))
+    return extract.prepare(head.unionByName(body), 2000)
+
+
+def signed_text() -> "F.Column":
+    value = F.coalesce("credit", -F.col("debit"))
+    return F.concat(F.when(value < 0, "-").otherwise("+"), F.format_number(F.abs(value), 2))
+
+
+@query(f"{WITH} " + expected("CASE WHEN txn_idx % 3 = 2 THEN 'Other ' ELSE 'Direct Deposit ' END || description"))
+def F7_typed_signed(spark, sf_dir):
+    money, day = F.concat(F.lit("$"), F.format_number(F.abs("balance"), 2)), F.date_format("date", "MM/dd/yyyy")
+    k = F.col("txn_idx") % 3
+    row = F.when(k == 0, F.array(day, F.lit("Direct Deposit"), "description", F.concat(signed_text(), F.lit(" "), money))).when(k == 1, F.array(day, F.lit("Direct Deposit"), "description", signed_text(), money))
+    line = F.array(F.concat_ws(" ", F.date_format("date", "MMM dd, yyyy"), F.lit("Other"), "description", signed_text(), money, F.lit("Transaction ID: 5-1")))
+    return shown(extract.typed_signed(rewritten(spark, sf_dir, ["Date", "Type", "Description", "Amount", "Balance"], lambda: F.array(row.otherwise(line), F.array(F.lit("Transaction ID: 7-1"))))))
+
+
+@query(f"{WITH} " + expected("CASE WHEN debit IS NULL THEN 'ELECTRONIC CREDIT' ELSE 'ACH DEBIT' END || CASE WHEN regexp_matches(description, '^[A-Z0-9]{8}') THEN '' ELSE ' ' || description END"))
+def F8_fragmented(spark, sf_dir):
+    kind = F.when(F.col("debit").isNull(), "ELECTRONIC CRED IT").otherwise("ACH DEB IT")
+    spaced = F.regexp_replace(F.format_number(F.coalesce("credit", "debit"), 2), r"\.(\d)", ". $1")
+    first = F.array(F.date_format("date", "MM/dd"), kind, spaced, F.format_number(F.abs("balance"), 2))
+    period = F.array(F.concat(F.lit("Period "), F.date_format("date", "MM/dd/yyyy")))
+    rows = rewritten(spark, sf_dir, ["Checking Activity"], lambda: F.array(first, F.array("description"), F.array(F.lit("AB12CD34 0006 05 4"))))
+    years = fx.ledger(spark, sf_dir).groupBy(F.col("statement_id").alias("doc_id")).agg(F.min(F.year("date")).alias("year"))
+    return shown(extract.fragmented(rows.drop("year").join(years, "doc_id")))
+
+
+@query(f"{WITH} " + expected("description", f"debit IS NOT NULL OR (txn_idx % 3 <> 0 AND {matches(rules.LINE_DEBIT)})", "CASE WHEN txn_idx % 3 <> 1 THEN round(abs(balance)::DOUBLE, 2) END"))
+def F9_line_heuristic(spark, sf_dir):
+    day, value, balance = F.date_format("date", "MM/dd/yyyy"), signed_text(), F.format_number("balance", 2)
+    k = F.col("txn_idx") % 3
+    row = F.when(k == 0, F.array(day, "description", F.lit("0.00"), value, balance)).when(k == 1, F.array(day, "description", value)).otherwise(F.array(day, "description", value, balance))
+    return shown(extract.line_heuristic(rewritten(spark, sf_dir, ["nothing"], lambda: F.array(row)).withColumn("header_idx", F.lit(0))))
+
+
+@query(f"{WITH}, k AS (SELECT DISTINCT statement_id, k1, date, debit FROM ledger WHERE debit IS NOT NULL) SELECT statement_id AS doc_id, date, 'Check ' || CAST(k1 AS VARCHAR) AS description, round(debit::DOUBLE, 2) AS debit, {NONE} AS credit, {NONE} AS balance FROM k")
+def F10_check_details(spark, sf_dir):
+    one = F.concat(F.lit("Number: "), F.col("k1").cast("string"), F.lit(" Date: "), F.date_format("date", "MM/dd/yyyy"), F.lit(" Amount: $"), F.format_number("debit", 2))
+    row = F.when(F.col("debit").isNotNull(), F.array(one, one)).otherwise(F.array(F.lit("no check")))
+    return shown(extract.check_details(rewritten(spark, sf_dir, ["Checks"], lambda: F.array(row))))
+
+
+LAYOUT = ", {} AS layout"
+ROUTED = " UNION ALL ".join(
+    expected(d, s, b, f"statement_id % 6 = {k}", LAYOUT.format(f"'{n}'"))
+    for k, n, d, s, b in (
+        (0, "standard", "description || " + MORE, FLIPPED, "round(abs(balance)::DOUBLE, 2)"), (1, "signed_amount", "description || " + MORE, "debit IS NOT NULL", "round(abs(balance)::DOUBLE, 2)"),
+        (2, "multicolumn", "'TC ' || description || " + MORE, "debit IS NOT NULL", "round(abs(balance)::DOUBLE, 2)"), (3, "sectioned", "description", "debit IS NOT NULL", NONE),
+        (4, "additions_subtractions", "description || " + MORE, "debit IS NOT NULL", NONE), (5, "repeated_blocks", "description", PAID, NONE),
+    )
+)
+
+
+@query(f"{WITH} {ROUTED}")
+def F11_router(spark, sf_dir):
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
+    prepared = extract.prepare(rows, 2000).persist()
+    out = extract.route(prepared, structure.select_template(rows, names(rows), rules.templates(spark)), structure.sniffed(rows))
+    return out.select("doc_id", "date", "description", *(F.round(F.col(k), 2).alias(k) for k in ("debit", "credit", "balance")), "layout")
+
+
+# ---- metadata and whole jobs
+
+
+META = f"""{WITH}, m AS (SELECT statement_id AS doc_id, min(account_id) AS a, arg_max(balance, txn_idx) AS b FROM ledger GROUP BY 1)"""
+
+
+def texts(spark, sf_dir):
+    return quality.document_text(fx.mixed_rows(fx.ledger(spark, sf_dir)))
+
+
+@query(f"{META} SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'First Example Bank' ELSE 'Example Credit Union' END AS bank_name FROM m WHERE doc_id % 6 IN (1, 5)")
+def G4_bank_name(spark, sf_dir):
+    return quality.bank_name(texts(spark, sf_dir), rules.bank_rules(spark))
+
+
+@query(f"{META} SELECT doc_id, '****' || lpad(CAST(a AS VARCHAR), 6, '0') AS account_number FROM m")
+def G5_account_number(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", quality.account_number(F.col("text")).alias("account_number"))
+
+
+@query(f"{META} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'AB' || CAST(a AS VARCHAR) || '99' END AS customer FROM m")
+def G6_customer_id(spark, sf_dir):
+    number = F.regexp_extract("text", r"\*{4}0*(\d+)", 1)
+    shown_text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nCustomer No. AB"), number, F.lit("99"))).otherwise(F.col("text"))
+    return texts(spark, sf_dir).select("doc_id", quality.customer_id(shown_text).alias("customer"))
+
+
+@query(f"{META} SELECT doc_id, round(CASE WHEN doc_id % 6 IN (3, 5) THEN abs(b) ELSE b END::DOUBLE, 2) AS current_balance FROM m")
+def G7_current_balance(spark, sf_dir):
+    txns = fx.ledger(spark, sf_dir)
+    return quality.metadata(fx.mixed_rows(txns), txns, rules.bank_rules(spark)).select("doc_id", F.round("current_balance", 2).alias("current_balance"))
+
+
+@query(f"{META} SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'First Example Bank' WHEN 5 THEN 'Example Credit Union' END AS bank_name, '****' || lpad(CAST(a AS VARCHAR), 6, '0') AS account_number, CAST(NULL AS VARCHAR) AS customer_name FROM m")
+def G8_metadata(spark, sf_dir):
+    txns = fx.ledger(spark, sf_dir)
+    return quality.metadata(fx.mixed_rows(txns), txns, rules.bank_rules(spark)).drop("current_balance")
+
+
+@query(f"{STATED}, {FILES} SELECT name AS path, lower(regexp_extract(e, '(\\.[^.]+)$', 1)) AS extension, lower(e) <> '.txt' AS supported, CASE WHEN lower(e) = '.txt' THEN 100 ELSE 0 END AS risk_score FROM (SELECT regexp_replace(name, '(?i)\\.pdf$', e) AS name, e FROM (SELECT name, CASE seq % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' WHEN 2 THEN '.JPG' ELSE '.txt' END AS e FROM f))")
+def A1_file_listing(spark, sf_dir):
+    k = F.col("seq") % 4
+    ext = F.when(k == 0, ".pdf").when(k == 1, ".png").when(k == 2, ".JPG").otherwise(".txt")
+    paths = files(spark, sf_dir).select(F.concat(F.regexp_replace("name", r"(?i)\.pdf$", ""), ext).alias("path"))
+    return file_sources.listed(paths)
+
+
+def scratch(spark) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/ledger/{uuid.uuid4().hex}"
+
+
+@query()
+def A2_watched_folder(spark, sf_dir):
+    at = scratch(spark)
+    stream = watch.new_files(spark, sf_dir).select("path", "length", "file_hash", "supported")
+    stream.writeStream.format("parquet").option("path", f"{at}/files").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/files").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "file_hash", "supported")
+
+
+@query(f"{WITH} SELECT c_nationkey AS user_id, count(*) AS n, {DEBITS} AS total_debits FROM ledger JOIN customer ON c_custkey = account_id GROUP BY 1")
+def A3_saved_ledger(spark, sf_dir):
+    at = scratch(spark)
+    sinks.save_ledger(fx.ledger(spark, sf_dir), fx.accounts(spark, sf_dir), at)
+    return spark.read.parquet(at).groupBy("user_id").agg(F.count("*").alias("n"), ledger.money(F.sum("debit")).alias("total_debits"))
+
+
+@query(f"{WITH} SELECT strftime(date, '%m/%d/%Y') AS \"Date\", description AS \"Description\", coalesce(CAST(debit AS VARCHAR), '') AS \"Debit\", coalesce(CAST(credit AS VARCHAR), '') AS \"Credit\", coalesce(CAST(nullif(balance, 0) AS VARCHAR), '') AS \"Balance\" FROM ledger")
+def A4_export_rows(spark, sf_dir):
+    return sinks.export_rows(fx.ledger(spark, sf_dir))
+
+
+@query(f"{STATED} SELECT statement_id, CASE WHEN statement_id % 2 = 0 THEN bank_name ELSE 'Example Bank' END AS bank_name, account_number, round(current_balance::DOUBLE, 2) AS current_balance FROM statements")
+def A5_metadata_json(spark, sf_dir):
+    statements, _ = stated(spark, sf_dir)
+    packed = ledger.packed_metadata(statements.withColumn("bank_name", F.when(F.col("statement_id") % 2 == 0, F.col("bank_name"))))
+    return ledger.unpacked_metadata(packed, fx.accounts(spark, sf_dir)).withColumn("current_balance", F.round("current_balance", 2))
+
+
+@query(f"""{TABLE}, l AS (SELECT * FROM pre UNION ALL SELECT statement_id, 3, 'Date|Description|Debit|Credit|Balance' FROM head UNION ALL SELECT statement_id, 5 + 3 * (txn_idx - 1), {FULL} || '|' || description || '|' || coalesce(d, '') || '|' || coalesce(c, '') || '|' || b FROM money
+UNION ALL SELECT statement_id, 6 + 3 * (txn_idx - 1), '|REF ' || CAST(k1 AS VARCHAR) FROM money WHERE k1 % 3 = 0)
+SELECT statement_id AS doc_id, sha256(string_agg(replace(line, '|', ' | '), chr(10) ORDER BY r)) AS preview FROM l WHERE r < 20 GROUP BY 1""")
+def A6_preview(spark, sf_dir):
+    return file_sources.preview(layout_rows(spark, sf_dir, "standard")).select("doc_id", F.sha2("text", 256).alias("preview"))
+
+
+@query()
+def plan_statement_results(spark, sf_dir):
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
+    _, out = plans.statement_results(rows, names(rows), rules.templates(spark), rules.bank_rules(spark), 2000)
+    return out.select("statement_id", "layout", "n", "status", "confidence", "bank_name", "content_hash", "checks", "failures")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
