@@ -6,8 +6,8 @@ import tempfile
 import time
 
 HEADLINE = [
-    "H1_revenue_status", "H3_adjusted_revenue", "H4_statement_list", "H5_nested_statements", "H11_monthly_flow", "H22_first_rows", "G2_reconciliation",
-    "B2_content_fingerprint", "B3_duplicates", "B5_transaction_similarity", "D1_amounts", "D2_dates", "E5_wrapped_rows", "F1_signed_amount", "F3_standard", "C1_words_to_rows",
+    "H1_revenue_status", "H2_totals", "H3_adjusted_revenue", "H4_statement_list", "H5_nested_statements", "H9_summary", "H11_monthly_flow", "H22_first_rows",
+    "G1_confidence", "G2_reconciliation", "B2_content_fingerprint", "B3_duplicates", "B10_row_dedupe", "D1_amounts", "D2_dates",
 ]
 
 

@@ -110,11 +110,8 @@ def monthly(txns: DataFrame, by: str = "month") -> DataFrame:
     return each.withColumn("net_flow", F.round(F.col("inflow") - F.col("outflow"), 2))
 
 
-ORDER = (F.desc("date"), F.desc("statement_id"), F.desc("txn_idx"))
-
-
 def recent(txns: DataFrame, n: int = 8) -> DataFrame:
-    return txns.orderBy(*ORDER).limit(n)
+    return txns.orderBy(F.desc("date"), F.desc("statement_id"), F.desc("txn_idx")).limit(n)
 
 
 def search(txns: DataFrame, text: str = "", side: str | None = None, source: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ def one(spark, value, use, kind="string"):
 
 AMOUNTS = [
     ("($1,234.56)", -1234.56), ("123.45-", -123.45), ("1.234,56", 1234.56), ("XXXX1234", None), ("1234567890123", None), ("7.37-", -7.37), ("($234.18)", -234.18), ("*1234.56", 1234.56), ("#1234.56", 1234.56),
-    ("1234.56 Cr", 1234.56), ("-$700.00", -700.0), ("₹1,234.56", 1234.56), ("", None), (None, None), ("abc", None), ("1O.5O", None), ("1O0.50", 100.5), ("01/02", None), ("(", None), ("1.2.3", None),
+    ("1234.56 Cr", 1234.56), ("-$700.00", -700.0), ("₹1,234.56", 1234.56), ("", None), (None, None), ("abc", None), ("1O.5O", 10.5), ("1O0.50", 100.5), ("01/02", None), ("(", None), ("1.2.3", None),
 ]
 
 
