@@ -24,9 +24,12 @@ ORACLE_SQL = None
 SHORT = 500_000  # rows of two columns that may be broadcast
 
 
-def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
-    """docs that match no row of gone under the condition."""
-    gone = materialize(gone)
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """docs whose keys (null being a value) are none of gone's rows."""
+    gone = materialize(gone.toDF(*(f"__gone_{k}" for k in range(len(keys)))))
+    same = F.lit(True)
+    for k, key in enumerate(keys):
+        same &= key.eqNullSafe(F.col(f"__gone_{k}"))
     return docs.join(F.broadcast(gone) if gone.count() <= SHORT else gone.hint("merge"), same, "left_anti")
 
 
@@ -41,21 +44,18 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = materialize(rows)
     if rows.filter("kept AND n > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = rows.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256")
     sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("text_sha256")))
+    return without(docs, [F.col("doc_id"), sha], rows.filter("NOT kept").select("doc_id", "text_sha256"))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")))
+    return without(docs, [F.col("doc_id")], found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("gone_id"))
-    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone_id")))
+    return without(docs, [F.col("doc_id")], found.filter("contaminated").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

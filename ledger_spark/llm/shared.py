@@ -33,10 +33,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches small enough for long texts; Python workers cut them again by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -51,7 +51,7 @@ def empty_for_null(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
+def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 19):
     """Slices of an Arrow batch that hold about `limit` bytes of text each (one longer text stands alone)."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

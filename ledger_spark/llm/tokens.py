@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 PLAIN = 0x530  # code points below it, and general punctuation, have had the same classes in every Unicode version used
-CACHE = 1_500_000
+CACHE = 500_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 

@@ -1,0 +1,340 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from cases import odd, table, words
+
+from ledger_spark.llm import chat, components, decontam, exact, jaccard, packing, quality, sharding, span_dedup, token_counts, url_filter
+from ledger_spark.llm.queries import tokenizer_path
+from ledger_spark.llm.tokens import encoder
+
+
+def ids_of(text):
+    from tokenizers import Tokenizer
+
+    ids_of.t = getattr(ids_of, "t", None) or Tokenizer.from_file(tokenizer_path())
+    return ids_of.t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_equals_tokenizer():
+    parts = ["a", "B", "é", "'", "s", "t", "re", "'ll", " ", "  ", "\n", " \n", "\t", "12", "!", "?.", "\xa0", "中", "<|endoftext|>", "..."]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)] + [""]
+    ids, ends = encoder(tokenizer_path()).encode(texts)
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        assert ids[a:b].tolist() == ids_of(text), text
+
+
+def test_packing_round_trip(spark):
+    docs = odd()
+    out = packing.pack(table(spark, docs), tokenizer_path(), capacity=512).collect()
+    want = Counter()
+    for d, t in docs:
+        ids = [*ids_of(t), 0]
+        first = (len(ids) - 1) % 512 + 1
+        for k, to in enumerate(range(first, len(ids) + 1, 512)):
+            at = 0 if k == 0 else to - 512
+            want[d, k, at, to - at, zlib.crc32(np.array(ids[at:to], "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in out) == want
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for items in bins.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert packing.pack(table(spark, []), tokenizer_path()).count() == 0
+
+
+def test_local_search_empties_bins():
+    counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 1}
+    bins = {((6, 1), (2, 1)): 1, ((6, 1),): 1, ((5, 1), (4, 1)): 2, ((3, 2),): 1}
+    out = packing.local_search(bins, 10)
+    assert Counter({a: sum(k * n for b, n in out.items() for x, k in b if x == a) for a in counts}) == Counter(counts)
+    assert sum(out.values()) == 4 and all(packing._fill(b) <= 10 for b in out)
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        counts = Counter(rng.integers(1, 2049, 400).tolist())
+        bins = packing.best_fit(counts, 2048)
+        out = packing.local_search(bins, 2048)
+        have = Counter()
+        for b, n in out.items():
+            assert packing._fill(b) <= 2048
+            for a, k in b:
+                have[a] += k * n
+        assert have == counts and sum(out.values()) <= sum(bins.values())
+
+
+def test_token_histogram(spark):
+    docs = odd()
+    sizes = sorted(len(ids_of(t)) for _, t in docs)
+    out = {r["length"]: r for r in token_counts.token_histogram(table(spark, docs), tokenizer_path(), block=16).collect()}
+    assert sorted(out) == sorted(set(sizes))
+    for length, r in out.items():
+        assert r["docs"] == sizes.count(length) and r["docs_ge"] == sum(s >= length for s in sizes) and r["tokens_ge"] == sum(s for s in sizes if s >= length)
+        assert r["truncated_tokens"] == sum(min(s, length) for s in sizes) and r["total_tokens"] == sum(sizes)
+        assert r["quantile"] == pytest.approx(sum(s <= length for s in sizes) / len(sizes))
+    assert token_counts.token_histogram(table(spark, []), tokenizer_path()).count() == 0
+
+
+def test_chat(spark):
+    schema = "conv_id long, turn long, role string, text string, block string, participant string"
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (1, 3, "ann", None), (2, 0, None, "who"), (None, 0, "cy", "lost"), (3, 0, "system", "alone"), (1, 700, "cy", "late"), (2, None, "bob", "first")]
+    df = spark.createDataFrame([(*t, "x", "y") for t in turns], schema)
+    out = chat.rotated(df).collect()
+    assert {(r["conv_id"], r["participant"]) for r in out} == {(1, "ann"), (1, "bob"), (1, "cy"), (2, "unknown"), (2, "bob"), (None, "cy")}
+    whole = {(r["conv_id"], r["participant"]): r for r in chat.dialogues(chat.rotated(df.filter("conv_id = 1"))).collect()}
+    ann = whole[1, "ann"]
+    assert ann["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nhello<|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2 + "<|im_start|>user name=cy\nlate<|im_end|>\n"
+    assert [ann["text"][m["start"] : m["end"]] for m in ann["masks"]] == ["hi<|im_end|>\n", "<|im_end|>\n", "<|im_end|>\n"]
+    assert chat.rotated(df.limit(0)).count() == 0
+
+
+def test_sharding(spark):
+    docs = [(k, "x" * (k * 37 % 900)) for k in range(3000)] + [(None, None), (5, "again"), (5, "again")]
+    out = sharding.shard_documents(table(spark, docs), 16).collect()
+    assert len(out) == len(docs)
+    loads, places = Counter(), defaultdict(list)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(loads) == 16 and max(loads.values()) - min(loads.values()) < 0.02 * max(loads.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert sharding.shard_documents(table(spark, []), 16).count() == 0
+
+
+def test_growing_moves_only_into_the_new_shard(spark):
+    rows = spark.range(2000).selectExpr("CAST(id % 4096 AS INT) AS virtual_slot", "id % 97 + 1 AS size")
+    old = sharding.latest(sharding.rebalanced(rows, sharding.initial_map(spark, 4), 4))
+    new = sharding.latest(sharding.rebalanced(rows, sharding.latest(sharding.rebalanced(rows, sharding.initial_map(spark, 4), 4)).select("version", "virtual_slot", "shard"), 5))
+    moved = old.select("virtual_slot", old["shard"].alias("a")).join(new.select("virtual_slot", new["shard"].alias("b")), "virtual_slot").filter("a <> b").collect()
+    assert moved and {r["b"] for r in moved} == {4}
+
+
+def test_urls(spark):
+    urls = ["http://a.example.com/en/x", "https://WWW.Example.com/en/", "http://xexample.com/en/", "http://shop.net/es/1", "http://net/fr/", "http://com", "http://b.com?x=/en/", "nothing", None, "", "x://h#f", "http://a.org/es/"]
+    rng = np.random.default_rng(1)
+    urls += ["http://%s.%s/%s/%d" % (rng.choice(["www.example", "example", "q"]), rng.choice(["com", "net", "org"]), rng.choice(["en", "es", "fr"]), k) for k in range(500)]
+    df = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, host string, keys string")
+
+    def brute(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = rest
+        for stop in "/?#":
+            host = host.split(stop)[0]
+        path = rest[len(host) :].split("?")[0].split("#")[0]
+        host = host.lower()
+        best = None
+        for verdict, rule in url_filter.RULES:
+            h, p = rule[: rule.index("/")], rule[rule.index("/") :]
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(rule) > len(best[0])):
+                best = rule, verdict
+        return host, path, best[0] if best else None, best[1] if best else "allow"
+
+    for most in (64 << 20, 10):  # one stripe, several
+        out = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(df, url_filter.RULES, most_bytes=most).collect()}
+        assert out == {k: brute(u) for k, u in enumerate(urls)}
+    assert url_filter.judge(df.limit(0), url_filter.RULES).count() == 0
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    universe = spark.range(20000).selectExpr("CAST(id AS STRING) AS key").selectExpr("key", "xxhash64(key) AS h")
+    rules = [str(k) for k in range(0, 20000, 7)]
+    levels = url_filter.cascade(spark, universe, rules, 20000)
+    rows = universe.collect()
+    got = url_filter.listed(levels, np.array([r["h"] for r in rows], np.int64).astype(np.uint64))
+    assert {r["key"] for r, g in zip(rows, got) if g} == set(rules)
+
+
+def test_span_dedup(spark):
+    sentence = lambda seed, n=9: " ".join(words(seed, n)).capitalize() + "."
+    passage = " ".join(sentence(k) for k in range(100, 108))
+    single = " ".join(words(55, 70))
+    docs = [
+        (1, sentence(1) + " " + passage + " " + sentence(2)), (2, sentence(3) + "\n" + passage + "\n" + sentence(4)), (3, sentence(5) + " Short line. Short line. Short line."),
+        (4, "Short line. Short line. Short line. " + sentence(6)), (5, sentence(7) + "\n" + single + "\n" + sentence(8)), (6, single), (7, None), (8, ""), (None, passage),
+    ]
+    out = {r["doc_id"]: r for r in span_dedup.remove_repeats(table(spark, docs)).collect()}
+    assert len(out) == len(docs)
+    assert out[None]["n_removed"] == 0  # comes first
+    for doc, start in ((1, sentence(1)), (2, sentence(3))):
+        assert out[doc]["removed"] == list(range(1, out[doc]["n_sentences"] - 1)) and out[doc]["text"].split() == (start + " " + out[doc]["text"].split(".")[1].strip() + ".").split()
+    assert out[3]["n_removed"] == out[4]["n_removed"] == out[5]["n_removed"] == 0
+    assert out[6]["text"] == "" and out[7]["text"] == out[8]["text"] == ""
+    assert span_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_quality_on_held_out(spark):
+    junk = lambda k: " | ".join(words(k, 40)) if k % 2 else " ".join(w.upper() + "!!" for w in words(k, 40))
+    fine = lambda k: ". ".join(" ".join(words(k * 9 + j, 8)).capitalize() for j in range(12)) + "."
+    docs = [(k, junk(k) if k % 3 == 0 else fine(k)) for k in range(400)] + [(1000, None), (1001, ""), (1002, fine(7) * 40)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), None) for k in range(400)] + [(1, 0, None), (2000, 1, 0), (None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    out = quality.quality_scores(table(spark, docs), labels).collect()
+    assert len(out) == len(docs)
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 400]
+    assert len(held) > 50 and np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+    assert quality.quality_scores(table(spark, []), labels).count() == 0
+    assert {r["score"] for r in quality.quality_scores(table(spark, docs[:5]), labels.limit(0)).collect()} == {1.0}
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(0)
+    bags, labels = [rng.random((k % 3 + 1, quality.FEATURES)) for k in range(6)], np.array([0, 1, 1, 0, 1, 0.0])
+    w = quality.fit(bags, labels, hidden=4, gate=3, epochs=1)
+    x, at = np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+    loss = lambda: -np.mean(labels * np.log(quality.forward(w, x, at)["p"]) + (1 - labels) * np.log(1 - quality.forward(w, x, at)["p"]))
+    for name, g in quality._gradients(w, x, at, labels).items():
+        at_ = tuple(0 for _ in np.shape(w[name]))
+        before = np.array(w[name])
+        step = np.zeros_like(before)
+        step[at_] = 1e-6
+        w[name] = before + step
+        up = loss()
+        w[name] = before - step
+        down = loss()
+        w[name] = before
+        assert (up - down) / 2e-6 == pytest.approx(np.array(g)[at_], abs=1e-6)
+
+
+def brute_sets(docs, width):
+    import re
+
+    out = []
+    for d, t in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        out.append((d, {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()))
+    return out
+
+
+def brute_components(docs, width, percent):
+    sets = brute_sets(docs, width)
+    label = list(range(len(docs)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i][1], sets[j][1]
+            if a and 100 * len(a & b) >= percent * len(a | b):
+                label[root(i)] = root(j)
+    key = lambda d: -(1 << 63) if d is None else d
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        groups[root(i)].append(d)
+    return Counter((d, len(s), min(groups[root(i)], key=key)) for i, (d, s) in enumerate(sets))
+
+
+def family(k, n, edits):
+    base = words(k, n)
+    out = []
+    for m in range(edits):
+        w = list(base)
+        for e in range(m % 5):
+            w[(m * 31 + e * 17) % n] = f"edit{k}x{m}x{e}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, monkeypatch, width, percent):
+    common = " ".join(words(999, 30))
+    docs = odd()
+    docs += [(100 + k, t) for k, t in enumerate(family(3, 150, 40) + family(4, 60, 30) + family(5, 12, 10))]
+    docs += [(300 + k, common + " " + " ".join(words(2000 + k, 40 + k % 40))) for k in range(80)]
+    docs += [(500 + k, " ".join(words(77, 80)[: 80 - k])) for k in range(30)]
+    want = brute_components(docs, width, percent)
+    assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard.tiles, "__defaults__", (8,))
+    monkeypatch.setattr(jaccard.frequent_bits, "__defaults__", (4, 10))
+    assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
+    assert jaccard.jaccard_components(table(spark, [])).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    assert got == {x: root(x) for x in label}
+
+
+def test_exact_dedup(spark):
+    docs = odd() + [(20, "x"), (21, "x"), (21, "x"), (22, "x"), (None, "x"), (None, "lonely"), (None, "lonely")]
+    out = exact.exact_dedup(table(spark, docs)).collect()
+    groups = defaultdict(list)
+    for d, t in docs:
+        groups[t or ""].append(d)
+    key = lambda d: -(1 << 63) if d is None else d
+    want = Counter((d, max(groups[t or ""], key=key), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in docs)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == want
+    kept = [r for r in out if r["kept"]]
+    assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
+    assert exact.exact_dedup(table(spark, [])).count() == 0
+
+
+def test_minimal_perfect_hash():
+    digests = np.stack([np.frombuffer(hashlib.sha256(str(k).encode()).digest(), np.uint8) for k in range(5000)])
+    levels = exact.build_levels(digests)
+    assert sorted(exact.slots_of(digests, levels)) == list(range(5000))
+    other = np.stack([np.frombuffer(hashlib.sha256(str(-k - 1).encode()).digest(), np.uint8) for k in range(500)])
+    assert exact.slots_of(other, levels).max() < 5000
+
+
+def test_contamination(spark):
+    import re
+
+    items = [(1, " ".join(words(9, 40))), (2, "only five words in here"), (3, None), (4, ""), (5, "Word"), (6, " ".join(words(9, 40)[10:30])), (6, "two words"), (10, " ".join(["same"] * 20)), (11, "ÉCOLE Über alles zwei drei")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    hit = words(9, 40)
+    docs = odd() + [(30, " ".join(words(31, 50) + hit[5:20] + words(32, 30))), (31, " ".join(hit[:12])), (32, "Only FIVE, words in-here! and a word more"), (33, " ".join(hit + ["x"] * 1500)), (34, "éCOLE über alles zwei drei"), (35, "École... ÉCOLE über alles; zwei drei"), (30, " ".join(hit[:14]))]
+
+    def toks(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = defaultdict(set)
+    for i, t in items:
+        w = toks(t)
+        if w:
+            for k in range(max(len(w) - 12, 1)):
+                windows[tuple(w[k : k + 13])].add(i)
+
+    def brute(d, t):
+        w, covered, found = toks(t), set(), set()
+        for win, ids in windows.items():
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    covered |= set(range(k, k + len(win)))
+                    found |= ids
+        ids = ",".join(sorted(map(str, found)))
+        return d, len(w), len(covered), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(covered) and 20 * len(covered) >= len(w)
+
+    want = Counter(brute(d, t) for d, t in docs)
+    assert Counter(map(tuple, decontam.contamination(table(spark, docs), bench).collect())) == want
+    old, decontam.BLOCK = decontam.BLOCK, 9
+    try:
+        assert Counter(map(tuple, decontam.contamination(table(spark, docs), bench).collect())) == want
+    finally:
+        decontam.BLOCK = old
+    assert decontam.contamination(table(spark, []), bench).count() == 0
+    assert {r["n_hit"] for r in decontam.contamination(table(spark, docs), bench.limit(0)).collect()} == {0}
