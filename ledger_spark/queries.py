@@ -805,9 +805,8 @@ ROUTED = " UNION ALL ".join(
 
 @query(f"{WITH} {ROUTED}")
 def F11_router(spark, sf_dir):
-    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
-    prepared = extract.prepare(rows, 2000).persist()
-    out = extract.route(prepared, structure.select_template(rows, names(rows), rules.templates(spark)), structure.sniffed(rows))
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir)).persist()
+    _, out = plans.parsed(rows, names(rows), rules.templates(spark), 2000)
     return out.select("doc_id", "date", "description", *(F.round(F.col(k), 2).alias(k) for k in ("debit", "credit", "balance")), "layout")
 
 
@@ -902,7 +901,7 @@ def A6_preview(spark, sf_dir):
 
 @query()
 def plan_statement_results(spark, sf_dir):
-    rows = fx.mixed_rows(fx.ledger(spark, sf_dir))
+    rows = fx.mixed_rows(fx.ledger(spark, sf_dir)).persist()
     _, out = plans.statement_results(rows, names(rows), rules.templates(spark), rules.bank_rules(spark), 2000)
     return out.select("statement_id", "layout", "n", "status", "confidence", "bank_name", "content_hash", "checks", "failures")
 
