@@ -33,10 +33,10 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
 
 
-def edited(slot_map: DataFrame, bytes_: DataFrame, shards: int) -> DataFrame:
+def edited(slot_map: DataFrame, bytes_: DataFrame, shards: int, into: int = 0) -> DataFrame:
     """The next version of the map. Slots are taken from the largest; one in a shard above the mean moves to the least
-    full shard if that one then still holds less than the slot's shard held. With more shards than the map has used,
-    the new ones are the least full and only take slots in."""
+    full shard if that one then still holds less than the slot's shard held. Only shards from `into` on take slots in,
+    so that a map grows into new shards alone."""
     sized = slot_map.join(F.broadcast(bytes_), "virtual_slot", "left").select("version", "virtual_slot", "shard", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
     one = sized.agg(
         F.max("version").alias("version"),
@@ -46,8 +46,9 @@ def edited(slot_map: DataFrame, bytes_: DataFrame, shards: int) -> DataFrame:
     )
 
     def step(state: Column, slot: Column) -> Column:
-        loads, low = state["loads"], F.array_min(state["loads"])
-        to = (F.array_position(loads, low) - 1).cast("int")
+        loads, takers = state["loads"], F.slice(state["loads"], into + 1, shards - into)
+        low = F.array_min(takers)
+        to = (F.array_position(takers, low) - 1 + into).cast("int")
         held = F.element_at(loads, slot["shard"] + 1)
         moves = (held > F.col("mean")) & (low + slot["bytes"] < held)
         after = F.transform(loads, lambda v, i: v + F.when(i == to, slot["bytes"]).when(i == slot["shard"], -slot["bytes"]).otherwise(F.lit(0)))
@@ -62,12 +63,12 @@ def edited(slot_map: DataFrame, bytes_: DataFrame, shards: int) -> DataFrame:
     return folded.select("version", "m.virtual_slot", "m.shard")
 
 
-def rebalanced(rows: DataFrame, slot_map: DataFrame, shards: int, edits: int = 3) -> DataFrame:
+def rebalanced(rows: DataFrame, slot_map: DataFrame, shards: int, edits: int = 3, into: int = 0) -> DataFrame:
     """All versions of the map, the given one and one for each edit, as a stored table."""
     sizes = materialize(slot_bytes(rows))
     versions = slot_map
     for _ in range(edits):
-        slot_map = materialize(edited(slot_map, sizes, shards))
+        slot_map = materialize(edited(slot_map, sizes, shards, into))
         versions = versions.unionByName(slot_map)
     return materialize(versions)
 

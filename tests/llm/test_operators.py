@@ -110,7 +110,7 @@ def test_sharding(spark):
 def test_growing_moves_only_into_the_new_shard(spark):
     rows = spark.range(2000).selectExpr("CAST(id % 4096 AS INT) AS virtual_slot", "id % 97 + 1 AS size")
     old = sharding.latest(sharding.rebalanced(rows, sharding.initial_map(spark, 4), 4))
-    new = sharding.latest(sharding.rebalanced(rows, sharding.latest(sharding.rebalanced(rows, sharding.initial_map(spark, 4), 4)).select("version", "virtual_slot", "shard"), 5))
+    new = sharding.latest(sharding.rebalanced(rows, sharding.latest(sharding.rebalanced(rows, sharding.initial_map(spark, 4), 4)).select("version", "virtual_slot", "shard"), 5, into=4))
     moved = old.select("virtual_slot", old["shard"].alias("a")).join(new.select("virtual_slot", new["shard"].alias("b")), "virtual_slot").filter("a <> b").collect()
     assert moved and {r["b"] for r in moved} == {4}
 
