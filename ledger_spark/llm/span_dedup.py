@@ -1,12 +1,16 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences at ends of sentences and lines; a sentence of more than `longest` words is cut into
-pieces of that many, so that a span always has several. A span starts (or ends) at every sentence and takes as many
-consecutive ones as give at least `least_sentences` sentences and `least_words` words. Spans' 128-bit hashes meet over
-all documents. The first occurrence, by doc_id and place, stays; sentences covered by any other occurrence go.
-
-With the default of 20 words every repeated passage of over 50 words holds spans that cover all its whole sentences,
-and ordinary short lines that recur never make one.
+A text is cut into sentences at ends of sentences (with any closing quotes) and lines. A sentence of more than `longest`
+words is cut again where its words say: of every `longest` words in a row without a start of a sentence, the one whose
+hash with the word before is smallest (the last of equal ones) starts a piece. So no piece is longer, and a passage is
+cut alike in all hosts but within `longest` words of its ends. A span starts (or ends) at every sentence and takes as
+many consecutive ones as give at least `least_sentences` sentences and `least_words` words. Spans' 128-bit hashes meet
+over all documents. The first occurrence, by doc_id and place, stays; sentences covered by any other occurrence go.
+
+A passage's first common cut is among its first `longest` words, and a span from there ends `least_words + longest - 1`
+words later at most. With the defaults (10 and 20) that is `longest` words before the end of any passage of over 50 words,
+wherever it stands: each holds common spans from its first to its last common cut. Ordinary short lines that recur never
+make one. Words are what white space parts.
 
 Null and empty texts have no sentences and stay as they are (null becomes empty). A null doc_id comes before any other.
 Rows of one doc_id are ordered by a hash of their texts; rows that repeat both are one document, cut alike. An empty
@@ -19,16 +23,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import chunks, materialize, small_batches, text_bytes
-from .wordhash import BASES, span_hashes, words
+from .wordhash import BASES, mix, span_hashes, words
 
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LINE = np.isin(np.arange(256), [0x0A, 0x0D])
 NO_ID = -(1 << 63)
-STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+STOPS = ".!?\u2026\u203c\u203d\u3002\uff01\uff0e\uff1f\uff61\u0964\u0965\u061f\u06d4\u0589\u037e\u1362"
+CLOSERS = "\"')]}*_\u00bb\u203a\u2019\u201d\u300d\u300f\u3011\uff09"
+
+
+def _ending(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: str) -> np.ndarray:
+    """Bytes of the character of `chars` that each of data[start:end] ends with, 0 if none."""
+    out = np.zeros(len(ends), np.int64)
+    for char in chars:
+        code = char.encode()
+        at = np.flatnonzero((ends - starts >= len(code)) & (data[ends - 1] == code[-1]))
+        for k in range(2, len(code) + 1):
+            at = at[data[ends[at] - k] == code[-k]]
+        out[at] = len(code)
+    return out
+
+
+def closed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether words end with a stop, behind which quotes and brackets may close."""
+    at, to = np.arange(len(ends)), ends.copy()
+    while len(at):
+        size = _ending(data, starts[at], to[at], CLOSERS)
+        to[at] -= size
+        at = at[(size > 0) & (to[at] > starts[at])]
+    out = to > starts
+    out[out] = _ending(data, starts[out], to[out], STOPS) > 0
+    return out
+
+
+def cuts(hashes: np.ndarray, new: np.ndarray, longest: int) -> np.ndarray:
+    """Whether a word starts a piece: of every `longest` words in a row that start no sentence, the last of those whose
+    pair with the word before has the smallest hash."""
+    out = np.zeros(len(new), bool)
+    n = len(new) - longest + 1
+    if n <= 0:
+        return out
+    value = np.zeros(len(new), np.uint64)
+    value[1:] = mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:])
+    count = np.concatenate(([0], np.cumsum(new)))
+    at = np.flatnonzero(count[longest:] == count[:n])
+    best, where = value[at], at.copy()
+    for k in range(1, longest):
+        other = value[at + k]
+        less = other <= best
+        best[less], where[less] = other[less], at[less] + k
+    out[where] = True
+    return out
 
 
 def sentences(texts: pa.Array, longest: int) -> tuple[np.ndarray, ...]:
@@ -40,10 +89,8 @@ def sentences(texts: pa.Array, longest: int) -> tuple[np.ndarray, ...]:
     new[first] = True
     if n:
         lines = np.concatenate(([0], np.cumsum(LINE[data])))
-        new[1:n] |= (lines[starts[1:]] > lines[ends[:-1]]) | STOP[data[ends[:-1] - 1]]
-        begin = np.flatnonzero(new[:n])
-        size = np.diff(np.append(begin, n))
-        new[:n] |= (np.arange(n) - np.repeat(begin, size)) % longest == 0
+        new[1:n] |= (lines[starts[1:]] > lines[ends[:-1]]) | closed(data, starts[:-1], ends[:-1])
+        new[:n] |= cuts(span_hashes(data, starts, ends), new[:n], longest)
     begin = np.append(np.flatnonzero(new[:n]), n)
     return data, starts, ends, begin, np.searchsorted(begin, first)
 
@@ -89,17 +136,15 @@ def document_spans(docs: DataFrame, longest: int, least_sentences: int, least_wo
 def repeated_spans(found: DataFrame) -> DataFrame:
     """doc_id, row, a, b of every occurrence of a span but its first."""
     place = F.struct(F.col("doc_id"), F.col("row"), F.col("a"), F.col("b"))
-    groups = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    met = found.join(groups.hint("merge"), ["h1", "h2"])
+    met = found.withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2")))
     return met.filter(place > F.col("first")).select("doc_id", "row", "a", "b")
 
 
-def remove_repeats(docs: DataFrame, longest: int = 20, least_sentences: int = 3, least_words: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, longest: int = 10, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (numbers of the sentences that go), text (without them)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64("text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    found = materialize(document_spans(rows, longest, least_sentences, least_words))
-    gone = repeated_spans(found).groupBy("doc_id", "row", "a").agg(F.max("b").alias("b"))
+    gone = repeated_spans(document_spans(rows, longest, least_sentences, least_words))
     gone = materialize(gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

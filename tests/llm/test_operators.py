@@ -168,6 +168,25 @@ def test_span_dedup(spark):
     assert span_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_spans_of_passages_anywhere(spark):
+    """Passages of 51 words, with and without stops, among other words at any offsets: all goes but what is within ten
+    words of their ends."""
+    docs, wants = [], {}
+    for k in range(120):
+        passage = [f"p{k}x{j}" + "." * (k % 3 > 0 and j % (4 + k % 23) == k % 4) for j in range(51)]
+        docs.append((2 * k, " ".join(words(3000 + k, k * 7 % 31) + passage + words(5000 + k, 20))))
+        docs.append((2 * k + 1, " ".join(words(7000 + k, k % 13) + passage + words(9000 + k, k * 11 % 29))))
+        wants[2 * k + 1] = passage
+    out = {r["doc_id"]: r for r in span_dedup.remove_repeats(table(spark, docs)).collect()}
+    for doc, passage in wants.items():
+        assert out[doc - 1]["n_removed"] == 0
+        assert not set(passage[10:-10]) & set(out[doc]["text"].split()), doc
+    pieces = lambda text: span_dedup.sentences(span_dedup.pa.array([text], span_dedup.pa.large_string()), 10)[3].tolist()
+    assert pieces("He said \u201cgo.\u201d Then (he left!) Now") == [0, 3, 6, 7]
+    assert pieces("\u4f60\u597d\u3002 \u4f60\u597d\uff1f\u300d \u0939\u0948\u0964 \u0645\u0627\u061f end") == [0, 1, 2, 3, 4, 5]
+    assert max(np.diff(pieces(" ".join(words(4, 3000))))) <= 10
+
+
 def test_quality_on_held_out(spark):
     junk = lambda k: " | ".join(words(k, 40)) if k % 2 else " ".join(w.upper() + "!!" for w in words(k, 40))
     fine = lambda k: ". ".join(" ".join(words(k * 9 + j, 8)).capitalize() for j in range(12)) + "."
