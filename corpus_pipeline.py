@@ -7,8 +7,9 @@
 5. packing: the rest, as pieces of at most 2048 tokens with their places in sequences.
 
 Every stage reads whole texts of all rows that the stage before kept. Ids of rows that go are a small table: it is
-broadcast if a count shows that it is short, and joined by sort-merge otherwise. doc_id may be null; rows that repeat
-doc_id and text are one row after stage 2. Columns beyond doc_id and text pass through stages 1 to 4 unread.
+broadcast if a count shows that it is short, and joined by sort-merge otherwise. doc_id may be null or repeat: stages 3
+and 4 judge and drop single rows, by a row number stored before them. Null comes before any other doc_id; of rows with
+one doc_id the smallest hash of the text comes first. Rows that repeat doc_id and text are one row after stage 2. Columns beyond doc_id and text pass through stages 1 to 4 unread.
 """
 
 from __future__ import annotations
@@ -48,14 +49,28 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without(docs, [F.col("doc_id"), sha], rows.filter("NOT kept").select("doc_id", "text_sha256"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs, stored with a number for each row in __row; and doc_id, now that number, with the text."""
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return docs, docs.select(F.col("__row").alias("doc_id"), "text")
+
+
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs, width=5, percent=80)
-    return without(docs, [F.col("doc_id")], found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    docs, rows = numbered(docs)
+    found = materialize(jaccard.jaccard_components(rows, width=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id"))
+    many = found.filter(F.col("__row") != F.col("component_id")).select("component_id").distinct()
+    linked = found.join(many.hint("merge"), "component_id", "left_semi")
+    place = F.struct(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("__row"))
+    placed = materialize(linked.join(docs.select("__row", place.alias("place")).hint("merge"), "__row"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = placed.join(first.hint("merge"), "component_id").filter(F.col("place") != F.col("first"))
+    return without(docs, [F.col("__row")], gone.select("__row")).drop("__row")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return without(docs, [F.col("doc_id")], found.filter("contaminated").select("doc_id"))
+    docs, rows = numbered(docs)
+    found = decontam.contamination(rows, read(spark, sf_dir, "benchmark"))
+    return without(docs, [F.col("__row")], found.filter("contaminated").select("doc_id")).drop("__row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
