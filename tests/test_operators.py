@@ -151,3 +151,16 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 
 def test_roles_are_free_of_names():
     assert len(rules.DEDUCTIONS) + len(rules.WIRE_DEDUCTIONS) == 139
+
+
+def test_candidate_pairs_miss_no_similar_pair(spark):
+    from ledger_spark.operators import dedupe
+
+    rows = lambda s, n, date, word: [(s, k, date, f"{word} shop {k}", k * 1.0, None) for k in range(n)]
+    txns = rows(1, 5, None, "a") + rows(2, 5, None, "a") + rows(3, 3, None, "a") + rows(4, 5, "2024-01-01", "a") + rows(5, 5, "2024-01-01", "a") + rows(8, 5, None, "a")
+    txns = spark.createDataFrame(txns, "statement_id long, txn_idx int, date string, description string, debit double, credit double")
+    statements = spark.createDataFrame([(1, s) for s in range(1, 8)] + [(2, 8), (2, 9)], "user_id long, statement_id long")
+    got = {tuple(r) for r in dedupe.candidate_pairs(statements, statements, txns).collect()}
+    pairs = statements.selectExpr("user_id", "statement_id AS a").join(statements.selectExpr("user_id", "statement_id AS b"), "user_id").filter("a <> b").select("a", "b")
+    similar = {(r["a"], r["b"]) for r in dedupe.transaction_similarity(pairs, txns).collect() if r["similarity"] > 0}
+    assert similar == {(1, 2), (2, 1), (4, 5), (5, 4), (6, 7), (7, 6)} and got == similar
