@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import chunks, materialize, small_batches, text_bytes
-from .wordhash import BASES, mix, span_hashes, words
+from .wordhash import SEEDS, mix, span_hashes, words
 
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LINE = np.isin(np.arange(256), [0x0A, 0x0D])
@@ -125,7 +125,7 @@ def document_spans(docs: DataFrame, longest: int, least_sentences: int, least_wo
                 data, starts, ends, begin, first = sentences(texts, longest)
                 a, b = spans(begin, first, least_sentences, least_words)
                 of = np.searchsorted(first, a, "right") - 1
-                lanes = [span_hashes(span_hashes(data, starts, ends, base), begin[a], begin[b], base) for base in BASES]
+                lanes = [span_hashes(span_hashes(data, starts, ends, seed), begin[a], begin[b], seed) for seed in SEEDS]
                 ids = [part.column(part.schema.get_field_index(c)).take(pa.array(of)) for c in ("row", "doc_id")]
                 columns = [*ids, pa.array((a - first[of]).astype(np.int32)), pa.array((b - first[of]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lanes)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "a", "b", "h1", "h2"])

@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from .wordhash import BASES, span_hashes
+from .wordhash import SEEDS, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -80,8 +80,8 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(points))
-        hashes = span_hashes(points, starts, ends, BASES[0])
-        second = span_hashes(points, starts, ends, BASES[1])
+        hashes = span_hashes(points, starts, ends, SEEDS[0])
+        second = span_hashes(points, starts, ends, SEEDS[1])
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if not np.array_equal(second[first][inverse], second):
             parts = self._whole(texts)  # two pre-tokens of one hash: never seen, but exact

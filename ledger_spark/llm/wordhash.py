@@ -1,15 +1,16 @@
 """Vectorised word splitting and hashing over the bytes of many texts at once.
 
-A span's hash is a polynomial over its bytes modulo 2**64, taken from one running sum for the whole block, then mixed.
-Two different bases give 128 bits where a wrong match would matter.
+A span's hash takes its bytes eight at a time: each lane is mixed into the state by a bijection, so that spans of one
+length of up to eight bytes never collide and longer ones do by chance only. Two seeds give 128 bits where a wrong match
+would matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the bytes of a lane that belong to the span
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,22 +22,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    known = _POWERS.get(base)
-    if known is None or len(known[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        known = _POWERS[base] = np.cumprod(up), np.cumprod(down)
-    return known
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span."""
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each span, over the bytes of the values."""
+    values = np.ascontiguousarray(values)
+    raw = np.concatenate((values.view(np.uint8), np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from every place on
+    at, left = np.asarray(starts, np.int64) * values.itemsize, (np.asarray(ends, np.int64) - starts) * values.itemsize
+    out = mix(left.astype(np.uint64) + np.uint64(seed))
+    live = np.flatnonzero(left > 0)
+    at, left = at[live], left[live]
+    while len(live):
+        out[live] = mix(out[live] * np.uint64(seed) + (lanes[at] & _KEPT[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
