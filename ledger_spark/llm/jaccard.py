@@ -1,20 +1,24 @@
-"""N-gram Jaccard self-join: size-banded tiles of bitmap signatures, then exact intersection of sorted arrays.
-
-Texts with one shingle set are one set, named by 64 bits of a digest over it (n sets collide with probability
-n**2 / 2**65). Linked sets share a shingle among the first n - ceil(t n) + 1 of each in any fixed order. The order here
-puts shingles that many prefixes share last, and is otherwise the hash's: which shingles are frequent is counted over
-all documents and held in a bitmap of fixed size, so that two shingles of one bit only change the order.
-
-1. Per document: set id, size and the prefix in hash order. Prefix shingles over all sets are counted; frequent ones
-   get a bit.
-2. Prefixes in the final order are dealt by shingle. Sets that share none are done.
-3. Each set meets a few neighbours in its shingles' groups. Pairs that share enough are tested; linked sets become
-   components, so that a family of near copies needs few further pairs.
-4. Groups of a shingle that still hold several components are tiles. Large ones are cut into bands of size, as linked
-   sets differ in size by the threshold at most, and bands into salted parts; each pair of parts is a tile of its own.
-   In a tile, pairs of different components pass if their sizes and signatures (bits that one has and the other
-   lacks bound the overlap from above) allow a link, and if they met in enough shingles of their prefixes.
-5. What passes is tested exactly, and the components are joined.
+"""N-gram Jaccard self-join: size-banded tiles, bitmap signatures, then exact intersection of sorted arrays.
+
+Texts with one shingle set are one set, told apart by 128 bits of a digest over it. Linked sets share a shingle among
+the first n - ceil(t n) + 1 of each in any fixed order. The order here puts frequent shingles last, and is otherwise the
+hash's.
+
+1. Per document: set, size, signature, and the prefix in hash order. Shingles that stand in more than `frequent` of
+   these prefixes are counted over all documents; with the table they grow rarer, so that the list of them, which every
+   task gets, holds at most MOST_FREQUENT hashes.
+2. Prefixes in the final order meet by shingle. A shingle's leader is the smallest set that holds it; sets that share a
+   shingle also share its leader. So a set takes a place with each leader once, however many shingles they have in
+   common. Sets without shared shingles are done.
+3. A leader's sets are a tile. Large ones are cut into bands of size, as linked sets differ in size by the threshold at
+   most, and bands into salted parts; each pair of parts is a tile of its own.
+4. Three passes over tiles leave less and less: pairs must fit by their sizes and by how many of their prefix shingles
+   are shared at all; then by signatures of four to eight bits a shingle (bits that one has and the other lacks bound the
+   overlap from above); what still has a partner gets its sorted array, and pairs are intersected exactly. A tile joins
+   what it finds linked and returns the links that join two of its groups, at most one less than it has rows.
+5. Components over the links of all tiles.
+
+No pair leaves a tile before it is known to be linked, so no table here grows with the square of a group.
 
 Null and wordless texts have empty sets and no links. A null doc_id is smaller than any other. Repeated rows are equal
 sets, each with its own result row. An empty table gives no rows.
@@ -23,13 +27,12 @@ sets, each with its own result row. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,10 +40,10 @@ from .shared import chunks, materialize, small_batches, text_bytes
 from .wordhash import lowered, run_hashes, span_hashes, words
 
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-SIGNATURE = 1024
-ORDER_BITS = 23
-FREQUENT = 32
-TILE = 1024
+FREQUENT = 32  # prefixes that a shingle may stand in without coming last
+MOST_FREQUENT = 1 << 21  # shingles that may come last
+TILE, TILE_SHINGLES = 2048, 1 << 21  # rows of a part of a tile, and shingles in all its sets
+SEEN = 1_000_000  # sets that a task remembers
 NO_ID = -(1 << 63)
 
 
@@ -58,261 +61,294 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield run_hashes(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    both = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE, bool)
-    bits[(shingles >> np.uint64(32)) % np.uint64(SIGNATURE)] = True
-    return np.packbits(bits).tobytes()
-
-
-def may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes n and m with signatures a and b (rows of uint64) can be linked."""
-    most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
-    return 100 * most >= percent * (n + m - most)
-
-
-def sizes_fit(a, b, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits a shingle, as words of 64; its length is a power of two. Half of it laid over the
+    other half is the signature of half the length."""
+    size = max(256, 1 << (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles >> np.uint64(16)) & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
 def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, sid, n, sig, low: a document's set, its signature and its prefix in hash order (both null and empty where
-    the task has seen the set)."""
+    """doc_id, hi, lo (the set's name), n, sig, low: a document's set, its signature and its prefix in hash order (null
+    and empty where the task has seen the set)."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                ids, sizes, sigs, low = [], [], [], []
+                rows = []
                 for s in shingle_sets(texts, width):
-                    sid = set_id(s)
-                    sigs.append(None if sid in seen else signature(s))
-                    low.append(s[: 0 if sid in seen else prefix_length(len(s), percent)].view(np.int64))
-                    ids.append(sid)
-                    sizes.append(len(s))
-                    if len(seen) < 1_000_000:
-                        seen.add(sid)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "sig", "low"])
+                    name = set_id(s)
+                    known = name in seen
+                    rows.append((*name, len(s), None if known else signature(s).tobytes(), s[: 0 if known else prefix_length(len(s), percent)].view(np.int64)))
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", "hi", "lo", "n", "sig", "low"])
+
+    return docs.mapInArrow(run, "doc_id long, hi long, lo long, n long, sig binary, low array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, sig binary, low array<long>")
+def frequent_shingles(sets: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The sorted hashes of shingles in more than `frequent` prefixes, or in more than a `most`-th of all places in
+    prefixes if that is more, so that there are `most` of them at most."""
+    places = sets.agg(F.sum(F.size("low"))).first()[0] or 0
+    many = sets.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > max(frequent, -(-places // most)))
+    return np.sort(many.select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
-def frequent_bits(sets: DataFrame, frequent: int = FREQUENT, bits: int = ORDER_BITS) -> np.ndarray:
-    """A bitmap over the low bits of shingles: set where a shingle stands in more than `frequent` prefixes."""
-    many = sets.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > frequent)
-    at = F.col("token").bitwiseAND((1 << bits) - 1)
-    packed = many.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    for row in packed:  # at most 2**(bits - 6) words
-        out[row["word"]] = np.int64(row["bits"]).astype(np.uint64)
-    return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little").astype(bool)
+def ordered_prefix(shingles: np.ndarray, p: int, last: np.ndarray) -> np.ndarray:
+    """The first p of a set where those in `last` come behind all others."""
+    for upto in (min(len(shingles), 2 * p + 16), len(shingles)):
+        s = shingles[:upto]
+        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(upto, bool)
+        if upto - late.sum() >= p or upto == len(shingles):
+            rare = s[~late][:p]
+            return rare if len(rare) == p else np.concatenate((rare, s[late][: p - len(rare)]))
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """token, sid, n: each set's prefix where shingles with a bit come last; a set once per task."""
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(last))
-    mask = np.uint64(len(last) - 1)
+    """token, hi, lo: each set's prefix in the final order; a set once per task."""
+    held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        late = np.unpackbits(held.value).astype(bool)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                tokens, ids, sizes = [np.zeros(0, np.uint64)], [], []
+                tokens, names = [np.zeros(0, np.uint64)], []
                 for s in shingle_sets(texts, width):
-                    sid = set_id(s)
-                    if sid in seen or not len(s):
+                    name = set_id(s)
+                    if name in seen or not len(s):
                         continue
-                    if len(seen) < 1_000_000:
-                        seen.add(sid)
-                    p, rare = prefix_length(len(s), percent), ~late[s & mask]
-                    own = s[rare][:p]
-                    tokens.append(own if len(own) == p else np.concatenate((own, s[~rare][: p - len(own)])))
-                    ids.append(sid)
-                    sizes.append(len(s))
-                counts = [len(t) for t in tokens[1:]]
-                columns = np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "n"])
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                    tokens.append(ordered_prefix(s, prefix_length(len(s), percent), held.value))
+                    names.append(name)
+                both = np.repeat(np.array(names, np.int64).reshape(-1, 2), [len(t) for t in tokens[1:]], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(tokens).view(np.int64), both[:, 0], both[:, 1])], ["token", "hi", "lo"])
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n long")
+    return docs.select("text").mapInArrow(run, "token long, hi long, lo long")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """sid, arr: sorted shingles as bytes."""
+    """hi, lo, arr: sorted shingles as bytes, each set once."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                rows = [(set_id(s), s.tobytes()) for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["sid", "arr"])
-
-    return docs.select("text").mapInArrow(run, "sid long, arr binary")
-
-
-def _words64(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
-
-
-def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).hint("merge"), side)
-    return pairs
-
-
-def plausible(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that sizes and signatures allow."""
-
-    def bound(batches):
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            ok = may_link(get("n_a").to_numpy(), get("n_b").to_numpy(), _words64(get("sig_a")), _words64(get("sig_b")), percent)
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(ok))
-
-    return _both(pairs, unique, "n", "sig").mapInArrow(bound, "a long, b long")
+                rows = []
+                for s in shingle_sets(texts, width):
+                    name = set_id(s)
+                    if name not in seen:
+                        rows.append((*name, s.tobytes()))
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                columns = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["hi", "lo", "arr"])
+
+    return docs.select("text").mapInArrow(run, "hi long, lo long, arr binary").dropDuplicates(["hi", "lo"])
+
+
+def members(docs: DataFrame, unique: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
+    """leader, node, n, s: the sets that have a shingle in common with a leader, one row for each of the two; s is at
+    least the number of a set's prefix shingles that any other set's prefix holds."""
+    rows = materialize(prefixes(docs, width, percent, last))
+    shared = rows.groupBy("token").agg(F.min("hi").alias("leader"), F.max("hi").alias("other")).filter("leader < other").select("token", "leader")
+    met = rows.join(shared.hint("merge"), "token").groupBy("leader", "hi", "lo").agg(F.count("*").alias("k"))
+    named = met.join(unique.select("hi", "lo", "node", "n").hint("merge"), ["hi", "lo"])
+    return materialize(named.select("leader", "node", "n", F.sum("k").over(Window.partitionBy("hi", "lo")).alias("s")))
+
+
+def tiles(rows: DataFrame, percent: int, tile: int | None = None) -> DataFrame:
+    """h (the tile), side, one and the columns of rows(leader, node, n, s): the row once for each tile that it is in. A
+    tile pairs side 0 with side 1, or all of its rows with each other where one is true."""
+    tile = tile or TILE
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    rows = rows.withColumn("band", band)
+    parts_of = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = rows.groupBy("leader", "band").agg(F.count("*").alias("k"), F.sum("n").alias("m"), parts_of.alias("parts"))
+    total = sizes.groupBy("leader").agg(F.sum("k").alias("total"), F.sum("m").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts")).filter("total > 1")
+    rows = rows.join(total.hint("merge"), "leader")
+    parts = lambda d: F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(parts(0), F.lit(1))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda b1, s1, b2, s2, side, one: F.struct(b1.cast("int").alias("b1"), s1.cast("int").alias("s1"), b2.cast("int").alias("b2"), s2.cast("int").alias("s2"), side.cast("int").alias("side"), one.alias("one"))
+    b, s = F.col("band"), F.col("part")
+    inside = F.transform(upto(parts(0)), lambda j: place(b, F.least(s, j), b, F.greatest(s, j), s > j, s == j))
+    above = F.transform(upto(parts(1)), lambda j: place(b, s, b + 1, j, F.lit(0), F.lit(False)))
+    below = F.transform(upto(parts(-1)), lambda j: place(b - 1, j, b, s, F.lit(1), F.lit(False)))
+    none = F.lit(0)
+    whole = F.array(place(none, none, none, none, none, F.lit(True)))
+    small = (F.col("total") <= tile) & (F.col("shingles") <= TILE_SHINGLES)
+    rows = rows.withColumn("at", F.explode(F.when(small, whole).otherwise(F.concat(inside, above, below))))
+    key = F.xxhash64("leader", "at.b1", "at.s1", "at.b2", "at.s2")  # tiles of one hash are one tile with idle pairs
+    return rows.select(key.alias("h"), "at.side", "at.one", "node", "n", "s")
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions("h", "n")
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one partition, sorted by h, in tables that hold whole tiles."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(batch.schema.get_field_index("h")).to_numpy()
+        if held and h[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = h[-1]
+        cut = int(np.searchsorted(h, last))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def fitting(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows, sorted by tile and size, that are to be compared and whose sizes allow a link. Those that
+    are d rows apart come together, for every d."""
+    h, n, side, one = (_column(table, c) for c in ("h", "n", "side", "one"))
+    live, d = np.arange(len(h)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < len(h)]
+        live = live[(h[live] == h[live + d]) & (percent * n[live + d] <= 100 * n[live])]
+        ok = one[live] | (side[live] != side[live + d])
+        if ok.any():
+            yield live[ok], live[ok] + d
+
+
+def enough_shared(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m whose prefixes share that many shingles can be linked. What is linked has at least
+    `least` shingles in common. In the set whose prefix ends first in the order, shared shingles stand in both prefixes
+    or behind its own."""
+    behind = np.maximum((percent * n + 99) // 100, (percent * m + 99) // 100) - 1
+    least = -(-percent * (n + m) // (100 + percent))
+    return shared + behind >= least
+
+
+class Signatures:
+    """Signatures of a table's rows, compared at the length of the shorter one."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        each = [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+        self.size = np.array([len(s) for s in each])
+        self.levels, self.row = {}, np.zeros(len(each), np.int64)
+        for size in np.unique(self.size):
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.levels[size] = np.stack([each[k] for k in at])
+
+    def _at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.uint64)
+        for own in np.unique(self.size[rows]):
+            some = self.size[rows] == own
+            bits = self.levels[own][self.row[rows[some]]]
+            while bits.shape[1] > size:
+                bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+            out[some] = bits
+        return out
+
+    def allow(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the pairs of rows can be linked, as far as bits tell."""
+        out = np.zeros(len(i), bool)
+        least = np.minimum(self.size[i], self.size[j])
+        for size in np.unique(least):
+            at = np.flatnonzero(least == size)
+            step = max(1, (1 << 18) // int(size))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = may_link(n[i[some]], n[j[some]], self._at(i[some], size), self._at(j[some], size), percent)
+        return out
 
 
-def linked(pairs: DataFrame, unique: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b), a stored table, that are linked by exact intersection. Only their sets are made again."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(unique.select("sid", "doc_id").hint("merge"), "sid").select("doc_id").distinct()
-    wanted = materialize(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted.hint("merge")
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
+def may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with signatures a and b (rows of uint64) can be linked."""
+    most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
+    return 100 * most >= percent * (n + m - most)
 
-    def exact(batches):
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            ok = []
-            for x, y in zip(get("arr_a"), get("arr_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                same = int((x[at] == y).sum())
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return _both(pairs, sets, "arr").mapInArrow(exact, "a long, b long").distinct()
+def with_partner(rows: DataFrame, percent: int, signed: bool) -> DataFrame:
+    """The rows of tiles that have a partner which sizes and shared shingles allow, or (signed) signatures."""
 
+    def run(batches):
+        for table in whole_tiles(batches):
+            alive, n = np.zeros(len(table), bool), _column(table, "n")
+            bits, s = (Signatures(table["sig"]), None) if signed else (None, _column(table, "s"))
+            for i, j in fitting(table, percent):
+                ok = bits.allow(i, j, n, percent) if signed else enough_shared(n[i], n[j], np.minimum(s[i], s[j]), percent)
+                alive[i[ok]] = alive[j[ok]] = True
+            yield from table.filter(pa.array(alive)).to_batches()
 
-def enough_shared(n: str, m: str, shared: str, percent: int) -> Column:
-    """Whether sets of sizes n and m whose prefixes share that many shingles can be linked. What is linked has at least
-    `least` shingles in common. In the set whose prefix ends first in the order, shared shingles stand in both prefixes
-    or behind its own."""
-    behind = [F.floor((percent * F.col(x) + 99) / 100) - 1 for x in (n, m)]
-    least = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
-    return F.col(shared) + F.greatest(*behind) >= least
+    return by_tile(rows).mapInArrow(run, by_tile(rows).schema)
 
 
-def neighbour_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs to try first: each set with the next ones, and with the first, of its shingles' groups in one order. Their
-    count over shingles is close to what the prefixes share, so few hopeless pairs are left. They only save later work."""
-    met = shared.select("sid", "n", F.explode(F.array(*(F.struct(F.col(f"s{k}").alias("sid"), F.col(f"n{k}").alias("n")) for k in range(4)))).alias("o"))
-    met = met.filter(F.col("o.sid").isNotNull() & (F.col("sid") != F.col("o.sid"))).select("sid", "n", F.col("o.sid").alias("t"), F.col("o.n").alias("m")).filter(sizes_fit("n", "m", percent))
-    pairs = met.groupBy(F.least("sid", "t").alias("a"), F.greatest("sid", "t").alias("b")).agg((2 * F.count("*")).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return pairs.filter(enough_shared("n", "m", "k", percent)).select("a", "b")
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays are linked by their exact intersection."""
+    if len(x) > len(y):
+        x, y = y, x
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def tiles(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """tile, side, one, and the columns of rows(token, sid, n, c): the row once for each tile that it is in. A tile
-    pairs side 0 with side 1, or all of its rows with each other if one is true."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    rows = rows.withColumn("band", band)
-    sizes = rows.groupBy("token", "band").agg(F.count("*").alias("k"))
-    total = sizes.groupBy("token").agg(F.sum("k").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("k") / tile).cast("int")))).alias("parts"))
-    rows = rows.join(total.hint("merge"), "token")
-    parts = lambda d: F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0))
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("sid"), F.greatest(parts(0), F.lit(1))).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda b1, s1, b2, s2, side, one: F.struct(b1.cast("int").alias("b1"), s1.cast("int").alias("s1"), b2.cast("int").alias("b2"), s2.cast("int").alias("s2"), side.cast("int").alias("side"), one.alias("one"))
-    b, s = F.col("band"), F.col("s")
-    inside = F.transform(upto(parts(0)), lambda j: place(b, F.least(s, j), b, F.greatest(s, j), s > j, s == j))
-    above = F.transform(upto(parts(1)), lambda j: place(b, s, b + 1, j, F.lit(0), F.lit(False)))
-    below = F.transform(upto(parts(-1)), lambda j: place(b - 1, j, b, s, F.lit(1), F.lit(False)))
-    none = F.lit(0)
-    small = F.array(place(none, none, none, none, none, F.lit(True)))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("total") <= tile, small).otherwise(F.concat(inside, above, below))))
-    key = F.struct("token", "at.b1", "at.s1", "at.b2", "at.s2")
-    return rows.select(key.alias("tile"), F.col("at.side").alias("side"), F.col("at.one").alias("one"), "sid", "n", "c")
-
-
-def pairs_in_tiles(placed: DataFrame, percent: int) -> DataFrame:
-    """a, b, n, m: pairs of different components in one tile that sizes and signatures allow, with their sizes. A pair
-    comes once from each shingle that both prefixes hold. placed is sorted by tile inside its partitions."""
-
-    def near(t: np.ndarray, n, c, side, one, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows d apart, for every d up to the longest run."""
-        live, d = np.arange(len(t)), 0
-        while True:
-            d += 1
-            live = live[live + d < len(t)]
-            live = live[t[live] == t[live + d]]
-            if not len(live):
-                return
-            i, j = live, live + d
-            ok = (c[i] != c[j]) & (one[i] | (side[i] != side[j])) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
-            i, j = i[ok], j[ok]
-            for k in range(0, len(i), 8192):
-                x, y = i[k : k + 8192], j[k : k + 8192]
-                ok = may_link(n[x], n[y], sig[x], sig[y], percent)
-                yield x[ok], y[ok]
+def links(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all that is linked inside each tile of rows(h, side, one, node, n, sig, arr)."""
 
     def run(batches):
-        rest = None
-        for batch in itertools.chain(map(table_of, batches), [None]):
-            if batch is None:
-                table, rest = rest, None
-            else:
-                table = batch if rest is None else pa.concat_tables([rest, batch])
-            if table is None or not len(table):
-                continue
-            t = table["h"].combine_chunks().to_numpy()
-            stop = len(t) if batch is None else int(np.flatnonzero(t != t[-1])[-1]) + 1 if (t != t[-1]).any() else 0
-            rest = table.slice(stop)
-            if not stop:
-                continue
-            table, t = table.slice(0, stop), t[:stop]
-            sid, n, c, side = (table[x].combine_chunks().to_numpy() for x in ("sid", "n", "c", "side"))
-            one, sig = table["one"].combine_chunks().to_numpy(zero_copy_only=False), _words64(table["sig"])
-            for i, j in near(t, n, c, side, one, sig):
-                swap = sid[i] > sid[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], sid[j], n[i], n[j])], ["a", "b", "n", "m"])
-
-    def table_of(batch: pa.RecordBatch) -> pa.Table:
-        return pa.Table.from_batches([batch])
-
-    return placed.mapInArrow(run, "a long, b long, n long, m long")
+        for table in whole_tiles(batches):
+            node, n, bits = _column(table, "node"), _column(table, "n"), Signatures(table["sig"])
+            arrays = [np.frombuffer(a.as_buffer(), np.uint64) for a in table["arr"].combine_chunks()]
+            label, found = np.arange(len(node)), []
+            for i, j in fitting(table, percent):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                ok = bits.allow(i, j, n, percent)
+                for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+                    if label[x] != label[y] and linked(arrays[x], arrays[y], percent):
+                        label[label == label[y]] = label[x]
+                        found.append((node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+
+    return by_tile(rows).mapInArrow(run, "a long, b long")
+
+
+def with_arrays(rows: DataFrame, docs: DataFrame, unique: DataFrame, width: int) -> DataFrame:
+    """rows and the sorted array of each one's set. Only the texts of these sets are read for shingles again."""
+    wanted = materialize(rows.select("node").distinct().join(unique.select("node", "hi", "lo", "doc_id").hint("merge"), "node"))
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= 500_000 else ids.hint("merge")
+    arrays = full_sets(docs.join(ids, "doc_id", "left_semi"), width).join(wanted.select("hi", "lo", "node").hint("merge"), ["hi", "lo"])
+    return rows.join(arrays.select("node", "arr").hint("merge"), "node")
 
 
 def set_links(docs: DataFrame, sets: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label: components of linked sets; a set without links has no row."""
-    rows = prefixes(docs, width, percent, frequent_bits(sets)).repartition("token").dropDuplicates(["token", "sid"])
-    order = Window.partitionBy("token").orderBy(F.xxhash64("sid"))
-    whole = order.rowsBetween(Window.unboundedPreceding, 0)
-    near = [F.first(c).over(whole).alias(f"{k}0") for c, k in (("sid", "s"), ("n", "n"))] + [F.lead(c, d).over(order).alias(f"{k}{d}") for d in (1, 2, 3) for c, k in (("sid", "s"), ("n", "n"))]
-    shared = rows.select("token", "sid", "n", *near)
-    shared = materialize(shared.filter("s1 IS NOT NULL OR s0 <> sid"))
-
-    first = materialize(plausible(neighbour_pairs(shared, percent), unique, percent))
-    first = materialize(linked(first, unique, docs, width, percent))
-    labels = components(first)
-    named = shared.select("token", "sid", "n").join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("c"))
-    named = materialize(named)
-    open_ = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    placed = tiles(named.join(open_.hint("merge"), "token", "left_semi"), percent)
-    placed = placed.join(unique.select("sid", "sig").hint("merge"), "sid").withColumn("h", F.xxhash64("tile"))
-    placed = placed.repartition("h").sortWithinPartitions("h").select("h", "side", "one", "sid", "n", "c", "sig")
-    met = pairs_in_tiles(placed, percent).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    second = materialize(met.filter(enough_shared("n", "m", "k", percent)).select("a", "b"))
-    second = materialize(linked(second, unique, docs, width, percent))
-    if not second.limit(1).count():
-        return labels
-    return components(first.unionByName(second))
+    met = members(docs, unique, width, percent, frequent_shingles(sets))
+    kept = materialize(with_partner(tiles(met, percent), percent, signed=False).drop("s"))
+    kept = materialize(with_partner(kept.join(unique.select("node", "sig").hint("merge"), "node"), percent, signed=True))
+    return components(materialize(links(with_arrays(kept, docs, unique, width), percent)))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -321,12 +357,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     sets = materialize(document_sets(docs, width, percent))
     some = sets.filter("n > 0")
-    unique = materialize(some.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig")))
+    unique = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sig").alias("sig"))
+    unique = materialize(unique.withColumn("node", F.monotonically_increasing_id()))
     labels = set_links(docs, some, unique, width, percent)
-    own = unique.select("sid", F.col("doc_id").alias("first")).join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
-    smallest = own.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = materialize(own.join(smallest.hint("merge"), "label").select("sid", "component_id"))
-    out = sets.select("doc_id", "sid", "n").join(named.hint("merge"), "sid", "left")
+    own = unique.select("node", "hi", "lo", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(own.join(smallest.hint("merge"), "label").select("hi", "lo", "component_id"))
+    out = sets.select("doc_id", "hi", "lo", "n").join(named.hint("merge"), ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from cases import odd, table, words
 
-from ledger_spark.llm import chat, components, decontam, exact, jaccard, packing, quality, sharding, span_dedup, token_counts, url_filter
+from ledger_spark.llm import chat, components, decontam, exact, jaccard, packing, quality, sharding, span_dedup, token_counts, url_filter, wordhash
 from ledger_spark.llm.queries import tokenizer_path
 from ledger_spark.llm.tokens import encoder
 
@@ -273,12 +273,32 @@ def test_jaccard(spark, monkeypatch, width, percent):
     want = brute_components(docs, width, percent)
     assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
     monkeypatch.setattr(jaccard, "TILE", 8)
-    monkeypatch.setattr(jaccard.tiles, "__defaults__", (8,))
-    monkeypatch.setattr(jaccard.frequent_bits, "__defaults__", (4, 10))
+    monkeypatch.setattr(jaccard.frequent_shingles, "__defaults__", (4, 50))
     assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
 
 
+def test_no_pair_leaves_a_tile_unlinked(spark):
+    """A family whose every two are candidates: what the tiles return is no longer than their rows."""
+    docs = table(spark, [(k, t) for k, t in enumerate(family(3, 150, 200) + family(3, 150, 200))]).select("doc_id", "text")
+    rows = jaccard.document_sets(docs, 3, 90).filter("sig IS NOT NULL").selectExpr("doc_id AS node", "n", "sig", "hi", "lo").dropDuplicates(["hi", "lo"])
+    arrays = jaccard.full_sets(docs, 3)
+    tile = rows.join(arrays, ["hi", "lo"]).selectExpr("1L AS h", "0 AS side", "true AS one", "node", "n", "sig", "arr")
+    assert 0 < jaccard.links(tile, 90).count() < tile.count()
+
+
+def test_hashes_of_long_words():
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    word = bytes(97 + (k.bit_count() & 1) for k in range(8192))
+    data = np.frombuffer(word + bytes(195 - x for x in word), np.uint8)
+    for seed in wordhash.SEEDS:
+        a, b = wordhash.span_hashes(data, np.array([0, 8192]), np.array([8192, 16384]), seed)
+        assert a != b
+    texts = [data[:8192].tobytes().decode(), data[8192:].tobytes().decode(), "cab"]
+    ids, ends = encoder(tokenizer_path()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [ids_of(t) for t in texts]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7)]
