@@ -4,9 +4,9 @@ Texts with one shingle set are one set, told apart by 128 bits of a digest over
 the first n - ceil(t n) + 1 of each in any fixed order. The order here puts frequent shingles last, and is otherwise the
 hash's.
 
-1. Per document: set, size, signature, and the prefix in hash order. Shingles that stand in more than `frequent` of
-   these prefixes are counted over all documents; with the table they grow rarer, so that the list of them, which every
-   task gets, holds at most MOST_FREQUENT hashes.
+1. Per document: set, size, signature, and the prefix in hash order. Shingles of these prefixes are counted over all
+   documents. The most frequent ones are listed for every task: all that stand in two prefixes, or in a larger table
+   in more, so that the list holds at most MOST_FREQUENT hashes.
 2. Prefixes in the final order meet by shingle. A shingle's leader is the smallest set that holds it; sets that share a
    shingle also share its leader. So a set takes a place with each leader once, however many shingles they have in
    common. Sets without shared shingles are done.
@@ -40,7 +40,6 @@ from .shared import chunks, materialize, small_batches, text_bytes
 from .wordhash import lowered, run_hashes, span_hashes, words
 
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-FREQUENT = 32  # prefixes that a shingle may stand in without coming last
 MOST_FREQUENT = 1 << 21  # shingles that may come last
 TILE, TILE_SHINGLES = 2048, 1 << 21  # rows of a part of a tile, and shingles in all its sets
 SEEN = 1_000_000  # sets that a task remembers
@@ -101,12 +100,14 @@ def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hi long, lo long, n long, sig binary, low array<long>")
 
 
-def frequent_shingles(sets: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """The sorted hashes of shingles in more than `frequent` prefixes, or in more than a `most`-th of all places in
-    prefixes if that is more, so that there are `most` of them at most."""
-    places = sets.agg(F.sum(F.size("low"))).first()[0] or 0
-    many = sets.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > max(frequent, -(-places // most)))
-    return np.sort(many.select("token").toArrow()["token"].to_numpy().view(np.uint64))
+def frequent_shingles(sets: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
+    """The sorted hashes of shingles in more than f prefixes, f being the smallest power of two that leaves at most `most`
+    of them."""
+    counts = sets.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    counts = materialize(counts)
+    above = counts.agg(*(F.count_if(F.col("df") > (1 << k)).alias(str(k)) for k in range(48))).first()
+    least = next((k for k in range(48) if above[str(k)] <= most), 48)
+    return np.sort(counts.filter(F.col("df") > (1 << least)).select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
 def ordered_prefix(shingles: np.ndarray, p: int, last: np.ndarray) -> np.ndarray:

@@ -273,7 +273,7 @@ def test_jaccard(spark, monkeypatch, width, percent):
     want = brute_components(docs, width, percent)
     assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
     monkeypatch.setattr(jaccard, "TILE", 8)
-    monkeypatch.setattr(jaccard.frequent_shingles, "__defaults__", (4, 50))
+    monkeypatch.setattr(jaccard.frequent_shingles, "__defaults__", (50,))
     assert Counter(map(tuple, jaccard.jaccard_components(table(spark, docs), width, percent).collect())) == want
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
 
