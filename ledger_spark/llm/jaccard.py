@@ -18,6 +18,10 @@ hash's.
    what it finds linked and returns the links that join two of its groups, at most one less than it has rows.
 5. Components over the links of all tiles.
 
+Steps 3 to 5 are done twice. First each set is in one tile only, its smallest leader's, so that a family of near copies
+becomes few components with each array sent once. Then all tiles meet, and only pairs of different components that have
+not met are compared: every pair that shares a prefix shingle is in one component or has been compared.
+
 No pair leaves a tile before it is known to be linked, so no table here grows with the square of a group.
 
 Null and wordless texts have empty sets and no links. A null doc_id is smaller than any other. Repeated rows are equal
@@ -164,18 +168,19 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def members(docs: DataFrame, unique: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """leader, node, n, s: the sets that have a shingle in common with a leader, one row for each of the two; s is at
-    least the number of a set's prefix shingles that any other set's prefix holds."""
+    """leader, node, n, s, main: the sets that have a shingle in common with a leader, one row for each of the two; s is
+    at least the number of a set's prefix shingles that any other set's prefix holds; main marks its smallest leader."""
     rows = materialize(prefixes(docs, width, percent, last))
     shared = rows.groupBy("token").agg(F.min("hi").alias("leader"), F.max("hi").alias("other")).filter("leader < other").select("token", "leader")
     met = rows.join(shared.hint("merge"), "token").groupBy("leader", "hi", "lo").agg(F.count("*").alias("k"))
     named = met.join(unique.select("hi", "lo", "node", "n").hint("merge"), ["hi", "lo"])
-    return materialize(named.select("leader", "node", "n", F.sum("k").over(Window.partitionBy("hi", "lo")).alias("s")))
+    own = Window.partitionBy("hi", "lo")
+    return materialize(named.select("leader", "node", "n", F.sum("k").over(own).alias("s"), (F.col("leader") == F.min("leader").over(own)).alias("main")))
 
 
 def tiles(rows: DataFrame, percent: int, tile: int | None = None) -> DataFrame:
-    """h (the tile), side, one and the columns of rows(leader, node, n, s): the row once for each tile that it is in. A
-    tile pairs side 0 with side 1, or all of its rows with each other where one is true."""
+    """h (the tile), side, one and the columns of rows(leader, node, n, s, c, met): the row once for each tile that it is
+    in. A tile pairs side 0 with side 1, or all of its rows with each other where one is true."""
     tile = tile or TILE
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     rows = rows.withColumn("band", band)
@@ -196,7 +201,7 @@ def tiles(rows: DataFrame, percent: int, tile: int | None = None) -> DataFrame:
     small = (F.col("total") <= tile) & (F.col("shingles") <= TILE_SHINGLES)
     rows = rows.withColumn("at", F.explode(F.when(small, whole).otherwise(F.concat(inside, above, below))))
     key = F.xxhash64("leader", "at.b1", "at.s1", "at.b2", "at.s2")  # tiles of one hash are one tile with idle pairs
-    return rows.select(key.alias("h"), "at.side", "at.one", "node", "n", "s")
+    return rows.select(key.alias("h"), "at.side", "at.one", "node", "n", "s", "c", "met")
 
 
 def by_tile(rows: DataFrame) -> DataFrame:
@@ -228,15 +233,15 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def fitting(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of rows, sorted by tile and size, that are to be compared and whose sizes allow a link. Those that
-    are d rows apart come together, for every d."""
-    h, n, side, one = (_column(table, c) for c in ("h", "n", "side", "one"))
+    """Pairs (i, j) of rows, sorted by tile and size, that are to be compared (of different components c, and not both
+    met before) and whose sizes allow a link. Those that are d rows apart come together, for every d."""
+    h, n, side, one, c, met = (_column(table, x) for x in ("h", "n", "side", "one", "c", "met"))
     live, d = np.arange(len(h)), 0
     while len(live):
         d += 1
         live = live[live + d < len(h)]
         live = live[(h[live] == h[live + d]) & (percent * n[live + d] <= 100 * n[live])]
-        ok = one[live] | (side[live] != side[live + d])
+        ok = (one[live] | (side[live] != side[live + d])) & (c[live] != c[live + d]) & ~(met[live] & met[live + d])
         if ok.any():
             yield live[ok], live[ok] + d
 
@@ -315,13 +320,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join all that is linked inside each tile of rows(h, side, one, node, n, sig, arr)."""
+    """a, b: links that join all that is linked inside each tile of rows(h, side, one, node, n, c, met, sig, arr)."""
 
     def run(batches):
         for table in whole_tiles(batches):
             node, n, bits = _column(table, "node"), _column(table, "n"), Signatures(table["sig"])
             arrays = [np.frombuffer(a.as_buffer(), np.uint64) for a in table["arr"].combine_chunks()]
-            label, found = np.arange(len(node)), []
+            label, found = np.unique(_column(table, "c"), return_inverse=True)[1], []
             for i, j in fitting(table, percent):
                 apart = label[i] != label[j]
                 i, j = i[apart], j[apart]
@@ -344,12 +349,25 @@ def with_arrays(rows: DataFrame, docs: DataFrame, unique: DataFrame, width: int)
     return rows.join(arrays.select("node", "arr").hint("merge"), "node")
 
 
+def tile_links(rows: DataFrame, docs: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, as a stored table: links that join all components c which the tiles of rows(leader, node, n, s, c, met) show
+    to be linked."""
+    kept = materialize(with_partner(tiles(rows, percent), percent, signed=False).drop("s"))
+    kept = materialize(with_partner(kept.join(unique.select("node", "sig").hint("merge"), "node"), percent, signed=True))
+    return materialize(links(with_arrays(kept, docs, unique, width), percent))
+
+
 def set_links(docs: DataFrame, sets: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label: components of linked sets; a set without links has no row."""
-    met = members(docs, unique, width, percent, frequent_shingles(sets))
-    kept = materialize(with_partner(tiles(met, percent), percent, signed=False).drop("s"))
-    kept = materialize(with_partner(kept.join(unique.select("node", "sig").hint("merge"), "node"), percent, signed=True))
-    return components(materialize(links(with_arrays(kept, docs, unique, width), percent)))
+    rows = members(docs, unique, width, percent, frequent_shingles(sets))
+    first = rows.filter("main").withColumns({"c": F.col("node"), "met": F.lit(False)}).drop("main")
+    first = tile_links(first, docs, unique, width, percent)
+    labels = components(first)
+    named = rows.join(labels.hint("merge"), "node", "left").select("leader", "node", "n", "s", F.coalesce("label", "node").alias("c"), F.col("main").alias("met"))
+    named = materialize(named)
+    apart = named.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("leader")
+    second = tile_links(named.join(apart.hint("merge"), "leader", "left_semi"), docs, unique, width, percent)
+    return components(first.unionByName(second)) if second.limit(1).count() else labels
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

@@ -283,7 +283,7 @@ def test_no_pair_leaves_a_tile_unlinked(spark):
     docs = table(spark, [(k, t) for k, t in enumerate(family(3, 150, 200) + family(3, 150, 200))]).select("doc_id", "text")
     rows = jaccard.document_sets(docs, 3, 90).filter("sig IS NOT NULL").selectExpr("doc_id AS node", "n", "sig", "hi", "lo").dropDuplicates(["hi", "lo"])
     arrays = jaccard.full_sets(docs, 3)
-    tile = rows.join(arrays, ["hi", "lo"]).selectExpr("1L AS h", "0 AS side", "true AS one", "node", "n", "sig", "arr")
+    tile = rows.join(arrays, ["hi", "lo"]).selectExpr("1L AS h", "0 AS side", "true AS one", "node", "node AS c", "false AS met", "n", "sig", "arr")
     assert 0 < jaccard.links(tile, 90).count() < tile.count()
 
 
