@@ -4,12 +4,15 @@ A window is `window` consecutive words of a benchmark item, or the whole item if
 window if all the window's shingles stand there one after the other. For full containment the necessary prefix of a
 window is its single rarest shingle; only where that one occurs can the window occur.
 
-1. Documents are split into words once. Every position's shingle meets the benchmark's shingles (a table of bounded
-   size, broadcast; a larger benchmark is met block by block) and is compared as text. What is left are the hits, and
-   one row per document with its number of words.
-2. Shingles are ordered by rarity in the hits. Hits of each window's rarest shingle give candidates (document, start);
-   the shingle's place in the window and the document's length bound the start.
-3. A candidate is a match if the hits hold every shingle of the window at its place.
+1. The benchmark's shingles are counted over all documents: each position's shingle, as a hash, meets the table of them.
+   The counts order shingles by rarity; they may be too high by collisions, which changes the order only. A window with
+   a shingle that no document holds occurs nowhere.
+2. Only prefixes are joined with positions. The shingle's place in the window and the document's length bound the start;
+   what fits is verified by comparing all words of the window at once.
+3. Matches, which hold whole windows, are merged per document.
+
+The tables that meet positions are broadcast; one of more than BLOCK rows is met block by block, each of a size that may
+be broadcast, so that positions are never shuffled.
 
 Null and empty texts have no words and no hits. Items without words have no windows. Repeated documents each give a
 row; repeated items count by item_id. An empty benchmark leaves all documents clean, no documents give no rows.
@@ -17,6 +20,8 @@ row; repeated items count by item_id. An empty benchmark leaves all documents cl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ from .shared import empty_for_null, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = 500_000  # shingles broadcast at once
+BLOCK = 200_000  # rows broadcast at once, of a window's words and a few numbers at most
 
 
 def words(text: str = "text") -> Column:
@@ -41,62 +46,64 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.array_join(F.slice("w", F.col("at"), window), " ").alias("win"), F.least(F.size("w"), F.lit(window)).alias("len")).distinct()
 
 
-def window_shingles(windows: DataFrame, width: int) -> DataFrame:
-    """win, len, q (place, from 0), width, shingle: of all windows, each once. Windows shorter than width are one shingle."""
+def shingle_key(words_: Column, at: Column | int, width: int) -> Column:
+    """A hash of `width` words from place `at` (from 1) on."""
+    return F.xxhash64(F.lit(width), *(F.try_element_at(words_, (at + k) if isinstance(at, Column) else F.lit(at + k)) for k in range(width)))
+
+
+def window_shingles(windows: DataFrame, width: int, widths: list[int]) -> DataFrame:
+    """win, len, q (place, from 0), key: the shingles of all windows. Windows shorter than width are one shingle."""
     each = windows.select("win", "len").distinct().withColumn("w", F.split("win", " ")).withColumn("width", F.least("len", F.lit(width)))
-    each = each.select("win", "len", "width", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("width"))).alias("q"))
-    return each.select("win", "len", "width", "q", F.array_join(F.slice("w", F.col("q") + 1, F.col("width")), " ").alias("shingle"))
+    each = each.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("width"))))
+    key = F.lit(None).cast("long")
+    for k in widths:
+        key = F.when(F.col("width") == k, shingle_key(F.col("w"), F.col("q") + 1, k)).otherwise(key)
+    return each.select("win", "len", "q", key.alias("key"))
 
 
-def shingle_hits(docs: DataFrame, shingles: DataFrame, widths: list[int], blocks: int) -> tuple[DataFrame, DataFrame]:
-    """rows(row, doc_id, n_words) and hits(row, n_words, pos, shingle)."""
-    own = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    own = own if blocks == 1 else materialize(own)  # each block then sees the same row numbers
-    own = own.select("row", "doc_id", words().alias("w")).select("row", "doc_id", "w", F.size("w").alias("n_words"))
-    found = None
-    for block in range(blocks):
-        part = shingles.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == block)
-        at = own.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n_words"))))
-        keys = [F.when((F.col("pos") > 0) & (F.col("pos") + w - 1 <= F.col("n_words")), F.xxhash64(F.lit(w), *(F.try_element_at("w", F.col("pos") + k) for k in range(w)))) for w in widths]
-        at = at.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)))
-        met = at.join(F.broadcast(part.select("shingle", "width", _shingle_key(widths).alias("key"))), "key", "left")
-        same = F.coalesce(F.col("shingle") == F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("width")), " "), F.lit(False))
-        met = met.withColumn("shingle", F.when(same, F.col("shingle"))).filter(F.col("shingle").isNotNull() | (F.lit(block == 0) & (F.col("pos") == 0)))
-        met = met.select("row", "doc_id", "n_words", "pos", "shingle")
-        found = met if found is None else found.unionByName(met)
-    found = materialize(found)
-    return found.filter("pos = 0").select("row", "doc_id", "n_words").distinct(), found.filter("pos > 0").select("row", "n_words", "pos", "shingle")
+def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """docs(row, doc_id, w, n_words) with pos and key, the hash of the shingle of each width there; position 0 has none."""
+    at = docs.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n_words"))))
+    keys = [F.when((F.col("pos") > 0) & (F.col("pos") + k - 1 <= F.col("n_words")), shingle_key(F.col("w"), F.col("pos"), k)) for k in widths]
+    return at.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)))
 
 
-def _shingle_key(widths: list[int]) -> Column:
-    w = F.split("shingle", " ")
-    key = F.lit(None).cast("long")
-    for width in widths:
-        key = F.when(F.col("width") == width, F.xxhash64(F.lit(width), *(F.try_element_at(w, F.lit(k + 1)) for k in range(width)))).otherwise(key)
-    return key
+def blocks(table: DataFrame, by: str) -> Iterator[DataFrame]:
+    """The table as parts that may be broadcast."""
+    n = max(1, -(-table.count() // BLOCK))
+    for k in range(n):
+        yield table if n == 1 else table.filter(F.pmod(F.xxhash64(by), F.lit(n)) == k)
 
 
 def contained_windows(docs: DataFrame, windows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """rows(row, doc_id, n_words) and matches(row, start, len, win): every occurrence of every window."""
-    of = materialize(window_shingles(windows, width))
-    shingles = of.select("shingle", "width").distinct()
-    widths = sorted(r["width"] for r in of.select("width").distinct().collect()) or [width]  # at most `width` values
-    total = shingles.count()
-    blocks = max(1, -(-total // BLOCK))
-    small = F.broadcast if blocks == 1 else (lambda df: df.hint("merge"))
-    rows, hits = shingle_hits(docs, shingles, widths, blocks)
-
-    rarity = hits.groupBy("shingle").agg(F.count("*").alias("df"))
-    known = of.join(rarity.hint("merge"), "shingle")
-    whole = F.col("len") - F.col("width") + 1
-    prefix = known.groupBy("win", "len", "width").agg(F.min(F.struct("df", "shingle", "q")).alias("rare"), F.count("*").alias("n")).filter(F.col("n") == whole)
-    prefix = materialize(prefix.select("win", "len", whole.cast("long").alias("n"), "rare.shingle", "rare.q"))
-    start = F.col("pos") - F.col("q")
-    candidates = hits.join(small(prefix), "shingle").select("row", "win", "len", "n", start.alias("start"), "n_words").filter((F.col("start") >= 1) & (F.col("start") + F.col("len") - 1 <= F.col("n_words")))
-    needed = candidates.join(small(of.select("win", "q", "shingle")), "win").select("row", "start", "win", "len", "n", (F.col("start") + F.col("q")).alias("pos"), "shingle")
-    met = needed.join(hits.select("row", "pos", "shingle").hint("merge"), ["row", "pos", "shingle"])
-    matches = met.groupBy("row", "start", "len", "win").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n")
-    return rows, matches.select("row", "start", "len", "win")
+    widths = sorted(r["width"] for r in windows.select(F.least("len", F.lit(width)).alias("width")).distinct().collect()) or [width]  # at most `width` values
+    of = materialize(window_shingles(windows, width, widths))
+    texts = docs.select(words().alias("w")).select("w", F.size("w").alias("n_words"))
+    rarity = None
+    for part in blocks(materialize(of.select("key").distinct()), "key"):
+        met = positions(texts, widths).select("key").join(F.broadcast(part), "key").groupBy("key").agg(F.count("*").alias("df"))
+        rarity = met if rarity is None else rarity.unionByName(met)
+    known = of.join(materialize(rarity).hint("merge"), "key", "left")
+    prefix = known.groupBy("win", "len").agg(F.min(F.struct("df", "key", "q")).alias("rare"), F.count("df").alias("met"), F.count("*").alias("n")).filter("met = n")
+    prefix = materialize(prefix.select("win", "len", "rare.q", "rare.key"))
+
+    parts = list(blocks(prefix, "win"))
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    own = own if len(parts) == 1 else materialize(own)  # each block then sees the same row numbers
+    own = own.select("row", "doc_id", words().alias("w")).withColumn("n_words", F.size("w"))
+    found = None
+    for k, part in enumerate(parts):
+        at = positions(own, widths) if k == 0 else positions(own, widths).filter("pos > 0")
+        start = F.col("pos") - F.col("q")
+        met = at.join(F.broadcast(part), "key", "left").withColumn("start", start)
+        fits = (F.col("start") >= 1) & (F.col("start") + F.col("len") - 1 <= F.col("n_words"))
+        same = F.when(fits, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), F.greatest("len", F.lit(0))), " ") == F.col("win"))
+        met = met.withColumn("same", F.coalesce(same, F.lit(False))).filter(F.col("same") | (F.col("pos") == 0))
+        met = met.select("row", "doc_id", "n_words", "pos", *(F.when(F.col("same"), F.col(c)).alias(c) for c in ("start", "len", "win")))
+        found = met if found is None else found.unionByName(met)
+    found = materialize(found)
+    return found.filter("pos = 0").select("row", "doc_id", "n_words").distinct(), found.filter("win IS NOT NULL").select("row", "start", "len", "win")
 
 
 def covered(matches: DataFrame) -> DataFrame:
@@ -111,9 +118,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, width
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     windows = materialize(benchmark_windows(benchmark, window))
     rows, matches = contained_windows(docs, windows, width)
-    matches = materialize(matches)
-    items = matches.select("row", "win").distinct().join(windows.select("win", F.col("item_id").cast("string").alias("item")).hint("merge"), "win")
-    items = items.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    item = windows.select("win", F.col("item_id").cast("string").alias("item"))
+    item = F.broadcast(item) if item.count() <= BLOCK else item.hint("merge")
+    items = matches.select("row", "win").distinct().join(item, "win").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = rows.join(covered(matches).hint("merge"), "row", "left").join(items.hint("merge"), "row", "left")
     n_words, n_hit, ids = F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
