@@ -1,8 +1,8 @@
 """URL rules through cascades of Bloom filters that are exact over all keys of the corpus.
 
 A rule is a host and a path, like example.com/en/; it fits its host and all subdomains, where the url's path starts
-with the rule's. A url's keys are its host's suffixes joined to its path's prefixes, as long as rules' paths are. All
-keys of all urls are the universe.
+with the rule's. A url's keys are the suffixes of its host that have as many labels as some rule's host, joined to the
+prefixes of its path that are as long as some rule's path. All keys of all urls are the universe.
 
 A cascade encodes a list of rules: level 1 holds the listed keys, level 2 the keys of the universe that level 1 takes
 for listed, level 3 the listed keys that level 2 holds wrongly, and so on until a level is wrong about none. A key's
@@ -18,6 +18,7 @@ pages each give a row; an empty table gives none.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,12 +42,23 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: str, path: str, path_lengths: list[int]) -> Column:
-    """host suffix + path prefix, longest first, for every suffix at a dot and every length a rule's path has."""
+class SameHash(Exception):
+    """A rule and another key have one 64-bit hash."""
+
+
+def keys_of(host: str, path: str, shapes: set[tuple[int, int]]) -> Column:
+    """The host's last labels + the path's first characters, for every shape (labels, characters) that a rule has. So a
+    host of any length has no more keys than rules have shapes."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(path_lengths, reverse=True))), lambda p: p.isNotNull())
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    suffix = {k: F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), ".")) for k, _ in shapes}
+    prefix = {n: F.when(F.length(path) >= n, F.substring(path, 1, n)) for _, n in shapes}
+    keys = [F.concat(suffix[k], prefix[n]) for k, n in sorted(shapes, reverse=True)]
+    return F.filter(F.array(*keys).cast("array<string>"), lambda x: x.isNotNull())
+
+
+def shape(rule: str) -> tuple[int, int]:
+    at = rule.find("/") if "/" in rule else len(rule)
+    return rule[:at].count(".") + 1, len(rule) - at
 
 
 @dataclass
@@ -85,34 +97,39 @@ def listed(levels: list[Bloom], hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def cascade(spark, universe: DataFrame, rules: list[str], keys: int) -> list[Bloom]:
-    """Levels over universe(key, h) of that many keys; rules is a list of a checked size. Level 1 is made so exact that
-    it is wrong about as many keys as there are rules, or about a thousand; only those come to the driver."""
+def cascade(spark, universe: DataFrame, rules: list[str], keys: int, seed: int = 0) -> list[Bloom]:
+    """Levels over universe(key, h) of that many keys, h being hashed(key, seed); rules is a list of a checked size. Level
+    1 is made so exact that it is wrong about as many keys as there are rules, or about a thousand; only those come to
+    the driver."""
     if not rules:
         return []
     rate = min(0.5, max(len(rules), 1000) / max(keys, 1))
-    hashed = spark.createDataFrame([(r,) for r in rules], "key string").select("key", F.xxhash64("key").alias("h"))
-    inside = np.array([r["h"] for r in hashed.collect()], np.int64).astype(np.uint64)
-    levels, seed = [Bloom.of(inside, rate, 1)], 1
+    mine = spark.createDataFrame([(r,) for r in rules], "key string").select("key", hashed("key", seed).alias("h"))
+    inside = np.array([r["h"] for r in mine.collect()], np.int64).astype(np.uint64)
+    levels, level = [Bloom.of(inside, rate, 1)], 1
     outside = None  # keys not listed that all levels so far hold, once the universe has been read
     while True:
-        seed += 1
-        if seed % 2 == 0:
+        level += 1
+        if level % 2 == 0:
             if outside is None:
-                wrong = _held(universe, levels[0]).join(F.broadcast(hashed.select("key")), "key", "left_anti").select("h").distinct()
+                wrong = _held(universe, levels[0]).join(F.broadcast(mine.select("key")), "key", "left_anti").select("h").distinct()
                 outside = np.array([r["h"] for r in wrong.collect()], np.int64).astype(np.uint64)
                 if np.isin(outside, inside).any():
-                    raise ValueError("a rule and another key have one 64-bit hash")
+                    raise SameHash
             else:
                 outside = outside[levels[-1].holds(outside)]
             if not len(outside):
                 return levels
-            levels.append(Bloom.of(outside, 0.5, seed))
+            levels.append(Bloom.of(outside, 0.5, level))
         else:
             inside = inside[levels[-1].holds(inside)]
             if not len(inside):
                 return levels
-            levels.append(Bloom.of(inside, 0.5, seed))
+            levels.append(Bloom.of(inside, 0.5, level))
+
+
+def hashed(key: str | Column, seed: int) -> Column:
+    return F.xxhash64(key, F.lit(seed)) if seed else F.xxhash64(key)
 
 
 def _held(universe: DataFrame, level: Bloom) -> DataFrame:
@@ -128,32 +145,39 @@ def _held(universe: DataFrame, level: Bloom) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", most_bytes: int = 64 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict for each page: the longest rule that fits decides, else the default.
     rules are (verdict, host + path); the first of equal rules counts."""
-    spark = pages.sparkSession
     verdicts: dict[str, str] = {}
     for verdict, rule in rules:
         verdicts.setdefault(rule, verdict)
-    lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r in verdicts})
     host, path = host_and_path()
-    urls = materialize(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", keys_of("host", "path", lengths)))
-    universe = urls.select(F.explode("keys").alias("key")).withColumn("h", F.xxhash64("key"))
+    urls = materialize(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", keys_of("host", "path", {shape(r) for r in verdicts})))
+    for seed in itertools.count():  # another one where a rule and another key have one hash
+        try:
+            return judged_by_stripes(urls, verdicts, default, most_bytes, seed)
+        except SameHash:
+            continue
+
+
+def judged_by_stripes(urls: DataFrame, verdicts: dict[str, str], default: str, most_bytes: int, seed: int) -> DataFrame:
+    spark = urls.sparkSession
+    universe = urls.select(F.explode("keys").alias("key")).withColumn("h", hashed("key", seed))
     keys = urls.agg(F.sum(F.size("keys"))).first()[0] or 0
     stripes = max(1, math.ceil(6 * len(verdicts) / most_bytes))  # under 48 bits a rule
     judged = urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string"))
     for stripe in range(stripes):
         mine = F.pmod("h", F.lit(stripes)) == stripe
-        of = spark.createDataFrame([(r,) for r in verdicts] or [("",)], "key string").withColumn("h", F.xxhash64("key")).filter(mine)
+        of = spark.createDataFrame([(r,) for r in verdicts] or [("",)], "key string").withColumn("h", hashed("key", seed)).filter(mine)
         own = {r["key"] for r in of.collect()}
-        levels = {v: cascade(spark, universe.filter(mine), [r for r in verdicts if r in own and verdicts[r] == v], keys) for v in ("block", "allow")}
-        judged = _judged(judged, levels, stripes, stripe)
+        levels = {v: cascade(spark, universe.filter(mine), [r for r in verdicts if r in own and verdicts[r] == v], keys, seed) for v in ("block", "allow")}
+        judged = _judged(judged, levels, stripes, stripe, seed)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
-def _judged(urls: DataFrame, levels: dict[str, list[Bloom]], stripes: int, stripe: int) -> DataFrame:
+def _judged(urls: DataFrame, levels: dict[str, list[Bloom]], stripes: int, stripe: int, seed: int) -> DataFrame:
     """urls with the longest listed key of this stripe, where it is longer than the rule found before."""
     held = urls.sparkSession.sparkContext.broadcast(levels)
-    hashed = urls.withColumn("hs", F.transform("keys", lambda k: F.xxhash64(k)))
+    probed = urls.withColumn("hs", F.transform("keys", lambda k: hashed(k, seed)))
     fields = ["page_id", "host", "path", "keys", "rule", "verdict"]
-    schema = hashed.select(*fields).schema
+    schema = probed.select(*fields).schema
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +197,7 @@ def _judged(urls: DataFrame, levels: dict[str, list[Bloom]], stripes: int, strip
             columns = [table[c] for c in fields[:4]] + [pa.chunked_array([pa.array(x, pa.string())]) for x in (rule, verdict)]
             yield from pa.Table.from_arrays(columns, fields).to_batches()
 
-    return hashed.select(*fields, "hs").mapInArrow(test, schema)
+    return probed.select(*fields, "hs").mapInArrow(test, schema)
 
 
 ORACLE = """
