@@ -3,11 +3,14 @@
 A perspective is a table of segments, one for each turn: header, text and end mark. The participant's turns have the
 assistant header and are masked for training (text and end mark); turns of the others are a user's, with their name;
 system turns stay system turns and nobody's perspective. start_char and end_char place a segment in the rendered
-dialogue, mask_start and mask_end the trained characters. `dialogues` joins segments to whole texts.
+dialogue, mask_start and mask_end the trained characters. `dialogues` joins segments to texts, the longest in parts.
+
+Texts and names cannot forge a turn: in both, `<|im_` is written `<\\|im_`, and line ends in names are blanks.
 
 A dialogue is cut into blocks of turns. Lengths are summed per block and speaker before they are shuffled, so a
-dialogue of any length is spread over tasks. Null roles are named "unknown", null texts are empty, a null turn comes
-first; rows without conv_id are one dialogue. Repeated turns are kept, ordered by role and text. A dialogue of system
+dialogue of any length is spread over tasks; the result has as many segments as turns times participants. Null roles
+are the participant "unknown", one with any speaker of that name; null texts are empty. A null turn comes before all
+others, negative ones too; rows without conv_id are one dialogue. Repeated turns are kept, ordered by role and text. A dialogue of system
 turns only has no perspective. An empty table gives no rows.
 """
 
@@ -18,17 +21,19 @@ from pyspark.sql import functions as F
 
 END = "<|im_end|>\n"
 BLOCK = 256
+MARK, SAFE = "<|im_", "<\\|im_"
+PART = 1 << 24
 
 
 def _header(kind: str, name: Column | None = None) -> Column:
-    return F.lit(f"<|im_start|>{kind}\n") if name is None else F.concat(F.lit(f"<|im_start|>{kind} name="), name, F.lit("\n"))
+    return F.lit(f"<|im_start|>{kind}\n") if name is None else F.concat(F.lit(f"<|im_start|>{kind} name="), F.translate(F.replace(name, F.lit(MARK), F.lit(SAFE)), "\r\n", "  "), F.lit("\n"))
 
 
 def rotated(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, participant, turn, role, name, segment, start_char, end_char, mask_start, mask_end."""
-    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    role, text = F.coalesce("role", F.lit("unknown")), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(SAFE))
     system = F.col("speaker") == "system"
-    rows = turns.select("conv_id", "turn", role.alias("speaker"), text.alias("text"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("block"))
+    rows = turns.select("conv_id", "turn", role.alias("speaker"), text.alias("text"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 63))).alias("block"))
     heads = rows.withColumn("other", F.when(system, _header("system")).otherwise(_header("user", F.col("speaker"))))
     heads = heads.withColumn("own", F.when(system, F.col("other")).otherwise(_header("assistant")))
     length = [(F.length(h) + F.length("text") + len(END)).alias(f"{h}_len") for h in ("other", "own")]
@@ -56,28 +61,33 @@ def rotated(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def dialogues(segments: DataFrame, most_chars: int = 1 << 24) -> DataFrame:
-    """conv_id, participant, text, masks for perspectives of at most most_chars characters; longer ones stay as
-    segments, since one row cannot hold them."""
-    sizes = segments.groupBy("conv_id", "participant").agg(F.max("end_char").alias("chars")).filter(F.col("chars") <= most_chars)
-    kept = segments.join(sizes.hint("merge"), ["conv_id", "participant"], "left_semi")
-    turns = F.sort_array(F.collect_list(F.struct("start_char", "segment", "mask_start", "mask_end")))
-    each = kept.groupBy("conv_id", "participant").agg(turns.alias("t"))
-    masks = F.transform(F.filter("t", lambda x: x["mask_start"].isNotNull()), lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end")))
-    return each.select("conv_id", "participant", F.array_join(F.col("t.segment"), "").alias("text"), masks.alias("masks"))
+def dialogues(segments: DataFrame, part_chars: int = PART) -> DataFrame:
+    """conv_id, participant, part, text, masks (start, end in text): rendered perspectives. Segments that start in one
+    stretch of part_chars characters are a part, so that no row holds a dialogue of any length."""
+    place = F.floor(F.col("start_char") / part_chars).alias("part")
+    turns = F.sort_array(F.collect_list(F.struct("start_char", "end_char", "segment", "mask_start", "mask_end")))
+    each = segments.groupBy("conv_id", "participant", place).agg(turns.alias("t"), F.min("start_char").alias("base"))
+    masks = F.transform(F.filter("t", lambda x: x["mask_start"].isNotNull()), lambda x: F.struct((x["mask_start"] - F.col("base")).alias("start"), (x["mask_end"] - F.col("base")).alias("end")))
+    return each.select("conv_id", "participant", "part", F.array_join(F.col("t.segment"), "").alias("text"), masks.alias("masks"))
+
+
+def rendered(turns: DataFrame) -> DataFrame:
+    """conv_id, participant, part, text, masks (as start-end, parted by blanks)."""
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return dialogues(rotated(turns)).withColumn("masks", F.array_join(spans, " "))
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, speaker AS participant FROM t WHERE speaker <> 'system'),
 s AS (SELECT conv_id, participant, turn, speaker, text,
         CASE WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10) WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
-             ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+             ELSE '<|im_start|>user name=' || translate(replace(speaker, '<|im_', '<\\|im_'), chr(13) || chr(10), '  ') || chr(10) END AS head
       FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
 r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment,
-        sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)::BIGINT AS end_char FROM s)
-SELECT conv_id, participant, turn, CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
-       CASE WHEN speaker <> participant AND speaker <> 'system' THEN speaker END AS name, segment, (end_char - length(segment))::BIGINT AS start_char, end_char,
-       CASE WHEN speaker = participant THEN (end_char - length(segment) + length(head))::BIGINT END AS mask_start, CASE WHEN speaker = participant THEN end_char END AS mask_end
-FROM r
+        sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING)::BIGINT AS end_char FROM s),
+o AS (SELECT *, end_char - length(segment) AS start_char, (end_char - length(segment)) // 16777216 AS part FROM r)
+SELECT conv_id, participant, part::BIGINT AS part, string_agg(segment, '' ORDER BY end_char) AS text,
+       coalesce(string_agg(CASE WHEN speaker = participant THEN (start_char + length(head) - base)::VARCHAR || '-' || (end_char - base)::VARCHAR END, ' ' ORDER BY end_char), '') AS masks
+FROM (SELECT *, min(start_char) OVER (PARTITION BY conv_id, participant, part) AS base FROM o) GROUP BY conv_id, participant, part
 """

@@ -27,7 +27,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotated(read(spark, sf_dir, "conversations"))
+    return chat.rendered(read(spark, sf_dir, "conversations"))
 
 
 def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
