@@ -5,9 +5,11 @@ a slot. Version 0 deals slots in turn; rebalancing edits the map, moving slots f
 one while that helps, and stores the edited map as the next version. All of it is DataFrame work: the map has as many
 rows as there are slots, a constant, and an edit is one fold over them.
 
-Keys are unique, so no slot is hot; a slot's records are numbered in several salted parts. Null keys fall into one
-slot by the hash of null. Null texts have no bytes, so size 1. Repeated rows each get a place. An empty table gives no
-rows.
+A record's key is its doc_id, text and size. Records that repeat all three more than HOT times, and more often than an
+even share of a quarter of a slot, would overfill one slot: their copies are dealt over the slots by the number of the
+stored row (at most 4 * slots keys can be as frequent as that, a table to broadcast). A slot's records are numbered in
+parts, dealt by row. Null doc_ids hash like any other value. Null texts have no bytes, so size 1. Repeated rows each get
+a place. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,20 @@ from pyspark.sql import functions as F
 from .shared import materialize, parallelism
 
 SLOTS = 4096
+HOT = 8
+KEY = ("doc_id", "text_crc32", "size")
 
 
-def slot_of(key: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows(*KEY, row, ...), a stored table, with virtual_slot."""
+    often = max(HOT, rows.count() // (4 * slots))
+    hot = rows.groupBy(*KEY).agg(F.count("*").alias("copies")).filter(F.col("copies") > often).select(*(F.col(c).alias(f"hot_{c}") for c in KEY))
+    same = F.lit(True)
+    for c in KEY:
+        same &= F.col(c).eqNullSafe(F.col(f"hot_{c}"))
+    met = rows.join(F.broadcast(hot), same, "left")
+    copy = F.when(F.col("hot_size").isNotNull(), F.pmod("row", F.lit(slots))).otherwise(0)
+    return met.withColumn("virtual_slot", F.pmod(F.xxhash64(*KEY, copy), F.lit(slots)).cast("int")).drop(*(f"hot_{c}" for c in KEY))
 
 
 def initial_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -87,8 +99,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialize(docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        slot_of("doc_id", slots).alias("virtual_slot"), F.pmod(F.hash("doc_id"), F.lit(parts)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     ))
+    rows = materialize(slotted(rows, slots).withColumn("part", F.pmod("row", F.lit(parts)).cast("int")))
     placed = latest(rebalanced(rows, initial_map(docs.sparkSession, shards, slots), shards))
     counts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(F.broadcast(placed), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
