@@ -2,11 +2,13 @@
 
 The byte-level BPE splits a text into pre-tokens and merges inside each on its own, so a text's ids are its pre-tokens'
 ids end to end. The split is done here on arrays of code points for texts whose letters are Latin, Greek or Cyrillic;
-every other text, and one that holds a special token's string, goes through the tokenizer whole.
+every other text, and one that holds a special token's string, goes through the tokenizer whole. So does every text
+where the tokenizer's file names another normalizer, pre-tokenizer or model than the split stands for.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -44,7 +46,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self._whole(["\n"])[0][0]
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        before, model = made.get("pre_tokenizer") or {}, made["model"]
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.split = byte_level and not made.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.newline = self._whole(["\n"])[0][0] if self.split else None
         self.table = _classes()
         self._clear()
 
@@ -60,6 +67,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the n + 1 offsets of the texts in them."""
+        if not self.split:
+            parts = self._whole(texts)
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         kinds = self.table[points]
@@ -84,7 +94,7 @@ class Encoder:
         second = span_hashes(points, starts, ends, SEEDS[1])
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if not np.array_equal(second[first][inverse], second):
-            parts = self._whole(texts)  # two pre-tokens of one hash: never seen, but exact
+            parts = self._whole(texts)  # two pre-tokens of one hash, told apart by the second
             return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         slot = self._slots(unique, second[first], first, "".join(texts), starts, ends)
         size = self.size[slot][inverse]
