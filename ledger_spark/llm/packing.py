@@ -121,16 +121,14 @@ def _exchange(giver: Bin, taker: Bin, room: int) -> tuple[int, tuple[int, ...],
     return best
 
 
-def local_search(bins: dict[Bin, int], capacity: int, steps: int = 2000) -> dict[Bin, int]:
-    """Raise the sum of squared fills by exchanges between underfull bins until none helps, or no fewer bins are
-    possible. Each step empties the least full bin further into the others; steps bounds the work (a plan is valid
-    after any number of them)."""
+def local_search(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
+    """Raise the sum of squared fills by exchanges between underfull bins until none helps, or until there are no more
+    bins than tokens need at least. Each step empties the least full bin further into the others. The sum grows with
+    every step and is bounded, so the search ends."""
     bins = dict(bins)
     least = -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
     done: set[Bin] = set()
-    for _ in range(steps):
-        if sum(bins.values()) <= least:
-            break
+    while sum(bins.values()) > least:
         under = sorted((b for b in bins if _fill(b) < capacity), key=_fill)
         giver = next((b for b in under if b not in done), None)
         if giver is None:
