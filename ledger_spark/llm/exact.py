@@ -113,7 +113,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("size")).select("digest", "best.winner", "best.row", "size")
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
+def buckets_for(rows: int, per_bucket: int = 4096) -> int:
     return max(8, -(-rows // per_bucket))
 
 
