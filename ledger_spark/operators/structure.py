@@ -9,6 +9,7 @@ from ledger_spark import rules
 from ledger_spark.functions.cells import nonempty, stripped
 from ledger_spark.operators.quality import document_text
 
+# Repairs of headers.
 REPAIRS = [("tran saction", "transaction"), ("trans action", "transaction"), ("desc ription", "description"), ("de script ion", "description"), ("amt", "amount")]
 PATTERN_REPAIRS = [(r"\bsaction\s+detail\b", "transaction detail"), (r"\bription\b", "description"), (r"amount\s*\(?\$?\)?", "amount"), (r"balance\s*\(?\$?\)?", "balance")]
 
