@@ -14,6 +14,7 @@ from ledger_spark.operators import dedupe, extract, layout, ledger, quality, str
 from ledger_spark.plans import statements as plans
 from ledger_spark.sources import files as file_sources
 from ledger_spark.sources import sinks
+from ledger_spark.sources.scratch import folder, stored
 from ledger_spark.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,14 +233,17 @@ def signals(spark, sf_dir):
 k AS (SELECT *, len(list_filter({rules.BANK_WORDS}, lambda x: contains(lower(t), x)))::INT AS bank_words, len(list_filter({[p.replace(chr(92) * 2, chr(92)) for p in rules.DRAFT_WORDS]!r}, lambda x: regexp_matches(lower(t), replace(x, chr(92) || chr(92), chr(92)))))::INT AS n_drafts FROM s),
 r AS (SELECT *, least(100, CASE WHEN eof - 1 >= 2 THEN 25 ELSE 0 END + CASE WHEN enc THEN 30 ELSE 0 END + CASE WHEN ed THEN 35 ELSE 0 END + CASE WHEN n_drafts > 0 THEN 35 ELSE 0 END
  + CASE WHEN length(trim(t)) > 300 AND bank_words < 2 THEN 20 ELSE 0 END + CASE WHEN ov >= 2 THEN 25 ELSE 0 END + CASE WHEN fr >= 2 THEN 20 ELSE 0 END + CASE WHEN an THEN 40 ELSE 0 END)::INT AS risk_score FROM k)
-SELECT doc_id, risk_score, CASE WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' ELSE 'low' END AS risk_level, risk_score >= 70 AS rejected, bank_words, CASE WHEN ed THEN 1 ELSE 0 END AS n_editors, n_drafts FROM r""")
+SELECT doc_id, risk_score, CASE WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' ELSE 'low' END AS risk_level, risk_score >= 70 AS rejected, bank_words, CASE WHEN ed THEN 1 ELSE 0 END AS n_editors, n_drafts,
+ concat_ws(';', CASE WHEN eof - 1 >= 2 THEN 'several saves after the first' END, CASE WHEN enc THEN 'encrypted or restricted' END, CASE WHEN ed THEN 'edited with canva' END, CASE WHEN n_drafts > 0 THEN 'draft or template words' END,
+ CASE WHEN length(trim(t)) > 300 AND bank_words < 2 THEN 'text is not a statement''s' END, CASE WHEN ov >= 2 THEN 'text over page images' END, CASE WHEN fr >= 2 THEN 'fragmented fonts' END, CASE WHEN an THEN 'redactions, free text or stamps' END) AS reasons FROM r""")
 def G9_alteration_risk(spark, sf_dir):
-    return quality.alteration_risk(signals(spark, sf_dir)).drop("reasons")
+    return quality.alteration_risk(signals(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ";"))
 
 
-@query("SELECT page_id, greatest(len(string_split(html, '<p>')) - 2, 0)::INT AS saves FROM pages")
+@query("SELECT page_id, greatest(len(string_split(html, '<p>')) - 2, 0)::INT AS saves, greatest(len(string_split(html || repeat('%%EOF' || chr(10), (page_id % 4)::INT), '%%EOF')) - 2, 0)::INT AS eof_saves FROM pages")
 def G10_marker_count(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", text.markers(F.encode("html", "UTF-8"), "<p>").alias("saves"))
+    ended = F.concat("html", F.repeat(F.lit("%%EOF\n"), (F.col("page_id") % 4).cast("int")))
+    return fx.table(spark, sf_dir, "pages").select("page_id", text.markers(F.encode("html", "UTF-8"), "<p>").alias("saves"), text.markers(F.encode(ended, "UTF-8"), "%%EOF").alias("eof_saves"))
 
 
 @query(f"SELECT doc_id, len(list_filter({rules.BANK_WORDS}, lambda x: contains(lower(coalesce(text, '')), x)))::INT AS bank_words FROM documents")
@@ -803,12 +807,9 @@ ROUTED = " UNION ALL ".join(
 )
 
 
-#: what F11_router should give; both join the registry once they are fast enough (see the README)
-ROUTED_SQL = f"{WITH} {ROUTED}"
-
-
+@query(f"{WITH} {ROUTED}")
 def F11_router(spark, sf_dir):
-    rows = fx.mixed_rows(fx.ledger(spark, sf_dir)).persist()
+    rows = stored(fx.mixed_rows(fx.ledger(spark, sf_dir)))
     _, out = plans.parsed(rows, names(rows), rules.templates(spark), 2000)
     return out.select("doc_id", "date", "description", *(F.round(F.col(k), 2).alias(k) for k in ("debit", "credit", "balance")), "layout")
 
@@ -860,17 +861,9 @@ def A1_file_listing(spark, sf_dir):
     return file_sources.listed(paths)
 
 
-def scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/ledger/{uuid.uuid4().hex}"
-
-
 @query()
 def A2_watched_folder(spark, sf_dir):
-    at = scratch(spark)
+    at = folder(spark)
     stream = watch.new_files(spark, sf_dir).select("path", "length", "file_hash", "supported")
     stream.writeStream.format("parquet").option("path", f"{at}/files").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/files").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "file_hash", "supported")
@@ -878,7 +871,7 @@ def A2_watched_folder(spark, sf_dir):
 
 @query(f"{WITH} SELECT c_nationkey AS user_id, count(*) AS n, {DEBITS} AS total_debits FROM ledger JOIN customer ON c_custkey = account_id GROUP BY 1")
 def A3_saved_ledger(spark, sf_dir):
-    at = scratch(spark)
+    at = folder(spark)
     sinks.save_ledger(fx.ledger(spark, sf_dir), fx.accounts(spark, sf_dir), at)
     return spark.read.parquet(at).groupBy("user_id").agg(F.count("*").alias("n"), ledger.money(F.sum("debit")).alias("total_debits"))
 
@@ -903,7 +896,7 @@ def A6_preview(spark, sf_dir):
 
 
 def plan_statement_results(spark, sf_dir):
-    rows = fx.mixed_rows(fx.ledger(spark, sf_dir)).persist()
+    rows = stored(fx.mixed_rows(fx.ledger(spark, sf_dir)))
     _, out = plans.statement_results(rows, names(rows), rules.templates(spark), rules.bank_rules(spark), 2000)
     return out.select("statement_id", "layout", "n", "status", "confidence", "bank_name", "content_hash", "checks", "failures")
 
