@@ -116,28 +116,66 @@ def spans(begin: np.ndarray, first: np.ndarray, least_sentences: int, least_word
     return packed >> 32, packed & 0xFFFFFFFF
 
 
+def later(place: list[np.ndarray], hashes: list[np.ndarray]) -> np.ndarray:
+    """Whether a span stands after another of the same hashes in this batch: whatever comes first in the whole table, such
+    a span is a repeat. Spans of one place (rows that repeat doc_id and text) are all kept."""
+    out = np.zeros(len(hashes[0]), bool)
+    order = np.argsort(hashes[0], kind="stable")
+    equal = hashes[0][order[1:]] == hashes[0][order[:-1]]
+    at = order[np.append(equal, False)[: len(order)] | np.insert(equal, 0, False)[: len(order)]]
+    if len(at):
+        at = at[np.lexsort([x[at] for x in (*place[::-1], *hashes[::-1])])]
+        starts = np.append(True, np.any([x[at[1:]] != x[at[:-1]] for x in hashes], axis=0))
+        first = at[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+        out[at] = np.any([x[at] != x[first] for x in place], axis=0)
+    return out
+
+
+def covered(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fewest ranges (of, a, b) that cover the same sentences of the same documents."""
+    order = np.lexsort((a, of))
+    of, a, b = of[order], a[order], b[order]
+    start, reach = (of << 32) + a, np.maximum.accumulate((of << 32) + b)
+    new = np.append(True, start[1:] > reach[:-1])[: len(of)]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(of) - 1)[: int(new.sum())]
+    return of[new], a[new], reach[last] & 0xFFFFFFFF
+
+
 def document_spans(docs: DataFrame, longest: int, least_sentences: int, least_words: int) -> DataFrame:
-    """row, doc_id, a, b, h1, h2: each document's spans of sentences."""
+    """row, doc_id, a, b, h1, h2: each document's spans of sentences. Ranges with no h2 are repeats for certain, found
+    within a batch of rows, so a span that very many documents hold goes on once a batch; their h1 only spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, seen = [], 0
             for part, texts in chunks(batch, "text"):
                 data, starts, ends, begin, first = sentences(texts, longest)
                 a, b = spans(begin, first, least_sentences, least_words)
                 of = np.searchsorted(first, a, "right") - 1
                 lanes = [span_hashes(span_hashes(data, starts, ends, seed), begin[a], begin[b], seed) for seed in SEEDS]
-                ids = [part.column(part.schema.get_field_index(c)).take(pa.array(of)) for c in ("row", "doc_id")]
-                columns = [*ids, pa.array((a - first[of]).astype(np.int32)), pa.array((b - first[of]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lanes)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "a", "b", "h1", "h2"])
+                found.append((of + seen, a - first[of], b - first[of], *lanes))
+                seen += len(part)
+            if not found:
+                continue
+            of, a, b, h1, h2 = (np.concatenate(x) for x in zip(*found))
+            row, doc = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("row", "doc_id"))
+            sure = later([doc[of], row[of], a, b], [h1, h2])
+            sure_of, sure_a, sure_b = covered(of[sure], a[sure], b[sure])
+            of, a, b = (np.concatenate((x[~sure], y)) for x, y in ((of, sure_of), (a, sure_a), (b, sure_b)))
+            h1, h2 = (np.concatenate((x[~sure].view(np.int64), row[sure_of])) for x in (h1, h2))
+            none = np.arange(len(of)) >= len(of) - len(sure_of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[of]), pa.array(doc[of]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(h1), pa.array(h2, mask=none)], ["row", "doc_id", "a", "b", "h1", "h2"]
+            )
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, a int, b int, h1 long, h2 long")
 
 
 def repeated_spans(found: DataFrame) -> DataFrame:
-    """doc_id, row, a, b of every occurrence of a span but its first."""
+    """doc_id, row, a, b of every occurrence of a span but its first, those found within batches as ranges."""
     place = F.struct(F.col("doc_id"), F.col("row"), F.col("a"), F.col("b"))
     met = found.withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2")))
-    return met.filter(place > F.col("first")).select("doc_id", "row", "a", "b")
+    return met.filter(F.col("h2").isNull() | (place > F.col("first"))).select("doc_id", "row", "a", "b")
 
 
 def remove_repeats(docs: DataFrame, longest: int = 10, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
