@@ -24,6 +24,7 @@ from .wordhash import mix
 
 INDEX = "bucket int, slots int, levels array<binary>, digests binary, winners binary, sizes binary"
 GAMMA = 1.5
+HOT = 1000  # texts that make up more than a thousandth of all rows, so fewer than this many, meet their rows by broadcast
 
 
 def digest(text: str = "text") -> Column:
@@ -134,7 +135,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     repeats = found.filter("member").select("digest", newer.alias("best"), (F.col("size") + F.col("old_size")).alias("size"))
     fresh = found.filter("not member").select("digest", F.struct("winner", "row").alias("best"), "size")
     known = history.select("digest", F.struct("winner", "row").alias("best"), "size")
-    groups = known.unionByName(repeats).unionByName(fresh).groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("size"))
-    joined = rows.join(groups.hint("merge"), "digest")
+    groups = materialize(known.unionByName(repeats).unionByName(fresh).groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("size")))
+    hot = F.col("size") * HOT > total
+    often = F.broadcast(groups.filter(hot))
+    rare = rows.join(often.select("digest"), "digest", "left_anti").join(groups.filter(~hot).hint("merge"), "digest")
+    joined = rows.join(often, "digest").unionByName(rare)
     keep = F.nullif(F.col("best.winner"), F.lit(NO_ID))
     return joined.select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), (F.col("row_id") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
