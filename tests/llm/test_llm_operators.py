@@ -203,6 +203,41 @@ def test_span_dedup(spark):
     assert span_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def removed_by_hand(docs):
+    """doc_id and numbers of the sentences that go, for docs of (doc_id, list of sentences)."""
+    place, found = {}, []
+    for doc, sentences in docs:
+        sizes = [len(x.split()) for x in sentences]
+        ok = lambda a, b: b - a >= 2 and sum(sizes[a:b]) >= 20
+        spans = {(a, next(b for b in range(a, len(sizes) + 1) if ok(a, b))) for a in range(len(sizes)) if ok(a, len(sizes))}
+        spans |= {(next(a for a in range(b, -1, -1) if ok(a, b)), b) for b in range(len(sizes) + 1) if ok(0, b)}
+        for a, b in spans:
+            text, at = tuple(" ".join(sentences[a:b]).split()), (-1 if doc is None else doc, a, b)
+            found.append((doc, text, at))
+            place[text] = min(at, place.get(text, at))
+    out = {doc: set() for doc, _ in docs}
+    for doc, text, at in found:
+        if at != place[text]:
+            out[doc] |= set(range(*at[1:]))
+    return {doc: sorted(gone) for doc, gone in out.items()}
+
+
+@pytest.mark.parametrize("batch", [7, 1000])
+def test_spans_by_hand(spark, monkeypatch, batch):
+    """All that goes, among documents of few sentences with a passage that a third of them holds and rows twice over."""
+    rng = np.random.default_rng(batch)
+    pool = [" ".join(words(k, 3 + k % 7)) + "." for k in range(40)]
+    docs = [(None if k == 50 else k, [pool[j] for j in rng.integers(0, 40 if k % 2 else 9, rng.integers(0, 14))] + pool[20:24] * (k % 3 == 0)) for k in range(200)]
+    docs += docs[30:40]
+    monkeypatch.setattr(span_dedup, "small_batches", lambda session: session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)))
+    out = span_dedup.remove_repeats(table(spark, [(d, " ".join(t)) for d, t in docs]).repartition(3)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = removed_by_hand(docs)
+    assert len(out) == len(docs) and any(want.values())
+    for r in out:
+        assert r["removed"] == want[r["doc_id"]], r["doc_id"]
+
+
 def test_spans_of_passages_anywhere(spark):
     """Passages of 51 words, with and without stops, among other words at any offsets: all goes but what is within ten
     words of their ends."""
@@ -352,7 +387,9 @@ def test_components(spark):
     assert got == {x: root(x) for x in label}
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_exact_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact, "HOT", hot)
     docs = odd() + [(20, "x"), (21, "x"), (21, "x"), (22, "x"), (None, "x"), (None, "lonely"), (None, "lonely")]
     out = exact.exact_dedup(table(spark, docs)).collect()
     groups = defaultdict(list)
