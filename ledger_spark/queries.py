@@ -393,6 +393,28 @@ def B7_near_duplicate(spark, sf_dir):
     return dedupe.near_duplicate(found, found.select("b").distinct().select("b", F.col("b").alias("ord")))
 
 
+#: all statements and copies of a user against all of the user's others
+SEARCHED = f"""{WITH}, {COPIES}, r AS (SELECT c.*, CASE WHEN v = 0 THEN statement_id ELSE statement_id // 10 END AS base, {PREFIX} AS p, coalesce(debit, 0) AS d, coalesce(credit, 0) AS k FROM c),
+o AS (SELECT r.*, c_nationkey AS user_id FROM r JOIN customer ON c_custkey = base // 10000),
+n AS (SELECT statement_id AS s, any_value(base) AS base, count(*) AS n FROM o GROUP BY 1),
+m AS (SELECT x.statement_id AS a, y.statement_id AS b, count(DISTINCT x.txn_idx) AS matched FROM o x JOIN o y ON x.user_id = y.user_id AND x.date = y.date AND x.p = y.p AND abs(x.d - y.d) <= 0.01 AND abs(x.k - y.k) <= 0.01 AND x.statement_id <> y.statement_id GROUP BY 1, 2),
+s AS (SELECT a, b, CASE WHEN least(u.n, w.n) / greatest(u.n, w.n) < 0.8 THEN 0.0 ELSE matched / greatest(u.n, w.n) END AS similarity, CASE WHEN u.base = w.base THEN 1.0 ELSE 0.5 END AS metadata FROM m JOIN n u ON u.s = a JOIN n w ON w.s = b)"""
+
+
+@query(f"{SEARCHED} SELECT a, min(b) AS duplicate_of FROM s WHERE round(similarity * 0.8 + metadata * 0.2, 6) >= 0.95 GROUP BY a")
+def B7_near_duplicate_search(spark, sf_dir):
+    txns, _ = copies(spark, sf_dir)
+    txns = stored(txns)
+    s = F.col("statement_id")
+    base = F.when((s % 10000).between(1900, 2100), s).otherwise(F.floor(s / 10))  # an original's id ends with its year
+    statements = txns.select("statement_id").distinct().withColumn("base", base).withColumn("account_id", F.floor(F.col("base") / 10000))
+    owned = stored(statements.join(fx.accounts(spark, sf_dir).select("account_id", "user_id"), "account_id"))
+    pairs = stored(dedupe.near_pairs(owned, owned, txns, 0.9374))
+    named = owned.select("statement_id", F.lit("Example Bank").alias("bank_name"), F.concat(F.lit("****"), F.col("base").cast("string")).alias("account_number"), F.lit(None).cast("decimal(14,2)").alias("current_balance"))
+    found = dedupe.statement_similarity(pairs, named, txns)
+    return dedupe.near_duplicate(found, owned.select(F.col("statement_id").alias("b"), F.col("statement_id").alias("ord")))
+
+
 @query(f"""{STATED}, {HASHED}, {ARRIVED}, {FOUND} SELECT statement_id, CASE WHEN by_file IS NOT NULL OR by_content IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
 CASE WHEN by_file IS NOT NULL THEN 'copy of an earlier file: rows would be counted twice' WHEN by_content IS NOT NULL THEN 'same rows as an earlier statement: rescanned or renamed' ELSE 'unique: process' END AS recommendation,
 CASE WHEN by_file IS NULL AND by_content IS NULL THEN 'process' ELSE 'skip;open ' || coalesce(by_file, by_content) || ';compare' END AS actions FROM f""")

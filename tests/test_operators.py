@@ -164,3 +164,24 @@ def test_candidate_pairs_miss_no_similar_pair(spark):
     pairs = statements.selectExpr("user_id", "statement_id AS a").join(statements.selectExpr("user_id", "statement_id AS b"), "user_id").filter("a <> b").select("a", "b")
     similar = {(r["a"], r["b"]) for r in dedupe.transaction_similarity(pairs, txns).collect() if r["similarity"] > 0}
     assert similar == {(1, 2), (2, 1), (4, 5), (5, 4), (6, 7), (7, 6)} and got == similar
+
+
+def test_near_pairs_miss_no_near_pair(spark):
+    import random
+
+    from ledger_spark.operators import dedupe
+
+    rng = random.Random(5)
+    base = [(None if k % 5 == 0 else f"2024-01-{k % 9 + 1:02d}", f"shop {k % 4} street {k}" if k % 6 else None, k * 1.0, None if k % 2 else 0.01 * k) for k in range(20)]
+    txns = []
+    for s in range(40):
+        rows = [r for r in base if rng.random() > (0.02, 0.1, 0.6)[s % 3]]
+        txns += [(s, k, *r[:2], r[2] + rng.choice((0, 0, 0.01, -0.01)), r[3]) for k, r in enumerate(rows)]
+    txns = spark.createDataFrame(txns, "statement_id long, txn_idx int, date string, description string, debit double, credit double")
+    statements = spark.createDataFrame([(s % 2, s) for s in range(44)], "user_id long, statement_id long")
+    pairs = statements.selectExpr("user_id", "statement_id AS a").join(statements.selectExpr("user_id", "statement_id AS b"), "user_id").filter("a <> b").select("a", "b")
+    every = {(r["a"], r["b"]): r["similarity"] for r in dedupe.transaction_similarity(pairs, txns).collect()}
+    for least in (0.5, 0.9):
+        got = {tuple(r) for r in dedupe.near_pairs(statements, statements, txns, least).collect()}
+        want = {pair for pair, similarity in every.items() if similarity >= least}
+        assert want and want <= got <= set(every)
