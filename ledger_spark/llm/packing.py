@@ -1,10 +1,11 @@
-"""Best-fit packing of documents into sequences of at most `capacity` tokens, improved by swap-based local search.
+"""Packing of documents into sequences of at most `capacity` tokens by swap-based local search.
 
 How many pieces there are of each length, 1 to capacity, is all that packing needs: at most `capacity` numbers, however
 many documents. Bins of equal content are one class with a multiplicity, so that planning takes the same work at any
-input size: best-fit decreasing makes the classes, then local search moves or exchanges documents (one for one, two for
-one, one for two) between underfull bins wherever that raises the sum of squared fills, until bins empty. Spark then
-deals every piece its place: the rank among pieces of its length, counted in salted buckets, names the bin.
+input size. The search starts from one document per bin and raises the sum of squared fills until bins empty: first all
+documents of one bin move to another at once, where two bins fit into one; then documents move or are exchanged (one for
+one, two for one, one for two) between underfull bins. Spark then deals every piece its place: the rank among pieces of
+its length, counted in salted buckets, names the bin.
 
 Null and empty texts are documents of no ids and so pieces of length 1 (the closing id 0). A longer text is cut into
 full pieces from its end; its first piece takes the rest. Repeated rows are packed as often as they occur. Further
@@ -13,9 +14,11 @@ columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import chunks, materialize, parallelism, small_batches
 from .tokens import encoder
 
+LOG = logging.getLogger(__name__)
 Bin = tuple[tuple[int, int], ...]  # (length, copies), longest first
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -51,40 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> dict[Bin, int]:
-    """Classes of bins and how many there are of each, by best-fit decreasing."""
-    left: dict[int, dict[Bin, int]] = {}  # room in the bin -> classes
-    rooms: list[int] = []
-
-    def put(room: int, bin_: Bin, n: int):
-        if room not in left:
-            left[room] = {}
-            insort(rooms, room)
-        left[room][bin_] = left[room].get(bin_, 0) + n
-
-    for length in sorted(counts, reverse=True):
-        todo = counts[length]
-        while todo:
-            k = bisect_left(rooms, length)
-            if k < len(rooms):
-                room = rooms[k]
-                bin_, n = left[room].popitem()
-                if not left[room]:
-                    del left[room], rooms[k]
-            else:
-                room, bin_, n = capacity, (), -(-todo // (capacity // length))
-            each = room // length
-            full, rest = min(n, todo // each), todo % each if todo < n * each else 0
-            if full:
-                put(room - each * length, (*bin_, (length, each)), full)
-            if rest:
-                put(room - rest * length, (*bin_, (length, rest)), 1)
-            if bin_ and n - full - bool(rest):
-                put(room, bin_, n - full - bool(rest))
-            todo -= full * each + rest
-    return {bin_: n for classes in left.values() for bin_, n in classes.items()}
-
-
+@lru_cache(1 << 16)
 def _fill(bin_: Bin) -> int:
     return sum(a * n for a, n in bin_)
 
@@ -98,63 +69,129 @@ def _changed(bin_: Bin, out: tuple[int, ...], come: tuple[int, ...]) -> Bin:
     return tuple(sorted(((a, n) for a, n in items.items() if n), reverse=True))
 
 
-def _sets(bin_: Bin, most: int = 2) -> list[tuple[int, ...]]:
-    """Every choice of up to two documents of a bin, by length."""
+def _add(bins: dict[Bin, int], bin_: Bin, n: int):
+    bins[bin_] = bins.get(bin_, 0) + n
+    if not bins[bin_]:
+        del bins[bin_]
+
+
+def move_all(counts: dict[int, int], capacity: int) -> dict[Bin, int]:
+    """From one document per bin, empty bins by moving all that they hold into another one: always the two bins whose
+    union raises the sum of squared fills most (by twice the product of their fills), until no two fit into one or the
+    tokens need all bins that are left. Classes of one fill are kept together, so a step looks at `capacity` fills."""
+    classes = [{} for _ in range(capacity + 1)]
+    many = np.zeros(capacity + 1, np.int64)  # bins of each fill
+    for length, n in counts.items():
+        classes[length][((length, 1),)] = many[length] = n
+    fills = np.arange(capacity + 1)
+    spare = int(many.sum()) + int(-(many * fills).sum() // capacity)  # bins beyond the least number
+    while spare > 0:
+        here = np.where(many > 0, fills, 0)
+        largest = np.maximum.accumulate(here)
+        mate = largest[capacity - fills]
+        mate = np.where((mate == fills) & (many < 2), np.append(0, largest)[mate], mate)
+        one = int((here * mate).argmax())
+        two = int(mate[one])
+        if not here[one] * two:
+            break
+        taker, n = next(iter(classes[one].items()))
+        if one == two and n > 1:
+            giver, n = taker, n // 2
+        else:
+            giver, k = next((b, k) for b, k in classes[two].items() if b != taker)
+            n = min(n, k)
+        n = min(n, spare)
+        both = _changed(taker, (), tuple(a for a, k in giver for _ in range(k)))
+        for fill, bin_, change in ((one, taker, -n), (two, giver, -n), (one + two, both, n)):
+            _add(classes[fill], bin_, change)
+            many[fill] += change
+        spare -= n
+    return {bin_: n for of_fill in classes for bin_, n in of_fill.items()}
+
+
+@lru_cache(1 << 14)
+def _sets(bin_: Bin) -> list[tuple[int, tuple[int, ...]]]:
+    """Every choice of one or two documents of a bin: size and lengths, by size."""
     ones = [(a,) for a, _ in bin_]
-    if most < 2:
-        return ones
-    return ones + [(a, b) for i, (a, n) in enumerate(bin_) for j, (b, _) in enumerate(bin_) if j > i or (i == j and n > 1)]
+    twos = [(a, b) for i, (a, n) in enumerate(bin_) for j, (b, _) in enumerate(bin_) if j > i or (i == j and n > 1)]
+    return sorted((sum(s), s) for s in ones + twos)
+
+
+@lru_cache(1 << 14)
+def _returns(bin_: Bin, most: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """What a bin can give back, nothing or up to `most` documents: sizes in order, and lengths."""
+    sets = [(0, ()), *(s for s in _sets(bin_) if len(s[1]) <= most)]
+    return [size for size, _ in sets], [lengths for _, lengths in sets]
 
 
 def _exchange(giver: Bin, taker: Bin, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
     """The exchange that sends most tokens from giver to taker: a move, one for one, two for one or one for two."""
-    best = None
-    back = sorted([(0, ()), *((sum(s), s) for s in _sets(taker))])
-    sums = [b[0] for b in back]
-    for out in _sets(giver):
-        size = sum(out)
-        k = bisect_left(sums, size - room)
-        while k < len(back) and sums[k] < size and len(out) + len(back[k][1]) > 3:
-            k += 1
-        if k < len(back) and sums[k] < size and (best is None or size - sums[k] > best[0]):
-            best = (size - sums[k], out, back[k][1])
+    best, most = None, 0
+    for size, out in reversed(_sets(giver)):
+        if size <= most or most == room:
+            break
+        sizes, back = _returns(taker, 3 - len(out))
+        k = bisect_left(sizes, size - room)
+        if k < len(sizes) and size - sizes[k] > most:
+            best, most = (size - sizes[k], out, back[k]), size - sizes[k]
     return best
 
 
-def local_search(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
-    """Raise the sum of squared fills by exchanges between underfull bins until none helps, or until there are no more
-    bins than tokens need at least. Each step empties the least full bin further into the others. The sum grows with
-    every step and is bounded, so the search ends."""
+def exchange(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
+    """Raise the sum of squared fills by moves and exchanges between underfull bins until none helps, or until there are
+    no more bins than tokens need at least. Each step empties the least full bin further into one of the others, that
+    which raises the sum most. The sum grows with every step and is bounded, so the search ends.
+
+    Takers are tried by what they could gain at most, so that most need no look; a giver that no taker helps is looked
+    at again only with bins that came up since."""
     bins = dict(bins)
-    least = -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
-    done: set[Bin] = set()
-    while sum(bins.values()) > least:
+    spare = sum(bins.values()) + -sum(_fill(b) * n for b, n in bins.items()) // capacity
+    step, born, tried = 0, dict.fromkeys(bins, 0), {}
+    while spare > 0:
         under = sorted((b for b in bins if _fill(b) < capacity), key=_fill)
-        giver = next((b for b in under if b not in done), None)
-        if giver is None:
-            break
         best = None
-        for taker in under:
-            if _fill(taker) < _fill(giver) or (taker == giver and bins[giver] < 2):
+        for giver in under:
+            since = tried.get(giver, -1)
+            if since == step:
                 continue
-            if found := _exchange(giver, taker, capacity - _fill(taker)):
-                gain = 2 * found[0] * (_fill(taker) - _fill(giver)) + 2 * found[0] ** 2
-                if best is None or gain > best[0]:
-                    best = (gain, taker, *found[1:])
+            own, hopes = _fill(giver), []
+            for taker in under:
+                if born[taker] > since and _fill(taker) >= own and (taker != giver or bins[giver] > 1):
+                    most = min(own, capacity - _fill(taker))
+                    hopes.append((most * (_fill(taker) - own + most), taker))
+            for hope, taker in sorted(hopes, key=lambda h: -h[0]):
+                if best and hope <= best[0]:
+                    break
+                if found := _exchange(giver, taker, capacity - _fill(taker)):
+                    gain = found[0] * (_fill(taker) - own + found[0])
+                    if best is None or gain > best[0]:
+                        best = (gain, taker, *found[1:])
+            if best:
+                break
+            tried[giver] = step
         if best is None:
-            done.add(giver)
-            continue
+            break
+        step += 1
         _, taker, out, back = best
         n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-        for bin_, change in ((giver, -n), (taker, -n), (_changed(giver, out, back), n), (_changed(taker, back, out), n)):
-            if bin_:
-                bins[bin_] = bins.get(bin_, 0) + change
-                if not bins[bin_]:
-                    del bins[bin_]
-        done.clear()
+        _add(bins, giver, -n)
+        _add(bins, taker, -n)
+        for new in (_changed(giver, out, back), _changed(taker, back, out)):
+            if not new:
+                spare -= n
+                continue
+            if bins.get(new, 0) < 2:
+                born[new] = step
+            _add(bins, new, n)
+    LOG.info("%d exchanges between %d classes of bins", step, len(bins))
     return bins
 
 
+def local_search(counts: dict[int, int], capacity: int) -> dict[Bin, int]:
+    """Classes of bins for documents of these lengths, and how many there are of each."""
+    return exchange(move_all(counts, capacity), capacity)
+
+
 def places(bins: dict[Bin, int]) -> dict[str, np.ndarray]:
     """For every length, which ranks go to which bins: rows (length, rank from, copies, bin, offset) sorted by the
     first two. One row stands for all copies of a length in all bins of a class."""
@@ -173,7 +210,7 @@ def places(bins: dict[Bin, int]) -> dict[str, np.ndarray]:
 def plan(pieces: DataFrame, capacity: int) -> dict[str, np.ndarray]:
     """The histogram of lengths (at most `capacity` rows) comes to the driver, and the bins' classes come from it."""
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return places(local_search(best_fit(counts, capacity), capacity))
+    return places(local_search(counts, capacity))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -59,23 +60,36 @@ def test_packing_round_trip(spark):
     assert packing.pack(table(spark, []), tokenizer_path()).count() == 0
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(rooms, x)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        insort(rooms, room - x)
+    return len(rooms)
+
+
 def test_local_search_empties_bins():
-    counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 1}
-    bins = {((6, 1), (2, 1)): 1, ((6, 1),): 1, ((5, 1), (4, 1)): 2, ((3, 2),): 1}
-    out = packing.local_search(bins, 10)
-    assert Counter({a: sum(k * n for b, n in out.items() for x, k in b if x == a) for a in counts}) == Counter(counts)
-    assert sum(out.values()) == 4 and all(packing._fill(b) <= 10 for b in out)
-    rng = np.random.default_rng(5)
-    for _ in range(30):
-        counts = Counter(rng.integers(1, 2049, 400).tolist())
-        bins = packing.best_fit(counts, 2048)
-        out = packing.local_search(bins, 2048)
+    def held(bins):
+        assert all(packing._fill(b) <= 2048 and n > 0 for b, n in bins.items())
         have = Counter()
-        for b, n in out.items():
-            assert packing._fill(b) <= 2048
+        for b, n in bins.items():
             for a, k in b:
                 have[a] += k * n
-        assert have == counts and sum(out.values()) <= sum(bins.values())
+        return have
+
+    bins = {((6, 1), (2, 1)): 1, ((6, 1),): 1, ((5, 1), (4, 1)): 2, ((3, 2),): 1}
+    out = packing.exchange(bins, 10)
+    assert held(out) == held(bins) and sum(out.values()) == 4 and all(packing._fill(b) <= 10 for b in out)
+    assert packing.local_search({}, 10) == {} and packing.local_search({10: 3}, 10) == {((10, 1),): 3}
+    rng = np.random.default_rng(5)
+    beaten = 0
+    for low, high, n in [(1, 2049, 400)] * 10 + [(300, 900, 600)] * 5 + [(600, 1500, 300)] * 5 + [(1, 40, 3000)] * 2:
+        counts = Counter(rng.integers(low, high, n).tolist())
+        out, plain = packing.local_search(counts, 2048), best_fit_decreasing(counts.elements(), 2048)
+        assert held(out) == counts and sum(out.values()) <= plain
+        beaten += sum(out.values()) < plain
+    assert beaten >= 5
 
 
 def test_token_histogram(spark):
