@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledger_spark import rules
 from ledger_spark.functions.cells import nonempty, stripped
 from ledger_spark.operators.quality import document_text
+from ledger_spark.operators.rule_sets import meet
 
 # Repairs of headers.
 REPAIRS = [("tran saction", "transaction"), ("trans action", "transaction"), ("desc ription", "description"), ("de script ion", "description"), ("amt", "amount")]
@@ -103,11 +104,11 @@ def balance_place(rows: DataFrame, layout: DataFrame) -> DataFrame:
     return each.select("doc_id", F.coalesce(F.try_element_at("roles", F.lit("balance")), F.when(F.col("wide") >= 0.5, last + 1)).alias("balance_idx"))
 
 
-def template_scores(texts: DataFrame, names: DataFrame, templates: DataFrame, by_bank: bool = True) -> DataFrame:
-    """Scores of texts(doc_id, text, in lower case) against a small table of templates: 4 a bank pattern, 1 a header
-    word, 6 a sample file name (names has doc_id, file_name)."""
+def template_scores(texts: DataFrame, names: DataFrame, templates: DataFrame, by_bank: bool = True, on: Column | None = None) -> DataFrame:
+    """Scores of texts(doc_id, text, in lower case) against templates, all of them or those that `on` names: 4 a bank
+    pattern, 1 a header word, 6 a sample file name (names has doc_id, file_name)."""
     held = lambda words: F.size(F.filter(words, lambda w: F.contains(F.col("text"), F.lower(w))))
-    each = texts.join(names, "doc_id", "left").join(F.broadcast(templates), F.lit(True))
+    each = meet(texts.join(names, "doc_id", "left"), templates, F.lit(True) if on is None else on)
     bank = held(F.col("bank_patterns"))
     sample = F.exists("sample_files", lambda s: F.lower(s) == F.lower(F.coalesce("file_name", F.lit(""))))
     return each.withColumn("bank_evidence", bank > 0).withColumn("score", (bank * 4 if by_bank else F.lit(0)) + held(F.col("header_keywords")) + F.when(sample, 6).otherwise(0))
@@ -128,7 +129,8 @@ def template_for_key(rows: DataFrame, names: DataFrame, chosen: DataFrame, templ
     select_template with a warning."""
     texts = document_text(rows, 80, lower=True)
     narrowed = templates.drop("ord").join(keys, "template_id")
-    scored = template_scores(texts.join(chosen, "doc_id"), names, narrowed.withColumnRenamed("bank_key", "own_key"), by_bank=False).filter(F.col("bank_key") == F.col("own_key"))
+    same = F.col("bank_key") == F.col("own_key")
+    scored = template_scores(texts.join(chosen, "doc_id"), names, narrowed.withColumnRenamed("bank_key", "own_key"), by_bank=False, on=same)
     direct = _best(scored, 0)
     free = select_template(rows, names, templates).select("doc_id", *(F.col(c).alias(f"f_{c}") for c in ("template_id", "parser_format")))
     out = chosen.join(direct, "doc_id", "left").join(free, "doc_id", "left")

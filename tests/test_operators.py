@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark import rules
 from ledger_spark.functions import cells, text
-from ledger_spark.operators import dedupe, extract, layout, ledger, quality, structure
+from ledger_spark.operators import dedupe, extract, layout, ledger, quality, rule_sets, structure
 from ledger_spark.sources import sinks
 from ledger_spark.streaming import watch
 
@@ -134,6 +134,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert row["Date"] == "01/02/2024" and row["Description"] == 'say "hi", twice' and row["Credit"] in (None, "") and row["Balance"] in (None, "")
 
 
+def test_rules_in_blocks_find_the_same(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "north bank of south"), (2, "SOUTH bank"), (3, ""), (4, None)], "doc_id long, text string")
+    banks = spark.createDataFrame([("North", "north", 1), ("South", "south", 0), ("None", "xyz", 2)], "name string, pattern string, ord int")
+    want = {(1, "South"), (2, "South")}
+    for most in (10_000, 1):
+        monkeypatch.setattr(rule_sets, "MOST", most)
+        assert {tuple(r) for r in quality.bank_name(texts, banks).collect()} == want
+    assert quality.bank_name(texts, banks.limit(0)).count() == 0
+
+
 def test_stream_reads_each_file_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
