@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, divergence, exact, jaccard, packing, quality, sharding, span_dedup, token_counts, url_filter
+from . import chat, decontam, divergence, exact, jaccard, langid, packing, phrases, quality, sharding, span_dedup, token_counts, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,14 @@ def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
 
 
+def op12_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 SQL9 = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -71,8 +79,8 @@ FROM t
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_chat_rotation, op4_virtual_slot_sharding, op5_url_bloom_cascade, op6_sentence_span_dedup, op7_attention_quality, op8_ngram_jaccard_join, op9_exact_dedup, op10_benchmark_decontamination, op11_source_divergence_audit)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_chat_rotation, op4_virtual_slot_sharding, op5_url_bloom_cascade, op6_sentence_span_dedup, op7_attention_quality, op8_ngram_jaccard_join, op9_exact_dedup, op10_benchmark_decontamination, op11_source_divergence_audit, op12_hyperdimensional_language_id, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_rotation": chat.ORACLE, "op5_url_bloom_cascade": url_filter.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_exact_dedup": SQL9, "op10_benchmark_decontamination": decontam.ORACLE, "op11_source_divergence_audit": divergence.ORACLE}
+    return {"op3_chat_rotation": chat.ORACLE, "op5_url_bloom_cascade": url_filter.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_exact_dedup": SQL9, "op10_benchmark_decontamination": decontam.ORACLE, "op11_source_divergence_audit": divergence.ORACLE, "op13_phrase_collocations": phrases.ORACLE}
