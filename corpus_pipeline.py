@@ -9,7 +9,8 @@
 Every stage reads whole texts of all rows that the stage before kept. Ids of rows that go are a small table: it is
 broadcast if a count shows that it is short, and joined by sort-merge otherwise. doc_id may be null or repeat: stages 3
 and 4 judge and drop single rows, by a row number stored before them. Null comes before any other doc_id; of rows with
-one doc_id the smallest hash of the text comes first. Rows that repeat doc_id and text are one row after stage 2. Columns beyond doc_id and text pass through stages 1 to 4 unread.
+one doc_id the smallest hash of the text comes first. Rows that repeat doc_id and text (null counts
+as empty) are one row after stage 2. Columns beyond doc_id and text pass through stages 1 to 4 unread.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialize(exact.exact_dedup(docs)).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     rows = materialize(rows)
-    if rows.filter("kept AND n > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
     sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    if rows.filter("kept AND n > 1").limit(1).count():
+        docs = docs.withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
     return without(docs, [F.col("doc_id"), sha], rows.filter("NOT kept").select("doc_id", "text_sha256"))
 
 
