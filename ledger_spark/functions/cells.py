@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark import rules
+from ledger_spark.sources.scratch import stored
 
 Value = Column | str
 DATE_FIRST = r"^(\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?)\b\s*"
@@ -171,11 +172,37 @@ def type_cells(rows: DataFrame, year: Value) -> DataFrame:
     return rows.join(packed, ["doc_id", "row_idx"], "left").withColumn("typed", F.coalesce("typed", empty))
 
 
-def coverage(typed: DataFrame) -> DataFrame:
-    """Per document and column: cells, and the shares that are empty, amounts and dates."""
-    each = typed.select("doc_id", F.posexplode("typed").alias("column", "cell"))
-    share = lambda c: F.avg(c.cast("double"))
-    return each.groupBy("doc_id", "column").agg(F.count("*").alias("cells"), share(F.trim("cell.text") == "").alias("empty"), share(F.col("cell.amount").isNotNull()).alias("amounts"), share(F.col("cell.date").isNotNull()).alias("dates"))
+AMBIGUOUS = r"^([0-9]{1,2})[/.-]([0-9]{1,2})(?:[/.-][0-9]{2,4})?$"
+
+
+def ambiguous(text: Column) -> Column:
+    """Whether a numeric date means two different days, depending on which number is the month."""
+    digits = F.translate(F.trim(text), "Oo", "00")
+    a, b = (F.regexp_extract(digits, AMBIGUOUS, k).try_cast("int") for k in (1, 2))
+    return F.coalesce(a.between(1, 12) & b.between(1, 12) & (a != b), F.lit(False))
+
+
+def coverage(typed: DataFrame, *keys: str) -> DataFrame:
+    """Per column (and per further keys, such as doc_id): how many cells, which shares of them are empty, amounts and dates,
+    and which share of the dates is ambiguous. One pass over the cells; sums are formed before they are shuffled."""
+    each = typed.select(*keys, F.posexplode("typed").alias("column", "cell"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    dated = F.col("cell.date").isNotNull()
+    return each.groupBy(*keys, "column").agg(
+        F.count("*").alias("cells"), share(F.trim("cell.text") == "").alias("empty"), share(F.col("cell.amount").isNotNull()).alias("amounts"), share(dated).alias("dates"),
+        F.coalesce(F.avg(F.when(dated, ambiguous(F.col("cell.text")).cast("double"))), F.lit(0.0)).alias("ambiguous"),
+    )
+
+
+def once(rows: DataFrame, columns: list[str], **values: Column) -> DataFrame:
+    """rows with values that only depend on these columns, computed once for each different combination: worth it for long
+    expressions over texts that repeat. The table of combinations is broadcast if a count shows that it is short."""
+    known = stored(rows.select(*columns).distinct().select(*(F.col(c).alias(f"__{c}") for c in columns), *(v.alias(k) for k, v in values.items())))
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(F.broadcast(known) if known.count() <= 500_000 else known.hint("merge"), same).drop(*(f"__{c}" for c in columns))
+
 
 
 Sides = tuple[Column, Column]

@@ -39,11 +39,14 @@ def numbered_rows(lines: DataFrame, *order: str) -> DataFrame:
     return lines.select("doc_id", nth.alias("row_idx"), "cells")
 
 
-def layout_report(words: DataFrame, most_words: int = 1500, most_pages: int = 25) -> DataFrame:
-    """Boxes of rows (cell null) and cells with their numbers of words, over the first words and pages of a document."""
-    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("word_idx"))
-    kept = word_cells(words.filter(F.col("page_no") <= most_pages).withColumn("n", nth).filter(F.col("n") <= most_words))
-    boxes = kept.rollup("doc_id", "page_no", "line", "cell").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").alias("n_words"), F.grouping_id().alias("level"))
+def layout_report(words: DataFrame, most_words: int | None = None, most_pages: int | None = None) -> DataFrame:
+    """Boxes of rows (cell null) and cells with their numbers of words; on request only of the first pages of a document
+    and the first words of a page."""
+    if most_pages is not None:
+        words = words.filter(F.col("page_no") <= most_pages)
+    if most_words is not None:
+        words = words.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("word_idx"))).filter(F.col("n") <= most_words).drop("n")
+    boxes = word_cells(words).rollup("doc_id", "page_no", "line", "cell").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").alias("n_words"), F.grouping_id().alias("level"))
     return boxes.filter("doc_id IS NOT NULL")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_spark import rules, schemas
+from ledger_spark.operators.rule_sets import held, short
+from ledger_spark.sources.scratch import stored
 
 
 def _alternation(words: list[str], whole: bool) -> str:
@@ -65,6 +67,27 @@ def deductions_by_keyword(txns: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), money(F.sum("credit")).alias("credits"))
 
 
+def with_family(txns: DataFrame, families: DataFrame) -> DataFrame:
+    """txns with family: that of the first of families(ord, word, family) whose word the description of a positive credit
+    holds, null if none does. Every different description is looked at once, and only for words that come near."""
+    positive = F.col("credit") > 0
+    texts = stored(txns.filter(positive & F.col("description").isNotNull()).select("description").distinct().select(F.col("description").alias("doc_id"), F.lower("description").alias("text")))
+    words = families.select(F.lower("word").alias("needle"), "ord", "family")
+    first = short(held(texts, words.select("needle")), words, "needle").groupBy(F.col("doc_id").alias("__text")).agg(F.min_by("family", "ord").alias("family"))
+    return short(txns, stored(first), F.when(positive, F.col("description")) == F.col("__text"), "left").drop("__text")
+
+
+def revenue_by_family(txns: DataFrame, families: DataFrame) -> DataFrame:
+    """Raw credits, deductions and adjusted revenue per statement, per account, per month, per family ('revenue' for the
+    rest), per account, month and family, and in all; level says which. Rows are expanded after they have been summed."""
+    each = with_family(txns, families).filter("credit > 0").withColumn("month", F.date_format("date", "yyyy-MM"))
+    keys = ["statement_id", "account_id", "month", "family"]
+    base = each.groupBy(*keys).agg(F.sum("credit").alias("raw"), F.sum(F.when(F.col("family").isNotNull(), F.col("credit"))).alias("off")).na.fill("revenue", ["family"])
+    s, a, m, f = (F.col(k) for k in keys)
+    out = base.groupingSets([[s], [a], [m], [f], [a, m, f], []], s, a, m, f).agg(F.grouping_id().alias("level"), money(F.sum("raw")).alias("raw_credits"), money(F.sum("off")).alias("deductions"))
+    return out.withColumn("adjusted", F.round(F.col("raw_credits") - F.col("deductions"), 2))
+
+
 def statement_list(statements: DataFrame, txns: DataFrame) -> DataFrame:
     """Statements, newest first, with the number and sums of their transactions; statements without any show 0."""
     sums = txns.groupBy("statement_id").agg(F.count("*").alias("n_transactions"), F.sum("debit").alias("d"), F.sum("credit").alias("c"))

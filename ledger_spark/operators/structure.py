@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledger_spark import rules
 from ledger_spark.functions.cells import nonempty, stripped
 from ledger_spark.operators.quality import document_text
-from ledger_spark.operators.rule_sets import meet
+from ledger_spark.operators.rule_sets import held, short
+from ledger_spark.sources.scratch import stored
 
 # Repairs of headers.
 REPAIRS = [("tran saction", "transaction"), ("trans action", "transaction"), ("desc ription", "description"), ("de script ion", "description"), ("amt", "amount")]
@@ -64,7 +65,7 @@ def column_roles(cells: Column) -> Column:
 
     def step(state: Column, item: Column) -> Column:
         cell, i = item["cell"], item["i"]
-        fits = F.array(*(F.when(cell.rlike(p) & ~F.map_contains_key(state, F.lit(r)), F.lit(r)) for r, p in rules.ROLES.items()))
+        fits = F.array(*(F.when(cell.rlike("|".join(p)) & ~F.map_contains_key(state, F.lit(r)), F.lit(r)) for r, p in rules.ROLES.items()))  # one expression a role
         role = F.get(F.array_compact(fits), F.lit(0))
         return F.when(role.isNotNull() & (cell != ""), F.map_concat(state, F.create_map(F.coalesce(role, F.lit("none")), i))).otherwise(state)
 
@@ -104,14 +105,18 @@ def balance_place(rows: DataFrame, layout: DataFrame) -> DataFrame:
     return each.select("doc_id", F.coalesce(F.try_element_at("roles", F.lit("balance")), F.when(F.col("wide") >= 0.5, last + 1)).alias("balance_idx"))
 
 
-def template_scores(texts: DataFrame, names: DataFrame, templates: DataFrame, by_bank: bool = True, on: Column | None = None) -> DataFrame:
-    """Scores of texts(doc_id, text, in lower case) against templates, all of them or those that `on` names: 4 a bank
-    pattern, 1 a header word, 6 a sample file name (names has doc_id, file_name)."""
-    held = lambda words: F.size(F.filter(words, lambda w: F.contains(F.col("text"), F.lower(w))))
-    each = meet(texts.join(names, "doc_id", "left"), templates, F.lit(True) if on is None else on)
-    bank = held(F.col("bank_patterns"))
-    sample = F.exists("sample_files", lambda s: F.lower(s) == F.lower(F.coalesce("file_name", F.lit(""))))
-    return each.withColumn("bank_evidence", bank > 0).withColumn("score", (bank * 4 if by_bank else F.lit(0)) + held(F.col("header_keywords")) + F.when(sample, 6).otherwise(0))
+def template_hits(texts: DataFrame, names: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, t, bank, head, sample: how many bank patterns and header words of a template (its number t) a text in lower
+    case holds, and whether the document has the name of a sample (names has doc_id, file_name). Templates of which
+    nothing is found have no row."""
+    each = lambda column: templates.select("t", F.explode(column).alias("needle"))
+    words = each("bank_patterns").withColumn("bank", F.lit(1)).unionByName(each("header_keywords").withColumn("bank", F.lit(0)))
+    words = words.groupBy("t", F.lower("needle").alias("needle")).agg(F.sum("bank").alias("bank"), F.sum(1 - F.col("bank")).alias("head"))
+    hits = short(held(texts, words.select("needle")), words, "needle").select("doc_id", "t", "bank", "head", F.lit(0).alias("sample"))
+    own = texts.select("doc_id").join(names.select("doc_id", F.lower(F.coalesce("file_name", F.lit(""))).alias("needle")).hint("merge"), "doc_id")
+    samples = short(own, each("sample_files").select("t", F.lower("needle").alias("needle")).distinct(), "needle")
+    hits = hits.unionByName(samples.select("doc_id", "t", F.lit(0).alias("bank"), F.lit(0).alias("head"), F.lit(1).alias("sample")))
+    return hits.groupBy("doc_id", "t").agg(F.sum("bank").alias("bank"), F.sum("head").alias("head"), F.max("sample").alias("sample"))
 
 
 def _best(scored: DataFrame, least: int) -> DataFrame:
@@ -119,21 +124,35 @@ def _best(scored: DataFrame, least: int) -> DataFrame:
     return best.select("doc_id", "t.*")
 
 
+def _free(hits: DataFrame, templates: DataFrame, least: int) -> DataFrame:
+    """The best template by 4 a bank pattern, 1 a header word and 6 a sample's name."""
+    scored = short(hits, templates.select("t", "template_id", "parser_format", "ord"), "t")
+    return _best(scored.withColumn("bank_evidence", F.col("bank") > 0).withColumn("score", F.col("bank") * 4 + F.col("head") + F.col("sample") * 6), least)
+
+
+def _prepared(rows: DataFrame, names: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    templates = stored(templates.withColumn("t", F.monotonically_increasing_id()))
+    texts = stored(document_text(rows, 80, lower=True))
+    return texts, templates, template_hits(texts, names, templates)
+
+
 def select_template(rows: DataFrame, names: DataFrame, templates: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, template_id, parser_format, score, bank_evidence: the best template, the earliest of equals."""
-    return _best(template_scores(document_text(rows, 80, lower=True), names, templates), least)
+    _, templates, hits = _prepared(rows, names, templates)
+    return _free(hits, templates, least)
 
 
 def template_for_key(rows: DataFrame, names: DataFrame, chosen: DataFrame, templates: DataFrame, keys: DataFrame) -> DataFrame:
     """chosen(doc_id, bank_key) narrows the templates; a single candidate is taken as it is, an unknown key falls back to
     select_template with a warning."""
-    texts = document_text(rows, 80, lower=True)
-    narrowed = templates.drop("ord").join(keys, "template_id")
-    same = F.col("bank_key") == F.col("own_key")
-    scored = template_scores(texts.join(chosen, "doc_id"), names, narrowed.withColumnRenamed("bank_key", "own_key"), by_bank=False, on=same)
-    direct = _best(scored, 0)
-    free = select_template(rows, names, templates).select("doc_id", *(F.col(c).alias(f"f_{c}") for c in ("template_id", "parser_format")))
-    out = chosen.join(direct, "doc_id", "left").join(free, "doc_id", "left")
+    texts, templates, hits = _prepared(rows, names, templates)
+    hits = stored(hits)
+    narrowed = templates.select("t", "template_id", "parser_format").join(keys, "template_id")
+    asked = short(texts.select("doc_id").join(chosen.hint("merge"), "doc_id"), narrowed, "bank_key")
+    scored = asked.join(hits.hint("merge"), ["doc_id", "t"], "left").na.fill(0, ["bank", "head", "sample"])
+    direct = _best(scored.withColumn("bank_evidence", F.col("bank") > 0).withColumn("score", F.col("head") + F.col("sample") * 6), 0)
+    free = _free(hits, templates, 3).select("doc_id", *(F.col(c).alias(f"f_{c}") for c in ("template_id", "parser_format")))
+    out = chosen.join(direct.hint("merge"), "doc_id", "left").join(free.hint("merge"), "doc_id", "left")
     known = F.col("template_id").isNotNull()
     return out.select("doc_id", F.coalesce("template_id", "f_template_id").alias("template_id"), F.coalesce("parser_format", "f_parser_format").alias("parser_format"), F.when(~known, F.concat(F.lit("no template for key "), "bank_key")).alias("warning"))
 

@@ -21,8 +21,8 @@ def folder(spark: SparkSession) -> str:
     return f"{(root or _OWN[app]).rstrip('/')}/ledger/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written and read back: lineage ends there."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df, written (in folders by these columns) and read back: lineage ends there."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -138,7 +138,7 @@ def test_rules_in_blocks_find_the_same(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "north bank of south"), (2, "SOUTH bank"), (3, ""), (4, None)], "doc_id long, text string")
     banks = spark.createDataFrame([("North", "north", 1), ("South", "south", 0), ("None", "xyz", 2)], "name string, pattern string, ord int")
     want = {(1, "South"), (2, "South")}
-    for most in (10_000, 1):
+    for most in (200_000, 1):
         monkeypatch.setattr(rule_sets, "MOST", most)
         assert {tuple(r) for r in quality.bank_name(texts, banks).collect()} == want
     assert quality.bank_name(texts, banks.limit(0)).count() == 0
