@@ -1,11 +1,11 @@
 """Packing of documents into sequences of at most `capacity` tokens by swap-based local search.
 
 How many pieces there are of each length, 1 to capacity, is all that packing needs: at most `capacity` numbers, however
-many documents. Bins of equal content are one class with a multiplicity, so that planning takes the same work at any
-input size. The search starts from one document per bin and raises the sum of squared fills until bins empty: first all
+many documents. Bins of equal content are one class with a multiplicity. The search starts from one document per bin and raises the sum of squared fills until bins empty: first all
 documents of one bin move to another at once, where two bins fit into one; then documents move or are exchanged (one for
-one, two for one, one for two) between underfull bins. Spark then deals every piece its place: the rank among pieces of
-its length, counted in salted buckets, names the bin.
+one, two for one, one for two) between underfull bins, in a scaled copy of the problem before the problem itself, within
+a stated effort: planning takes bounded work at any input size. Spark then deals every piece its place: the rank among pieces of
+its length, counted in buckets that rows (not ids) are dealt to, names the bin.
 
 Null and empty texts are documents of no ids and so pieces of length 1 (the closing id 0). A longer text is cut into
 full pieces from its end; its first piece takes the rest. Repeated rows are packed as often as they occur. Further
@@ -30,6 +30,8 @@ from .tokens import encoder
 
 LOG = logging.getLogger(__name__)
 Bin = tuple[tuple[int, int], ...]  # (length, copies), longest first
+EFFORT = 1_000_000  # pairs of classes that the search for exchanges looks at
+SCALE = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -137,17 +139,26 @@ def _exchange(giver: Bin, taker: Bin, room: int) -> tuple[int, tuple[int, ...],
     return best
 
 
-def exchange(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
+class Effort:
+    """How many pairs of classes a search may still look at for an exchange."""
+
+    def __init__(self, left: int = EFFORT):
+        self.left = left
+
+
+def exchange(bins: dict[Bin, int], capacity: int, effort: Effort | None = None) -> dict[Bin, int]:
     """Raise the sum of squared fills by moves and exchanges between underfull bins until none helps, or until there are
     no more bins than tokens need at least. Each step empties the least full bin further into one of the others, that
-    which raises the sum most. The sum grows with every step and is bounded, so the search ends.
+    which raises the sum most. The sum grows with every step and is bounded, so the search ends; it also ends, with the
+    bins as they are, when the effort is spent.
 
     Takers are tried by what they could gain at most, so that most need no look; a giver that no taker helps is looked
     at again only with bins that came up since."""
     bins = dict(bins)
     spare = sum(bins.values()) + -sum(_fill(b) * n for b, n in bins.items()) // capacity
     step, born, tried = 0, dict.fromkeys(bins, 0), {}
-    while spare > 0:
+    effort = effort or Effort()
+    while spare > 0 and effort.left > 0:
         under = sorted((b for b in bins if _fill(b) < capacity), key=_fill)
         best = None
         for giver in under:
@@ -162,6 +173,7 @@ def exchange(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
             for hope, taker in sorted(hopes, key=lambda h: -h[0]):
                 if best and hope <= best[0]:
                     break
+                effort.left -= 1
                 if found := _exchange(giver, taker, capacity - _fill(taker)):
                     gain = found[0] * (_fill(taker) - own + found[0])
                     if best is None or gain > best[0]:
@@ -187,9 +199,24 @@ def exchange(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
     return bins
 
 
-def local_search(counts: dict[int, int], capacity: int) -> dict[Bin, int]:
-    """Classes of bins for documents of these lengths, and how many there are of each."""
-    return exchange(move_all(counts, capacity), capacity)
+def local_search(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> dict[Bin, int]:
+    """Classes of bins for documents of these lengths, and how many there are of each.
+
+    Exchanges are searched for in SCALE-th parts first: of every class that many bins together count as one, what is left
+    of a class stays as it is, and what is found holds for all of them at once. The parts get finer until a part is a bin.
+    So most exchanges are found in a copy of the problem whose size doesn't depend on the number of documents; all
+    scales share one effort, which bounds the work."""
+    bins, left = move_all(counts, capacity), Effort(effort)
+    part = 1
+    while max(bins.values(), default=0) >= part * SCALE:
+        part *= SCALE
+    while part:
+        some = exchange({b: n // part for b, n in bins.items() if n >= part}, capacity, left)
+        bins = {b: n % part for b, n in bins.items() if n % part}
+        for b, n in some.items():
+            bins[b] = bins.get(b, 0) + n * part
+        part //= SCALE
+    return bins
 
 
 def places(bins: dict[Bin, int]) -> dict[str, np.ndarray]:
@@ -217,13 +244,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     """One row per piece with sequence_id and offset, the pieces' places; every sequence is filled from 0 without gaps."""
     spark = docs.sparkSession
     salt = parallelism(spark)
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salt)).cast("int")))
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt)).cast("int")))
     table = spark.sparkContext.broadcast(plan(pieces, capacity))
 
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(own).cast("long") - 1).join(base.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
