@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, longest: int = 10, least_sentences: int = 2,
     small_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64("text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     gone = repeated_spans(document_spans(rows, longest, least_sentences, least_words))
-    gone = materialize(gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
+    gone = materialize(gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("gone")))  # at most the ranges of one text, however often it stands there
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
