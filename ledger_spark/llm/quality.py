@@ -6,7 +6,8 @@ of pairs of neighbouring character classes, and how its words repeat, go through
 of the passages' codes is scored by a logistic output.
 
 The model is fitted on all passages of at most `per_class` labelled documents of each label, taken in the order of a hash
-of doc_id (their passages, 272 bytes each, come to the driver); scoring reads every passage of every text. Documents
+of doc_id (their passages, 272 bytes each, come to the driver; of rows that repeat an id one is taken, that of the
+smallest hash); scoring reads every passage of every text. Documents
 whose crc32(doc_id as text) mod 4 is 2 are held out of fitting.
 
 Null and empty texts are one passage of zeros and get a score like any other. Contradicting labels of a document are
@@ -154,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict[str
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", "quality")] + [pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "doc_id")
-    rows = chosen.select("doc_id", "text", "quality").mapInArrow(encode, "doc_id long, quality int, bag binary").collect()  # at most 2 * per_class documents
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("r")  # of rows that repeat an id, one
+    chosen = chosen.groupBy("doc_id").agg(first).select("doc_id", "r.text", "r.quality")
+    rows = chosen.mapInArrow(encode, "doc_id long, quality int, bag binary").collect()  # at most 2 * per_class documents
     rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
     kinds = {r["quality"] for r in rows}
     if len(kinds) < 2:
