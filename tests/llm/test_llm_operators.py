@@ -92,6 +92,35 @@ def test_local_search_empties_bins():
     assert beaten >= 5
 
 
+def test_local_search_is_bounded():
+    import time
+
+    rng = np.random.default_rng(1)
+    counts = {k: int(rng.integers(1, 10_000)) for k in range(300, 900)}  # three million documents
+    began = time.process_time()
+    moved = packing.move_all(counts, 2048)
+    out = packing.local_search(counts, 2048)
+    assert time.process_time() - began < 120
+    assert sum(out.values()) < sum(moved.values()) < sum(counts.values())  # exchanges take part
+    have = Counter()
+    for b, n in out.items():
+        assert packing._fill(b) <= 2048 and n > 0
+        for a, k in b:
+            have[a] += k * n
+    assert have == counts
+    few = packing.local_search(counts, 2048, effort=0)
+    assert few == moved
+
+
+def test_packing_of_equal_ids(spark):
+    docs = [(d, "one two three") for d in [None] * 300 + [7] * 300] + [(7, "four five six")] * 50
+    out = packing.pack(table(spark, docs).repartition(5), tokenizer_path(), capacity=32).collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(out) == 650 and all(sorted(o for o, _ in b) == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] for b in bins.values())
+
+
 def test_token_histogram(spark):
     docs = odd()
     sizes = sorted(len(ids_of(t)) for _, t in docs)
@@ -463,3 +492,28 @@ def test_contamination(spark):
         decontam.BLOCK = old
     assert decontam.contamination(table(spark, []), bench).count() == 0
     assert {r["n_hit"] for r in decontam.contamination(table(spark, docs), bench.limit(0)).collect()} == {0}
+
+
+def test_equal_rows_give_few_ranges(spark):
+    text = ". ".join(" ".join(words(k, 12)) for k in range(40))
+    docs = table(spark, [(1, text)] * 400 + [(2, text)] * 300)
+    out = {(r["doc_id"], r["n_removed"], r["n_sentences"]) for r in span_dedup.remove_repeats(docs).collect()}
+    n = next(n for d, _, n in out if d == 1)
+    assert out == {(1, 0, n), (2, n, n)}
+    rows = docs.selectExpr("xxhash64(text) AS row", "doc_id", "text")
+    gone = span_dedup.repeated_spans(span_dedup.document_spans(rows, 10, 2, 20)).groupBy("doc_id", "row").agg({"a": "count"}).collect()
+    assert len(gone) == 1  # one text's ranges, held once each by remove_repeats
+
+
+def test_learning_takes_one_row_of_an_id(spark):
+    many = table(spark, [(5, f"some text {k} " * 20) for k in range(500)] + [(k, "Good prose stands here." if k % 2 else "xx xx xx xx") for k in range(6, 40)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(5, 40)], "doc_id long, quality int, toxic int")
+    sizes = []
+    real = quality.fit
+    quality.fit = lambda bags, labels, **how: sizes.append(len(bags)) or real(bags, labels, epochs=1)
+    try:
+        quality.train(many, labels)
+    finally:
+        quality.fit = real
+    held = {k for k in range(5, 40) if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert sizes == [35 - len(held)]

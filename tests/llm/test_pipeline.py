@@ -42,7 +42,7 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     dirty = lambda k: " ".join(words(k, 40) + item)
     docs = [
         (None, text(1)), (None, dirty(2)), (None, text(3)), (5, text(4)), (5, dirty(5)), (5, text(6)), (7, near(7, 30)), (8, near(7, 50)), (8, text(8)), (8, text(9)),
-        (None, near(10, 20)), (11, near(10, 60)), (12, text(12)), (12, text(12)), (13, text(1)), (14, ""), (15, None), (None, near(13, 10)), (None, near(14, 10)), (16, near(14, 70)), (9, near(7, 40)),
+        (None, near(10, 20)), (11, near(10, 60)), (12, text(12)), (12, text(12)), (13, text(1)), (14, ""), (15, None), (15, ""), (None, near(13, 10)), (None, near(14, 10)), (16, near(14, 70)), (9, near(7, 40)),
     ]
     table(spark, docs).coalesce(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
