@@ -169,7 +169,7 @@ def type_cells(rows: DataFrame, year: Value) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("pos", "text", "amount", "date", "lead", "rest")))
     packed = joined.groupBy("doc_id", "row_idx").agg(F.transform(ordered, lambda c: F.struct(c["text"], c["amount"], c["date"], c["lead"], c["rest"])).alias("typed"))
     empty = F.array().cast("array<struct<text:string,amount:double,date:date,lead:date,rest:string>>")
-    return rows.join(packed, ["doc_id", "row_idx"], "left").withColumn("typed", F.coalesce("typed", empty))
+    return rows.join(packed.hint("merge"), ["doc_id", "row_idx"], "left").withColumn("typed", F.coalesce("typed", empty))
 
 
 AMBIGUOUS = r"^([0-9]{1,2})[/.-]([0-9]{1,2})(?:[/.-][0-9]{2,4})?$"

@@ -19,7 +19,7 @@ def word_cells(words: DataFrame) -> DataFrame:
     """Words with line (from 0 in each page), cell (from 0 in each line): words whose tops fall into one bin are a line,
     bins are half the (upper) median height of the page's words; a gap of 2 % of the page's width starts a cell."""
     heights = words.groupBy(*PAGE).agg(upper_median(F.collect_list(F.col("bottom") - F.col("top"))).alias("h"))
-    binned = words.join(heights, PAGE).withColumn("bin", F.greatest(F.lit(4.0), F.col("h") * 0.5)).withColumn("y", F.rint(F.col("top") / F.col("bin")).cast("long"))
+    binned = words.join(heights.hint("merge"), PAGE).withColumn("bin", F.greatest(F.lit(4.0), F.col("h") * 0.5)).withColumn("y", F.rint(F.col("top") / F.col("bin")).cast("long"))
     line = Window.partitionBy(*PAGE, "y").orderBy("x0", "word_idx")
     gap = F.col("x0") - F.lag("x1").over(line) > F.greatest(F.lit(12.0), F.coalesce("page_width", F.lit(612.0)) * 0.02)
     celled = binned.withColumn("new", F.when(gap, 1).otherwise(0)).withColumn("cell", F.sum("new").over(line))
@@ -89,8 +89,8 @@ def lines_to_rows(lines: DataFrame) -> DataFrame:
     word = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     has = lambda w: F.max((word == w).cast("int"))
     heads = grouped.groupBy(*PAGE, "grp").agg(has("date").alias("d"), has("description").alias("s"), F.greatest(has("additions"), has("subtractions")).alias("a")).filter("d = 1 AND s = 1 AND a = 1").groupBy(*PAGE).agg(F.min("grp").alias("head"))
-    labels = grouped.join(heads, PAGE).filter("grp = head").groupBy(*PAGE, "head").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "line_idx"))), lambda a: a["x"]).alias("anchors"))
-    each = grouped.withColumn("text", stripped(F.col("text"))).filter("text <> ''").join(labels, PAGE, "left")
+    labels = grouped.join(heads.hint("merge"), PAGE).filter("grp = head").groupBy(*PAGE, "head").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "line_idx"))), lambda a: a["x"]).alias("anchors"))
+    each = grouped.withColumn("text", stripped(F.col("text"))).filter("text <> ''").join(labels.hint("merge"), PAGE, "left")
     aligned = F.coalesce(F.col("grp") >= F.col("head"), F.lit(False))
     slot = F.array_min(F.transform("anchors", lambda a, i: F.struct(F.abs(a - F.col("x")).alias("off"), i.alias("i"))))["i"]
     cells = each.withColumn("aligned", aligned).withColumn("slot", F.when(F.col("aligned"), slot)).groupBy(*PAGE, "grp").agg(F.first("aligned").alias("aligned"), F.first(F.size("anchors")).alias("k"), F.sort_array(F.collect_list(F.struct("x", "line_idx", "text", "slot"))).alias("items"))

@@ -98,7 +98,7 @@ def balance_place(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """doc_id, balance_idx: the column mapped as balance, else the one after the last mapped column if at least half of
     the first 30 rows after the header have it."""
     roles = F.col("roles")
-    data = rows.join(layout.select("doc_id", "header_idx", "roles"), "doc_id").filter(F.col("row_idx") > F.col("header_idx"))
+    data = rows.join(layout.select("doc_id", "header_idx", "roles").hint("merge"), "doc_id").filter(F.col("row_idx") > F.col("header_idx"))
     nth = data.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_idx"))).filter("n <= 30")
     last = F.coalesce(F.array_max(F.map_values(roles)), F.lit(-1))
     each = nth.groupBy("doc_id").agg(F.first("roles").alias("roles"), F.avg((F.size("cells") > last + 1).cast("double")).alias("wide"))
@@ -175,9 +175,9 @@ def sniffed(rows: DataFrame, block_marks: str = r"^$", section_marks: str = r"^$
 def layouts(rows: DataFrame) -> DataFrame:
     """One row per document: header_idx (0 if none was found), header_found, roles, format."""
     found = header_rows(rows)
-    docs = rows.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("header_idx", F.lit(0)).alias("header_idx"), F.col("header_idx").isNotNull().alias("header_found"))
+    docs = rows.select("doc_id").distinct().join(found.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("header_idx", F.lit(0)).alias("header_idx"), F.col("header_idx").isNotNull().alias("header_found"))
     heads = rows.select("doc_id", F.col("row_idx").alias("header_idx"), "cells")
-    out = docs.join(heads, ["doc_id", "header_idx"], "left").withColumn("roles", column_roles(F.coalesce("cells", F.array().cast("array<string>")))).drop("cells")
+    out = docs.join(heads.hint("merge"), ["doc_id", "header_idx"], "left").withColumn("roles", column_roles(F.coalesce("cells", F.array().cast("array<string>")))).drop("cells")
     return out.withColumn("format", format_of(F.col("roles")))
 
 

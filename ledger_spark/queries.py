@@ -595,10 +595,14 @@ def scanned(spark, sf_dir):
     return layout.ocr_lines(fx.scanned_lines(fx.statement_rows(fx.ledger(spark, sf_dir), "additions_subtractions")))
 
 
-@query(f"{ADDED} SELECT statement_id AS doc_id, count(*) AS n_groups, sum(len(list_filter(string_split(line, '|'), lambda x: x <> '')))::BIGINT AS n_lines FROM l GROUP BY 1")
+PLACED = """w AS (SELECT statement_id, r, unnest(range(len(string_split(line, '|')))) AS c, unnest(string_split(line, '|')) AS t FROM l),
+p AS (SELECT statement_id AS doc_id, CAST(r // 100 + 1 AS INT) AS page_no, CAST(row_number() OVER (PARTITION BY statement_id, r // 100 ORDER BY r, c) - 1 AS INT) AS line_idx, dense_rank() OVER (PARTITION BY statement_id, r // 100 ORDER BY r) - 1 AS grp, r, c, t FROM w WHERE t <> '')"""
+
+
+@query(f"{ADDED}, {PLACED} SELECT doc_id, page_no, grp::BIGINT AS grp, string_agg(t, '|' ORDER BY line_idx) AS texts FROM p GROUP BY doc_id, page_no, grp")
 def C3_grouped_lines(spark, sf_dir):
-    each = layout.grouped_lines(scanned(spark, sf_dir)).groupBy("doc_id", "page_no", "grp").agg(F.count("*").alias("n"))
-    return each.groupBy("doc_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_lines"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda l: l["text"])
+    return layout.grouped_lines(scanned(spark, sf_dir)).groupBy("doc_id", "page_no", F.col("grp").cast("long").alias("grp")).agg(F.array_join(texts, "|").alias("texts"))
 
 
 @query(f"{ADDED} SELECT statement_id AS doc_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY r) - 1 AS INT) AS row_idx, line FROM l")
@@ -606,10 +610,10 @@ def C4_lines_to_rows(spark, sf_dir):
     return layout.lines_to_rows(scanned(spark, sf_dir)).select("doc_id", "row_idx", F.array_join("cells", "|").alias("line"))
 
 
-@query(f"""{ADDED}, w AS (SELECT statement_id, r, unnest(range(len(string_split(line, '|')))) AS c, unnest(string_split(line, '|')) AS t FROM l)
-SELECT statement_id AS doc_id, count(*) AS n, sum(400 * c + 4 * length(t))::DOUBLE AS x, sum(20 * (r % 100) + 5)::DOUBLE AS y, 10.0::DOUBLE AS h FROM w WHERE t <> '' GROUP BY 1""")
+@query(f"""{ADDED}, {PLACED} SELECT doc_id, page_no, line_idx, t AS text, (400 * c + 4 * length(t))::DOUBLE AS x, (20 * (r % 100) + 5)::DOUBLE AS y, 10.0::DOUBLE AS h, 0.9::DOUBLE AS score,
+(400 * c)::DOUBLE AS x0, (20 * (r % 100))::DOUBLE AS top, (400 * c + 8 * length(t))::DOUBLE AS x1, (20 * (r % 100) + 10)::DOUBLE AS bottom FROM p""")
 def C5_ocr_lines(spark, sf_dir):
-    return scanned(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("h").alias("h"))
+    return scanned(spark, sf_dir)
 
 
 def once_each(text: str) -> str:
