@@ -22,7 +22,9 @@ Steps 3 to 5 are done twice. First each set is in one tile only, its smallest le
 becomes few components with each array sent once. Then all tiles meet, and only pairs of different components that have
 not met are compared: every pair that shares a prefix shingle is in one component or has been compared.
 
-No pair leaves a tile before it is known to be linked, so no table here grows with the square of a group.
+No pair leaves a tile before it is known to be linked. A band of more than a tile's rows stands in one tile for each pair
+of its parts, so rows of a leader whose band holds k of them are copied k / TILE times; copies without a partner go in
+the first two passes, before signatures and arrays are joined.
 
 Null and wordless texts have empty sets and no links. A null doc_id is smaller than any other. Repeated rows are equal
 sets, each with its own result row. An empty table gives no rows.
