@@ -161,7 +161,8 @@ def judged_by_stripes(urls: DataFrame, verdicts: dict[str, str], default: str, m
     spark = urls.sparkSession
     universe = urls.select(F.explode("keys").alias("key")).withColumn("h", hashed("key", seed))
     keys = urls.agg(F.sum(F.size("keys"))).first()[0] or 0
-    stripes = max(1, math.ceil(6 * len(verdicts) / most_bytes))  # under 48 bits a rule
+    size = sum(len(r.encode()) + 6 for r in verdicts)  # the strings, of which a stripe's are broadcast, and under 48 bits a rule
+    stripes = max(1, math.ceil(size / most_bytes))
     judged = urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string"))
     for stripe in range(stripes):
         mine = F.pmod("h", F.lit(stripes)) == stripe
