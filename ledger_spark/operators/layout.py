@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledger_spark import rules
 from ledger_spark.functions.cells import stripped
 from ledger_spark.functions.text import clean_cell
 
@@ -110,9 +111,8 @@ def transaction_tables(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys of tables that look like transactions: date, detail and amount words in the first 30 rows, or three rows with
     a date and money."""
     line = F.lower(F.array_join("cells", " ", ""))
-    words = {"d": r"\b(date|posted|transaction date)\b", "t": r"\b(description|detail|details|transaction|activity|amount)\b", "a": r"\b(amount|debit|credit|withdrawal|deposit|balance)\b"}
-    data = line.rlike(r"\b\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\b") & line.rlike(r"\(?\$?\s*\d[\d,]*\.\d{2}-?\)?")
-    each = rows.groupBy(*key).agg(*(F.bool_or((F.col("row_idx") < 30) & line.rlike(p)).alias(n) for n, p in words.items()), F.count_if(data).alias("n_data"))
+    data = line.rlike(rules.TABLE_DAY) & line.rlike(rules.TABLE_MONEY)
+    each = rows.groupBy(*key).agg(*(F.bool_or((F.col("row_idx") < 30) & line.rlike(p)).alias(n) for n, p in rules.TABLE_WORDS.items()), F.count_if(data).alias("n_data"))
     return each.filter("(d AND t AND a) OR n_data >= 3").select(*key)
 
 

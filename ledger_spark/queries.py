@@ -246,9 +246,16 @@ def G10_marker_count(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.markers(F.encode("html", "UTF-8"), "<p>").alias("saves"), text.markers(F.encode(ended, "UTF-8"), "%%EOF").alias("eof_saves"))
 
 
-@query(f"SELECT doc_id, len(list_filter({rules.BANK_WORDS}, lambda x: contains(lower(coalesce(text, '')), x)))::INT AS bank_words FROM documents")
+DRAFTED = "coalesce(text, '') || CASE doc_id % 7 WHEN 1 THEN ' a SAMPLE, void' WHEN 2 THEN ' not an official statement' WHEN 3 THEN ' avoid drafts' ELSE '' END"
+DRAFTS = " + ".join("CASE WHEN regexp_matches(t, '{}') THEN 1 ELSE 0 END".format(p.replace("'", "''")) for p in rules.DRAFT_WORDS)
+
+
+@query(f"SELECT doc_id, len(list_filter({rules.BANK_WORDS}, lambda x: contains(t, x)))::INT AS bank_words, ({DRAFTS})::INT AS drafts FROM (SELECT doc_id, lower({DRAFTED}) AS t FROM documents)")
 def G11_text_signals(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", quality.text_signals(F.coalesce("text", F.lit("")))[1].alias("bank_words"))
+    k = F.col("doc_id") % 7
+    more = F.when(k == 1, " a SAMPLE, void").when(k == 2, " not an official statement").when(k == 3, " avoid drafts").otherwise("")
+    drafts, words = quality.text_signals(F.concat(F.coalesce("text", F.lit("")), more))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", words.alias("bank_words"), F.size(drafts).alias("drafts"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'canva' ELSE '' END AS editors FROM documents")
@@ -495,9 +502,14 @@ def D4_split_date(spark, sf_dir):
     return dates(spark, sf_dir).select("l_orderkey", "l_linenumber", date.alias("date"), rest.alias("rest"))
 
 
-@query(f"{WITH} SELECT statement_id AS doc_id, CAST(year(min(date)) AS INT) AS year, 1 AS month FROM ledger GROUP BY 1")
+@query(f"{WITH} SELECT statement_id AS doc_id, CAST(year(min(date)) AS INT) AS year, CAST(month(min(date)) AS INT) AS month FROM ledger GROUP BY 1")
 def D5_period(spark, sf_dir):
-    return structure.period(fx.mixed_rows(fx.ledger(spark, sf_dir)))
+    """The month of a statement's first day, printed in one of four forms."""
+    first = fx.ledger(spark, sf_dir).groupBy(F.col("statement_id").alias("doc_id")).agg(F.min("date").alias("d"))
+    k = F.col("doc_id") % 4
+    line = F.when(k == 0, F.date_format("d", "MM/dd/yyyy")).when(k == 1, F.concat(F.lit("period "), F.date_format("d", "MM-yyyy"))).when(k == 2, F.concat(F.lit("of "), F.date_format("d", "yyyy/MM"))).otherwise(F.concat(F.lit("from "), F.date_format("d", "M/d/yy")))
+    rows = first.select("doc_id", F.posexplode(F.array(F.array(F.lit("Plain Bank")), F.array(F.lit(""), line), F.array(F.lit("01/01/1971")))).alias("row_idx", "cells"))
+    return structure.period(rows)
 
 
 @query("SELECT l_orderkey, l_linenumber, TRUE AS money, 2 AS n, round(l_extendedprice, 2) AS first, -round(l_quantity, 2) AS second FROM lineitem")
