@@ -502,10 +502,10 @@ def D4_split_date(spark, sf_dir):
     return dates(spark, sf_dir).select("l_orderkey", "l_linenumber", date.alias("date"), rest.alias("rest"))
 
 
-@query(f"{WITH} SELECT statement_id AS doc_id, CAST(year(min(date)) AS INT) AS year, CAST(month(min(date)) AS INT) AS month FROM ledger GROUP BY 1")
+@query(f"{WITH} SELECT statement_id AS doc_id, CAST(year(min(date)) + 10 AS INT) AS year, CAST(month(min(date)) AS INT) AS month FROM ledger GROUP BY 1")
 def D5_period(spark, sf_dir):
-    """The month of a statement's first day, printed in one of four forms."""
-    first = fx.ledger(spark, sf_dir).groupBy(F.col("statement_id").alias("doc_id")).agg(F.min("date").alias("d"))
+    """The month of a statement's first day, ten years later, printed in one of four forms."""
+    first = fx.ledger(spark, sf_dir).groupBy(F.col("statement_id").alias("doc_id")).agg(F.add_months(F.min("date"), 120).alias("d"))
     k = F.col("doc_id") % 4
     line = F.when(k == 0, F.date_format("d", "MM/dd/yyyy")).when(k == 1, F.concat(F.lit("period "), F.date_format("d", "MM-yyyy"))).when(k == 2, F.concat(F.lit("of "), F.date_format("d", "yyyy/MM"))).otherwise(F.concat(F.lit("from "), F.date_format("d", "M/d/yy")))
     rows = first.select("doc_id", F.posexplode(F.array(F.array(F.lit("Plain Bank")), F.array(F.lit(""), line), F.array(F.lit("01/01/1971")))).alias("row_idx", "cells"))
