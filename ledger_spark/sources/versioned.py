@@ -6,7 +6,7 @@ writer has made that version. Readers take the last marker and join its manifest
 prunes all other folders before it reads: they see the old or the new state, never a mixture. An upsert rewrites the parts
 of users that it touches; the others keep theirs. Only markers pass through the driver.
 
-user_id must be given; rows without one are refused.
+A small user's part is written by one task, a large one's by several. user_id must be given; rows without one are refused.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def upsert(arrived: DataFrame, path: str, key: str = "statement_id", gone: DataF
         own = _rows(spark, path, last.join(touched, "user_id", "left_semi"))
         rows = own.join(ids.hint("merge"), ["user_id", key], "left_anti").select(*arrived.columns).unionByName(arrived)
     rows = stored(rows.withColumn("part", F.concat_ws("_", F.lit(write), F.col("user_id").cast("string"))))
-    rows.repartition("part", key).write.mode("append").partitionBy("part").parquet(f"{path}/data")
+    rows.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(f"{path}/data")
     manifest = rows.select("user_id", "part", F.lit(1).alias("live")).distinct()
     if last is not None:
         manifest = last.join(touched, "user_id", "left_anti").select(*manifest.columns).unionByName(manifest)
