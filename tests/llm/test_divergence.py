@@ -48,6 +48,7 @@ def run(spark, docs, **how):
 def test_divergence_equals_brute_force(spark, monkeypatch, top, buffer, cells):
     monkeypatch.setattr(divergence, "BUFFER", buffer)
     monkeypatch.setattr(divergence, "CELLS", cells)
+    monkeypatch.setattr(divergence, "SHORT", 500_000 if top == 5 else 0)
     texts = [t for _, t in odd()] + ["Über ÜBER über straße " * 3, "a b c", "A-B_c9d", None, ""]
     docs = [(t, ["en", "de", None][k % 3], ["s1", "s2", "s3", None][k % 4]) for k, t in enumerate(texts * 2)]
     docs += [(" ".join(w.replace("1", "a").replace("5", "b") for w in words(k, 80)), "en", "s1" if k % 3 else "hot") for k in range(40)]
