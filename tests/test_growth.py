@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledger_spark import fixtures as fx
 from ledger_spark.functions import cells
-from ledger_spark.operators import extract
+from ledger_spark.operators import dedupe, extract
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,3 +33,14 @@ def test_plain_forms_are_typed_as_all_others(spark, raw, amount, date, lead, res
     rows = spark.createDataFrame([(1, 0, [raw])], "doc_id long, row_idx int, cells array<string>")
     t = cells.type_cells(rows, F.lit(2001)).first()["typed"][0]
     assert (t["amount"], t["date"] and str(t["date"]), t["lead"] and str(t["lead"]), t["rest"]) == (amount, date, lead, rest)
+
+
+def test_similarity_does_not_repeat_rows_for_each_cent(spark):
+    day = "DATE'2020-01-01'"
+    a = spark.sql(f"SELECT 1L AS statement_id, CAST(id AS INT) AS txn_idx, {day} AS date, 'same words' AS description, CAST(NULL AS DECIMAL(14,2)) AS debit, CAST(id / 100 AS DECIMAL(14,2)) AS credit FROM range(1, 321)")
+    b = a.withColumn("statement_id", F.lit(2).cast("long")).withColumn("credit", (F.col("credit") + 0.01).cast("decimal(14,2)"))
+    rows = dedupe._compared(a)
+    assert dedupe._sides(rows, rows)[0].count() < 1.2 * 320
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): r["similarity"] for r in dedupe.transaction_similarity(pairs, a.unionByName(b)).collect()}
+    assert got == {(1, 2): 1.0, (2, 1): 1.0, (1, 3): 0.0}  # a cent apart, over the ends of all bands
