@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledger_spark import fixtures as fx
+from ledger_spark import queries
 from ledger_spark.functions import cells
 from ledger_spark.operators import dedupe, extract
 
@@ -44,3 +45,17 @@ def test_similarity_does_not_repeat_rows_for_each_cent(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a long, b long")
     got = {(r["a"], r["b"]): r["similarity"] for r in dedupe.transaction_similarity(pairs, a.unionByName(b)).collect()}
     assert got == {(1, 2): 1.0, (2, 1): 1.0, (1, 3): 0.0}  # a cent apart, over the ends of all bands
+
+
+def test_pages_without_a_header(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        columns = "* REPLACE (1 + o_custkey % 3 AS o_custkey)" if name == "orders" else "*"  # statements of several pages
+        con.execute(f"COPY (SELECT {columns} FROM read_parquet('{DATA}/{name}.parquet')) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    queries.QUERIES["C4_lines_to_rows"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    want, got = queries.SQL["C4_lines_to_rows"], f"SELECT doc_id, row_idx, line FROM read_parquet('{tmp_path}/out/*.parquet')"
+    assert con.sql(f"SELECT count(*) FROM ({want}) WHERE row_idx > 100").fetchall()[0][0] > 0
+    assert not con.sql(f"({want}) EXCEPT ALL {got}").fetchall() and not con.sql(f"{got} EXCEPT ALL ({want})").fetchall()
