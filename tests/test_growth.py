@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledger_spark import fixtures as fx
 from ledger_spark import queries
 from ledger_spark.functions import cells
-from ledger_spark.operators import dedupe, extract
+from ledger_spark.operators import dedupe, extract, layout, rule_sets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +59,16 @@ def test_pages_without_a_header(spark, tmp_path):
     want, got = queries.SQL["C4_lines_to_rows"], f"SELECT doc_id, row_idx, line FROM read_parquet('{tmp_path}/out/*.parquet')"
     assert con.sql(f"SELECT count(*) FROM ({want}) WHERE row_idx > 100").fetchall()[0][0] > 0
     assert not con.sql(f"({want}) EXCEPT ALL {got}").fetchall() and not con.sql(f"{got} EXCEPT ALL ({want})").fetchall()
+
+
+def test_boxes_stay_with_their_document(spark):
+    words = spark.createDataFrame([(1, 1, 0, "a", 0.0, 8.0, 0.0, 10.0, 600.0)], "doc_id long, page_no int, word_idx int, text string, x0 double, x1 double, top double, bottom double, page_width double")
+    text = plan(layout.layout_report(words.repartition("doc_id")))
+    assert text.count("Exchange") == 1 and "Join" not in text and "Expand" not in text
+
+
+def test_few_rules_make_no_rows_of_trigrams(spark):
+    texts = spark.createDataFrame([(1, "the first example bank of all"), (2, "none"), (3, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([("example bank",), ("no",), ("",)], "needle string")
+    got = rule_sets.held(texts, needles)
+    assert {tuple(r) for r in got.collect()} == {(1, "example bank"), (1, ""), (2, "no"), (2, "")} and "regexp_extract_all" not in plan(got)
