@@ -32,7 +32,12 @@ def save_searchable(txns: DataFrame, path: str, blocks: int = 200) -> None:
     rows = txns.repartitionByRange(blocks, "description", "file_name", "date").withColumn("block", F.spark_partition_id())
     rows.write.partitionBy("block").parquet(f"{path}/rows")
     spark = txns.sparkSession
-    grams = spark.read.parquet(f"{path}/rows").select("block", F.explode(F.array_distinct(F.flatten(F.array(*map(_trigrams, _texts()))))).alias("gram")).distinct()
+    stored_rows = spark.read.parquet(f"{path}/rows")
+    texts = None
+    for text in _texts():  # each different text of a block is cut once
+        own = stored_rows.select("block", text.alias("text")).distinct()
+        texts = own if texts is None else texts.unionByName(own)
+    grams = texts.select("block", F.explode(F.array_distinct(_trigrams(F.col("text")))).alias("gram")).distinct()
     grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
 
 
