@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledger_spark import fixtures as fx
 from ledger_spark import queries
 from ledger_spark.functions import cells
-from ledger_spark.operators import dedupe, extract, layout, rule_sets
+from ledger_spark.operators import dedupe, extract, layout, rule_sets, structure
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,3 +72,45 @@ def test_few_rules_make_no_rows_of_trigrams(spark):
     needles = spark.createDataFrame([("example bank",), ("no",), ("",)], "needle string")
     got = rule_sets.held(texts, needles)
     assert {tuple(r) for r in got.collect()} == {(1, "example bank"), (1, ""), (2, "no"), (2, "")} and "regexp_extract_all" not in plan(got)
+
+
+PARSERS = [extract.signed_amount, extract.multicolumn, extract.standard, extract.repeated_blocks, extract.sectioned, extract.additions_subtractions, extract.typed_signed]
+
+
+def evaluated(df) -> int:
+    """How often a plan types rows: as often as it tests for both plain amounts and numbers that hold no date."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"{cells.PLAIN_AMOUNT}) AND ")
+
+
+@pytest.mark.parametrize("parser", PARSERS)
+def test_filters_do_not_type_cells_again(spark, parser):
+    rows = spark.createDataFrame([(1, 0, ["Date", "Amount"]), (1, 1, ["01/02/2003", "1.00"])], "doc_id long, row_idx int, cells array<string>")
+    prepared = extract.prepare(rows, 2000)
+    assert evaluated(prepared) == evaluated(parser(prepared)) == 1
+
+
+def test_coverage_types_cells_once(spark):
+    rows = spark.createDataFrame([("a", ["01/02/2003", "1.00", "Jan 5", "13/13/2003", None])], "k string, cells array<string>")
+    out = cells.coverage(cells.type_cells(rows, F.lit(2000)), "k")
+    assert evaluated(out) == 1
+    got = {r["column"]: (r["amounts"], r["dates"], r["ambiguous"]) for r in out.collect()}
+    assert got == {0: (0.0, 1.0, 1.0), 1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0)}
+
+
+def test_dates_of_all_months_without_a_try(spark):
+    days = spark.createDataFrame([(y, m, d) for y in (0, 1900, 2000, 10000) for m in (0, 2, 4, 12, 13) for d in (0, 1, 28, 29, 30, 31, 32)] + [(None, 1, 1), (2000, None, 1), (2000, 1, None)], "y int, m int, d int")
+    tried = F.try_make_timestamp("y", "m", "d", F.lit(0), F.lit(0), F.lit(0.0)).cast("date")
+    assert days.filter(~cells.make_date(F.col("y"), F.col("m"), F.col("d")).eqNullSafe(tried)).count() == 0
+
+
+def test_a_header_cell_meets_each_role_once(spark):
+    plan_ = spark.range(1).select(structure.column_roles(F.array(F.lit("Post Date"), F.lit("Date"), F.lit(""), F.col("id").cast("string"), F.lit("Amount"))).alias("r"))
+    assert plan_._jdf.queryExecution().analyzed().toString().count("narration") == 1 and plan_.first()["r"] == {"date": 0, "amount": 4}
+
+
+def test_fragments_read_the_ledger_once(spark):
+    assert plan(queries.QUERIES["F8_fragmented"](spark, DATA)).count("lineitem.parquet") == 1
+
+
+def test_the_history_of_a_report_is_made_once(spark):
+    assert "lineitem.parquet" not in plan(queries.QUERIES["B8_report"](spark, DATA))
