@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledger_spark import fixtures as fx
-from ledger_spark import queries
+from ledger_spark import queries, rules
 from ledger_spark.functions import cells
 from ledger_spark.operators import dedupe, extract, layout, rule_sets, structure
 
@@ -114,3 +114,10 @@ def test_fragments_read_the_ledger_once(spark):
 
 def test_the_history_of_a_report_is_made_once(spark):
     assert "lineitem.parquet" not in plan(queries.QUERIES["B8_report"](spark, DATA))
+
+
+@pytest.mark.parametrize("parser, pattern", [(extract.standard, rules.TWO_COLUMN_DEBIT), (extract.sectioned, cells.MONEY_CELL), (extract.repeated_blocks, cells.MONEY_CELL)])
+def test_filters_do_not_repeat_what_they_ask_for(spark, parser, pattern):
+    rows = spark.createDataFrame([(1, 0, ["Date", "Amount"]), (1, 1, ["01/02/2003", "1.00"])], "doc_id long, row_idx int, cells array<string>")
+    nodes = parser(extract.prepare(rows, 2000))._jdf.queryExecution().optimizedPlan().toString().split("+- ")
+    assert any(pattern in n for n in nodes) and not any(pattern in n for n in nodes if n.startswith("Filter"))
