@@ -121,3 +121,9 @@ def test_filters_do_not_repeat_what_they_ask_for(spark, parser, pattern):
     rows = spark.createDataFrame([(1, 0, ["Date", "Amount"]), (1, 1, ["01/02/2003", "1.00"])], "doc_id long, row_idx int, cells array<string>")
     nodes = parser(extract.prepare(rows, 2000))._jdf.queryExecution().optimizedPlan().toString().split("+- ")
     assert any(pattern in n for n in nodes) and not any(pattern in n for n in nodes if n.startswith("Filter"))
+
+
+@pytest.mark.parametrize("name", ["G5_general_numbers", "G6_general_ids"])
+def test_labelled_documents_are_never_shuffled(spark, name):
+    text = plan(queries.QUERIES[name](spark, DATA))
+    assert text.count("Exchange") == 1 and text.index("Exchange") > text.index("Generate explode") and "customer.parquet" in text  # customers alone are dealt out
