@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_spark import rules
-from ledger_spark.functions.cells import bound, nonempty, stripped
+from ledger_spark.functions.cells import bound, nonempty, settled, stripped
 from ledger_spark.operators.quality import document_text
 from ledger_spark.operators.rule_sets import held, short
 from ledger_spark.sources.scratch import stored
@@ -14,18 +14,22 @@ from ledger_spark.sources.scratch import stored
 # Repairs of headers.
 REPAIRS = [("tran saction", "transaction"), ("trans action", "transaction"), ("desc ription", "description"), ("de script ion", "description"), ("amt", "amount")]
 PATTERN_REPAIRS = [(r"\bsaction\s+detail\b", "transaction detail"), (r"\bription\b", "description"), (r"amount\s*\(?\$?\)?", "amount"), (r"balance\s*\(?\$?\)?", "balance")]
+#: what every cell holds that a repair changes
+BROKEN = "|".join(broken for broken, _ in REPAIRS) + r"|\bsaction\s|\bription\b|(?:amount|balance)[\s($)]"
 
 
 def header_cells(cells: Column) -> Column:
     """Header cells in lower case, with words that extraction broke put together and "date desc..." spread over two."""
 
     def repaired(cell: Column) -> Column:
-        out = F.lower(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " ")))
-        for broken, whole in REPAIRS:
-            out = F.replace(out, F.lit(broken), F.lit(whole))
-        for pattern, whole in PATTERN_REPAIRS:
-            out = F.regexp_replace(out, pattern, whole)
-        return out
+        def fixed(out: Column) -> Column:
+            for broken, whole in REPAIRS:
+                out = F.replace(out, F.lit(broken), F.lit(whole))
+            for pattern, whole in PATTERN_REPAIRS:
+                out = F.regexp_replace(out, pattern, whole)
+            return out
+
+        return bound(F.lower(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))), lambda s: F.when(s.rlike(BROKEN), fixed(s)).otherwise(s))
 
     def spread(all_: Column) -> Column:
         at = lambda i: F.coalesce(F.get(all_, i), F.lit(""))
@@ -45,19 +49,23 @@ def header_cells(cells: Column) -> Column:
 def header_score(cells: Column) -> Column:
     """Header words, with a bonus for a date beside a description and less for cells that are data."""
 
-    def scored(text: Column) -> Column:
-        words = sum((F.when(text.contains(w) & text.rlike(rf"\b{w}\b"), 1).otherwise(0) for w in rules.HEADER_WORDS), F.lit(0))
-        return words + F.when(text.rlike(r"\bdate\b") & text.rlike(r"\b(?:description|activity|particulars)\b"), 3).otherwise(0)
+    def scored(words: Column) -> Column:
+        beside = F.arrays_overlap(words, F.array(*map(F.lit, ("description", "activity", "particulars"))))
+        return F.size(words) + F.when(F.array_contains(words, "date") & beside, 3).otherwise(0)
 
     bare = F.transform(cells, lambda c: stripped(F.coalesce(c, F.lit(""))))
     dated = F.transform(bare, lambda c: c.rlike(rules.DATE_LIKE) & (F.length(c) < 12))
     first = F.array_position(dated, F.lit(True))
     amounts = F.size(F.filter(bare, lambda c, i: c.rlike(rules.AMOUNT_LIKE) & ((first == 0) | (i < first - 1))))
-    return F.get(F.transform(F.array(F.array_join(header_cells(cells), " ")), scored), F.lit(0)) - amounts - F.when(first > 0, 2).otherwise(0)
+    words = F.regexp_extract_all(F.array_join(header_cells(cells), " "), F.lit(rf"\b(?:{'|'.join(rules.HEADER_WORDS)})\b"), F.lit(0))
+    return bound(F.array_distinct(words), scored) - amounts - F.when(first > 0, 2).otherwise(0)
 
 
-#: what header words and their repairs are made of: each word in a header stems from at least one of these in its row
-STEMS = "d(?:ate|e(?:sc|bit|posit|tails))|ription|s(?:cript|action|ubtractions)|c(?:redit|heck)|balance|p(?:articulars|osted)|withdrawal|a(?:m(?:oun)?t|dditions|ctivity)|narration|tran|effective"
+#: what header words and their repairs begin with: each word in a header stems from at least one of these in its row, at the
+#: edge of a word (a Kelvin sign is a k in lower case)
+STEMS = r"\b(?:d(?:ate|e(?:sc|bit|posit|tails))|ription|s(?:cript|action|ubtractions)|c(?:redit|hec[k\u212A])|balance|p(?:articulars|osted)|withdrawal|a(?:m(?:oun)?t|dditions|ctivity)|narration|tran|effective)"
+#: or from pairs that are spread over two cells wherever they stand
+PAIRS = r"date\s+tran|action\s+detail"
 
 
 def scored_header(first: int, least: int) -> Column:
@@ -66,17 +74,23 @@ def scored_header(first: int, least: int) -> Column:
     score = header_score(F.col("cells"))
     near = F.col("row_idx") < first
     if least >= 2:
-        near &= F.lower(F.array_join("cells", " ")).rlike(rf"(?s)(?:{STEMS}).*?(?:{STEMS})")
+        near &= F.array_join("cells", " ").rlike(rf"(?is){STEMS}.*?{STEMS}|{PAIRS}")
     return bound(F.when(near, score), lambda s: F.when(s >= least, F.struct(s.alias("score"), (-F.col("row_idx")).alias("at"))))
 
 
 def header_rows(rows: DataFrame, first: int = 80, least: int = 2) -> DataFrame:
     """doc_id, header_idx, score: the best of the first rows, the earliest of equals, if it scores enough."""
-    scored = rows.select("doc_id", scored_header(first, least).alias("s")).filter("s IS NOT NULL")
+    scored = settled(rows.select("doc_id", scored_header(first, least).alias("s")), "s").filter("s IS NOT NULL")
     best = scored.groupBy("doc_id").agg(F.max("s").alias("b"))
     return best.select("doc_id", (-F.col("b.at")).alias("header_idx"), F.col("b.score").alias("score"))
 
 
+def role_pattern(patterns: list[str]) -> str:
+    """One pattern for all; what every one of them begins with, the edge of a word, is looked for once."""
+    edge = r"\b"
+    return rf"{edge}(?:{'|'.join(p.removeprefix(edge) for p in patterns)})" if all(p.startswith(edge) for p in patterns) else "|".join(patterns)
+
+
 def column_roles(cells: Column) -> Column:
     """map role -> place: each header cell takes the first role in order that fits and is free."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
@@ -85,7 +99,7 @@ def column_roles(cells: Column) -> Column:
         free = F.get(F.filter(item["fits"], lambda r: ~F.map_contains_key(state, r)), F.lit(0))
         return bound(free, lambda role: F.when(role.isNotNull(), F.map_concat(state, F.create_map(F.coalesce(role, F.lit("none")), item["i"]))).otherwise(state))
 
-    fits = lambda c: F.array_compact(F.array(*(F.when(c.rlike("|".join(p)), F.lit(r)) for r, p in rules.ROLES.items())))  # noqa: E731  # a cell's roles, taken or not
+    fits = lambda c: F.array_compact(F.array(*(F.when(c.rlike(role_pattern(p)), F.lit(r)) for r, p in rules.ROLES.items())))  # noqa: E731  # a cell's roles, taken or not
     items = F.transform(header_cells(cells), lambda c, i: F.struct(F.when(c != "", fits(c)).alias("fits"), i.alias("i")))
     return F.aggregate(items, none, step)
 
@@ -104,8 +118,9 @@ def named_period() -> Column:
 
     def found(text: Column, dates: bool) -> Column:
         group = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
-        y = group(FULL_DAY, 3)
-        by_date = F.struct(F.when(y > 99, y).when(y < 70, y + 2000).otherwise(y + 1900).alias("year"), F.when(group(FULL_DAY, 1) <= 12, group(FULL_DAY, 1)).otherwise(group(FULL_DAY, 2)).alias("month"))
+        year = bound(group(FULL_DAY, 3), lambda y: F.when(y > 99, y).when(y < 70, y + 2000).otherwise(y + 1900))
+        month = bound(group(FULL_DAY, 1), lambda m: F.when(m <= 12, m).otherwise(group(FULL_DAY, 2)))
+        by_date = F.struct(year.alias("year"), month.alias("month"))
         tests = [(FULL_DAY, by_date)] if dates else []
         tests += [(MONTH_YEAR, F.struct(group(MONTH_YEAR, 2).alias("year"), group(MONTH_YEAR, 1).alias("month"))), (YEAR_MONTH, F.struct(group(YEAR_MONTH, 1).alias("year"), group(YEAR_MONTH, 2).alias("month")))]
         out = F.lit(None).cast("struct<year:int,month:int>")

@@ -127,3 +127,45 @@ def test_filters_do_not_repeat_what_they_ask_for(spark, parser, pattern):
 def test_labelled_documents_are_never_shuffled(spark, name):
     text = plan(queries.QUERIES[name](spark, DATA))
     assert text.count("Exchange") == 1 and text.index("Exchange") > text.index("Generate explode") and "customer.parquet" in text  # customers alone are dealt out
+
+
+def plainly_repaired(cell):
+    out = F.lower(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " ")))
+    for broken, whole in structure.REPAIRS:
+        out = F.replace(out, F.lit(broken), F.lit(whole))
+    for pattern, whole in structure.PATTERN_REPAIRS:
+        out = F.regexp_replace(out, pattern, whole)
+    return out
+
+
+def test_repairs_that_are_left_out_change_nothing(spark):
+    cells_ = ["AMT ($)", "Amount", "amount  (", "Balance$", "balance)", "balance due", "Tran saction", "saction  detail", "Desc ription", "ription", "de script ion", "xription", "samt", "Post  Date", None, "", " Credit\t", "AMOUNT(amt)"]
+    rows = spark.createDataFrame([([c],) for c in cells_], "cells array<string>")
+    assert rows.filter(F.get(structure.header_cells(F.col("cells")), F.lit(0)) != plainly_repaired(F.get("cells", F.lit(0)))).count() == 0
+
+
+def plainly_scored(cells_):
+    words = lambda t: sum((F.when(t.rlike(rf"\b{w}\b"), 1).otherwise(0) for w in rules.HEADER_WORDS), F.lit(0)) + F.when(t.rlike(r"\bdate\b") & t.rlike(r"\b(?:description|activity|particulars)\b"), 3).otherwise(0)
+    return cells.bound(F.array_join(structure.header_cells(cells_), " "), words)
+
+
+def test_rows_without_stems_are_no_headers(spark):
+    odd = [["Date", "Description"], ["update transfer"], ["update", "transfer"], ["chec\u212a", "POSTED"], ["de script ion", "AMT"], ["ription amount"], ["xdate", "xtran"], ["tran saction detail", "x"], ["trans  action details"], ["DEBITS CREDITS"], ["Post\nDate", "Balance ($)"], ["date date"], ["Statement", "item"], ["predate  trans action", ""], [None, "Date tran"]]
+    rows = spark.createDataFrame([(i, 0, c) for i, c in enumerate(odd)], "doc_id long, row_idx int, cells array<string>")
+    want = {r["doc_id"]: r["s"] for r in rows.select("doc_id", plainly_scored(F.col("cells")).alias("s")).collect() if r["s"] >= 2}
+    got = {r["doc_id"]: r["score"] for r in structure.header_rows(rows).collect()}
+    assert got == want and {0, 2, 3} <= set(got)
+
+
+def test_headers_are_scored_once(spark):
+    rows = spark.createDataFrame([(1, 0, ["Date", "Amount"])], "doc_id long, row_idx int, cells array<string>")
+    text = structure.header_rows(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("particulars|withdrawal") + text.count(r"particulars\b") == 1
+
+
+def test_roles_have_one_pattern_each(spark):
+    for patterns in rules.ROLES.values():
+        assert structure.role_pattern(patterns).count(r"\b(?:") >= 1 and len(structure.role_pattern(patterns)) < len("|".join(patterns)) + 8
+    odd = ["Post Date", "posted", "xdate", "Tran Code", "Chk #", "check #", "Withdrawals / Debits", "end bal", "paidout", "type", "Eff Date", "moneyin", "undated details"]
+    row = spark.range(1).select(*(F.array(*(F.lit(c.lower()).rlike(p) for c in odd)) for r in rules.ROLES.values() for p in ("|".join(r), structure.role_pattern(r)))).first()
+    assert row[0::2] == row[1::2]
