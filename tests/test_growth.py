@@ -169,3 +169,23 @@ def test_roles_have_one_pattern_each(spark):
     odd = ["Post Date", "posted", "xdate", "Tran Code", "Chk #", "check #", "Withdrawals / Debits", "end bal", "paidout", "type", "Eff Date", "moneyin", "undated details"]
     row = spark.range(1).select(*(F.array(*(F.lit(c.lower()).rlike(p) for c in odd)) for r in rules.ROLES.values() for p in ("|".join(r), structure.role_pattern(r)))).first()
     assert row[0::2] == row[1::2]
+
+
+def test_a_bound_value_is_put_into_no_array(spark):
+    bound = spark.range(3).select(cells.bound(F.col("id"), lambda x: x * x).alias("x"), cells.bound(F.lit(None).cast("int"), lambda x: F.coalesce(x, F.lit(7))).alias("n"))
+    assert "transform(" not in plan(bound) and [tuple(r) for r in bound.collect()] == [(0, 7), (1, 7), (4, 7)]
+
+
+def test_blocks_read_a_header_once(spark):
+    rows = spark.createDataFrame([(1, 0, ["Date", "Description", "Amt", "Date", "Description", "Amount"]), (1, 1, ["01/02/2003", "X", "1.00"])], "doc_id long, row_idx int, cells array<string>")
+    out = extract.repeated_blocks(extract.prepare(rows, 2000))
+    nodes = out._jdf.queryExecution().optimizedPlan().toString().split("+- ")
+    assert sum(n.count("tran saction") for n in nodes if n.startswith("Filter")) == 2  # tested for and repaired
+    assert [(r["row_idx"], r["description"]) for r in out.collect()] == [(1, "X")]
+
+
+def test_printed_statements_are_parsed_in_all_partitions(spark):
+    rows = queries.layout_rows(spark, DATA, "standard")
+    assert plan(rows).count("REPARTITION_BY_NUM") == 1 and plan(rows).count("hashpartitioning(statement_id") == 1
+    a, b = (fx.ledger(spark, DATA, spread=s) for s in (False, True))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
