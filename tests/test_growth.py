@@ -189,3 +189,13 @@ def test_printed_statements_are_parsed_in_all_partitions(spark):
     assert plan(rows).count("REPARTITION_BY_NUM") == 1 and plan(rows).count("hashpartitioning(statement_id") == 1
     a, b = (fx.ledger(spark, DATA, spread=s) for s in (False, True))
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_rows_without_repairs_are_read_as_they_are(spark):
+    text = structure.header_rows(spark.createDataFrame([(1, 0, ["Date", "Amount"])], "doc_id long, row_idx int, cells array<string>"))
+    assert structure.CHANGED in text._jdf.queryExecution().optimizedPlan().toString()
+    odd = [["Deposits", "and credits"], ["tran  saction", "check"], ["Date  Desc", "Amount"], ["date", "Tran"], ["saction\tdetail", "posted"], ["Balance", "Debits"], [None, "amt", "DATE"]]
+    rows = spark.createDataFrame([(c,) for c in odd], "cells array<string>")
+    every = F.array_join(structure.header_cells(F.col("cells")), " ")
+    wanted = F.array_distinct(F.regexp_extract_all(every, F.lit(rf"\b(?:{'|'.join(rules.HEADER_WORDS)})\b"), F.lit(0)))
+    assert rows.filter(~structure.header_words(F.col("cells")).eqNullSafe(wanted)).count() == 0
