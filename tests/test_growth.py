@@ -199,3 +199,14 @@ def test_rows_without_repairs_are_read_as_they_are(spark):
     every = F.array_join(structure.header_cells(F.col("cells")), " ")
     wanted = F.array_distinct(F.regexp_extract_all(every, F.lit(rf"\b(?:{'|'.join(rules.HEADER_WORDS)})\b"), F.lit(0)))
     assert rows.filter(~structure.header_words(F.col("cells")).eqNullSafe(wanted)).count() == 0
+
+
+def test_rows_of_other_accounts_are_not_searched(spark, monkeypatch):
+    found = []
+    near_pairs = dedupe.near_pairs
+    monkeypatch.setattr(dedupe, "near_pairs", lambda *args: found.append(near_pairs(*args)) or found[0])
+    txns = spark.sql("SELECT s.id AS statement_id, CAST(r.id AS INT) AS txn_idx, DATE'2020-01-01' AS date, concat('row ', r.id) AS description, CAST(NULL AS DECIMAL(14,2)) AS debit, CAST(if(s.id >= 40 AND r.id = 1, 7, 5) AS DECIMAL(14,2)) AS credit FROM range(42) s, range(1, 21) r")
+    statements = spark.sql("SELECT 1L AS user_id, id AS statement_id, id AS ord, 'Bank' AS bank_name, if(id = 39, CAST(NULL AS STRING), concat('**', id % 40)) AS account_number, CAST(NULL AS DECIMAL(14,2)) AS current_balance FROM range(42)")
+    got = {tuple(r) for r in dedupe.near_duplicates(statements, txns).collect()}
+    assert got == {(0, 39), (40, 0), (1, 39), (41, 1), (39, 0)} | {(k, 39) for k in range(2, 39)}
+    assert found[0].count() <= 4 + 2 * 41  # 40 statements of the same rows made 42 x 41
