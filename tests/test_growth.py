@@ -210,3 +210,9 @@ def test_rows_of_other_accounts_are_not_searched(spark, monkeypatch):
     got = {tuple(r) for r in dedupe.near_duplicates(statements, txns).collect()}
     assert got == {(0, 39), (40, 0), (1, 39), (41, 1), (39, 0)} | {(k, 39) for k in range(2, 39)}
     assert found[0].count() <= 4 + 2 * 41  # 40 statements of the same rows made 42 x 41
+
+
+def test_lines_are_grouped_once(spark):
+    lines = queries.scanned(spark, DATA)
+    text = plan(layout.lines_to_rows(lines))
+    assert text.count("lineitem.parquet") == 1 and text.count("Exchange") == plan(lines).count("Exchange") and text.count("Join") == plan(lines).count("Join")
