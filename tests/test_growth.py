@@ -216,3 +216,16 @@ def test_lines_are_grouped_once(spark):
     lines = queries.scanned(spark, DATA)
     text = plan(layout.lines_to_rows(lines))
     assert text.count("lineitem.parquet") == 1 and text.count("Exchange") == plan(lines).count("Exchange") and text.count("Join") == plan(lines).count("Join")
+
+
+def test_typed_rows_are_stored_once(spark, monkeypatch):
+    from ledger_spark.plans import statements as plans
+
+    seen = []
+    stored = extract.stored
+    for module in (plans, extract):
+        monkeypatch.setattr(module, "stored", lambda df, *by: seen.append((df.columns, plan(df))) or stored(df, *by))
+    rows = queries.stored(fx.mixed_rows(fx.ledger(spark, DATA)))
+    plans.parsed(rows, queries.names(rows), rules.templates(spark), 2000)
+    typed = [text for columns, text in seen if "typed" in columns]
+    assert len(typed) == 1 and "AS typed" in typed[0]  # the job that stores them makes them
