@@ -229,3 +229,20 @@ def test_typed_rows_are_stored_once(spark, monkeypatch):
     plans.parsed(rows, queries.names(rows), rules.templates(spark), 2000)
     typed = [text for columns, text in seen if "typed" in columns]
     assert len(typed) == 1 and "AS typed" in typed[0]  # the job that stores them makes them
+
+
+def test_files_are_hashed_line_by_line(spark, tmp_path):
+    import hashlib
+    import random
+
+    from ledger_spark.sources import files
+
+    rng = random.Random(3)
+    made = {"a.pdf": b"one\ntwo", "b c.pdf": b"one\n\r\ntwo\n", "end.txt": b"\n", "bom.txt": b"\xef\xbb\xbfx\n", "n%20.png": rng.randbytes(300_000), "zero.bin": b"\0" * 70_000, "p.gz": b"not packed\n", "q[1]{2}.GZ": b"nor that", "a[1]*.pdf": b"three\n\n\n\nlines", "ü.txt": "ü\xff".encode("latin-1"), "_hidden": b"x"}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.listed(spark.read.format("binaryFile").load(str(tmp_path))).drop("content")
+    out = files.fingerprinted(found)
+    got = {r["length"]: r["file_hash"] for r in out.collect()}
+    assert got == {len(data): hashlib.sha256(data).hexdigest() for name, data in made.items() if not name.startswith("_")}
+    assert files.fingerprinted(found.filter("length < 0")).count() == 0
