@@ -149,3 +149,13 @@ def test_an_overtaken_writer_changes_nothing(spark, tmp_path, monkeypatch):
         versioned.upsert(make([(1, 3, 0, "c")]), path)
     monkeypatch.setattr(versioned, "version", real)
     assert state(versioned.read(spark, path)) == [(1, 1, 0, "a"), (1, 2, 0, "b")]
+
+
+def test_hashes_are_stored_once(spark, seen, monkeypatch):
+    wrote = []
+    stored = history.stored
+    monkeypatch.setattr(history, "stored", lambda df, *by: wrote.append(df.columns) or stored(df, *by))
+    rows = stored(history.numbered(spark.createDataFrame(arrivals(20, 1), ARRIVALS)))
+    history.screened(rows, seen())
+    assert len(wrote) > 3 and not any({"file_hash", "content_hash"} & set(c) for c in wrote)
+    assert [c for c in wrote if "key" in c] == [["user_id", "key", "name", "old"]]  # what the history holds, nothing else
