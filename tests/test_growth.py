@@ -246,3 +246,7 @@ def test_files_are_hashed_line_by_line(spark, tmp_path):
     got = {r["length"]: r["file_hash"] for r in out.collect()}
     assert got == {len(data): hashlib.sha256(data).hexdigest() for name, data in made.items() if not name.startswith("_")}
     assert files.fingerprinted(found.filter("length < 0")).count() == 0
+
+
+def test_rewritten_statements_are_parsed_in_all_partitions(spark):
+    assert plan(queries.rewritten(spark, DATA, ["x"], lambda: F.array(F.array("description")))).count("REPARTITION_BY_NUM") == 1
